@@ -22,42 +22,41 @@ PREFIX = 32  # leading characters that the splitters see
 
 
 def _grouped(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Every input row as a struct ``_row`` with the result columns of its group."""
-    text = F.coalesce(F.col(f"_row.`{text_col}`"), F.lit(""))
-    base = df.select(F.struct("*").alias("_row")).withColumn("_hash", F.xxhash64(text))
+    """Every input row, its columns renamed c0, c1, ... (the text: ``_text``, never null, and ``_null``), with the
+    result columns of its group."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    row_id, others = F.col(names[id_col]), [n for c, n in names.items() if c != text_col]
+    base = df.toDF(*names.values()).withColumns({"_text": F.coalesce(names[text_col], F.lit("")), "_null": F.col(names[text_col]).isNull()})
+    base = base.select(*others, "_text", "_null", F.xxhash64("_text").alias("_hash"))
     counts = base.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"))
     share = counts.agg(F.sum("_n") / F.lit(HOT_SHARE)).scalar()
     hot = counts.filter((F.col("_n") >= HOT_MIN) & (F.col("_n") > share)).select("_hash", F.lit(True).alias("_hot"))
-    row_id = F.col(f"_row.`{id_col}`")
+    flagged = base.join(F.broadcast(hot), "_hash", "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(row_id), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
     keys = ["_prefix", "_hash", "_salt"]
-    placed = (
-        base.join(F.broadcast(hot), "_hash", "left")
-        .select("_row", F.substring(text, 1, PREFIX).alias("_prefix"), "_hash", salt.alias("_salt"), F.coalesce("_hot", F.lit(False)).alias("_hot"))
-        .repartitionByRange(*keys)
-        .withColumns({"_text": text, "_id": row_id})
-    )
     run = Window.partitionBy(*keys, "_text")
-    runs = placed.select(
-        "_row", "_hot", "_id",
-        F.sha2("_text", 256).alias("text_sha256"),
-        F.row_number().over(run.orderBy(F.col("_id").desc_nulls_last())).alias("_rank"),
-        F.max("_id").over(run).alias("_run_keep"),
-        F.count(F.lit(1)).over(run).alias("_run_size"),
-    )
+
+    def runs(rows: DataFrame) -> DataFrame:
+        placed = rows.withColumns({"_prefix": F.substring("_text", 1, PREFIX), "_salt": salt}).repartitionByRange(*keys)
+        ranked = placed.withColumn("_rank", F.row_number().over(run.orderBy(row_id.desc_nulls_last())))
+        sized = ranked.withColumns({"_run_keep": F.max(row_id).over(run), "_run_size": F.count(F.lit(1)).over(run)})
+        return sized.withColumn("text_sha256", F.sha2("_text", 256))
+
     merged = (
-        runs.filter(F.col("_hot") & (F.col("_rank") == 1))
+        runs(flagged.filter("_hot").select(names[id_col], "_text", "_hash", "_hot"))
+        .filter("_rank = 1")
         .groupBy("text_sha256")
         .agg(F.max("_run_keep").alias("_keep"), F.sum("_run_size").alias("_size"))
     )
-    keep_id = F.when(F.col("_hot"), F.col("_keep")).otherwise(F.col("_run_keep"))
-    return runs.join(F.broadcast(merged), "text_sha256", "left").select(
-        "_row",
-        keep_id.alias("keep_id"),
+    joined = runs(flagged).join(F.broadcast(merged), "text_sha256", "left")
+    joined = joined.withColumn("keep_id", F.when(F.col("_hot"), F.col("_keep")).otherwise(F.col("_run_keep")))
+    return joined.select(
+        *others, "_text", "_null", "keep_id",
         F.when(F.col("_hot"), F.col("_size")).otherwise(F.col("_run_size")).alias("group_size"),
-        ((F.col("_rank") == 1) & F.col("_id").eqNullSafe(keep_id)).alias("kept"),
+        ((F.col("_rank") == 1) & row_id.eqNullSafe(F.col("keep_id"))).alias("kept"),
         "text_sha256",
-    )
+    )
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,9 +67,11 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     stays. Other columns of the input are ignored, an empty table gives an empty result.
     """
     rows = _grouped(df.select(id_col, text_col), id_col, text_col)
-    return rows.select(F.col(f"_row.`{id_col}`").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
+    return rows.select(F.col("c0").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
 
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that ``exact_dedup`` keeps, with all columns of the input."""
-    return _grouped(df, id_col, text_col).filter("kept").select("_row.*")
+    rows = _grouped(df, id_col, text_col).filter("kept")
+    text = F.when(~F.col("_null"), F.col("_text"))
+    return rows.select(*[(text if c == text_col else F.col(f"c{i}")).alias(c) for i, c in enumerate(df.columns)])
