@@ -26,7 +26,7 @@ def text_blocks(texts: list[str | None], limit: int = BLOCK_CHARS) -> Iterator[t
         yield first, block
 
 
-def add_columns(df: DataFrame, text_col: str, new: dict[str, T.DataType], make: Callable[[], Callable[[list[str]], list[list]]], keep: list[str] | None = None) -> DataFrame:
+def add_columns(df: DataFrame, text_col: str, new: dict[str, T.DataType], make: Callable[[], Callable[[list[str]], list[list]]], keep: list[str] | None = None, limit: int = BLOCK_CHARS) -> DataFrame:
     """``df`` (or its columns ``keep``) with columns computed from whole texts, block by block, without a shuffle.
 
     ``make`` runs once per task and returns a function from the texts of a block to one list per new column. A
@@ -40,7 +40,7 @@ def add_columns(df: DataFrame, text_col: str, new: dict[str, T.DataType], make:
         work = make()
         for batch in batches:
             kept = batch.select(range(len(columns)))
-            for first, block in text_blocks(batch.column(len(columns)).to_pylist()):
+            for first, block in text_blocks(batch.column(len(columns)).to_pylist(), limit):
                 part = kept.slice(first, len(block)).columns
                 made = [pa.array(v, type=f.type) for v, f in zip(work(block), added, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part, *made], names=[f.name for f in out.fields])

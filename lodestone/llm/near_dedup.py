@@ -67,7 +67,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return work
 
     new = {"n": T.LongType(), "cls": T.BinaryType(), "sig": T.ArrayType(T.IntegerType())}
-    return blocks.add_columns(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", new, make, keep=["id"])
+    return blocks.add_columns(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", new, make, ["id"], BLOCK_CHARS)
 
 
 def shingle_sets(df: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def shingle_sets(df: DataFrame) -> DataFrame:
 
         return work
 
-    return blocks.add_columns(df, "text", {"cls": T.BinaryType(), "set": T.ArrayType(T.LongType())}, make, keep=["id"])
+    return blocks.add_columns(df, "text", {"cls": T.BinaryType(), "set": T.ArrayType(T.LongType())}, make, ["id"], BLOCK_CHARS)
 
 
 def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -161,4 +161,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay: one document of each group of near copies."""
     gone = near_duplicates(df, id_col, text_col).filter("not kept").select(F.col(id_col).alias("__gone"))
+    gone = written(gone.distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
