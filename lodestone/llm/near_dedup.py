@@ -10,10 +10,14 @@
 4. Collisions within a posting list are first counted against the list's smallest member only, which is linear.
    Pairs with enough matching coordinates are confirmed on the full sets, the most promising pair of each
    document first; a pair whose ends are connected by then is skipped.
-5. Posting lists whose members lie in one component are done. In the others the pairs across components are
-   counted and confirmed in the same way, so no link between different texts is lost.
-
-Everything is a join or a grouped minimum; no task holds a posting list, and no list is cut.
+5. Posting lists whose members lie in one component are done. The members of the others, gathered by smallest
+   member, are compared across components: in blocks of at most ``BLOCK_ROWS`` by ``BLOCK_ROWS``, each block a
+   task of its own, by the number of agreeing coordinates and then on the full sets. Only links that join
+   components leave a block, so pairs are compared but never written out, and no link between different texts is
+   lost. Such members are documents that share much with a near copy without being one; comparing them costs the
+   square of their number within a group, in blocks that any number of executors can share.
+
+No task holds a whole posting list, and no list is cut.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import hashlib
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +39,7 @@ SHINGLE, COORDS, MATCHES = 5, 64, 42
 PERCENT = 85  # links have 100 * intersection >= PERCENT * union
 BROADCAST_IDS = 2_000_000  # ids (16 MB) up to which the documents to confirm are broadcast; more are shuffled
 BLOCK_CHARS = 1_000_000
+BLOCK_ROWS = 2_048
 
 
 @cache
@@ -70,8 +76,9 @@ def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return blocks.add_columns(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", new, make, ["id"], BLOCK_CHARS)
 
 
-def shingle_sets(df: DataFrame) -> DataFrame:
-    """(id, text) to (id, cls, set)."""
+def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(cls, set) of the documents (id, text) whose ids are given; the ids are broadcast if they are few."""
+    few = ids.count() <= BROADCAST_IDS
 
     def make():
         def work(texts):
@@ -80,7 +87,9 @@ def shingle_sets(df: DataFrame) -> DataFrame:
 
         return work
 
-    return blocks.add_columns(df, "text", {"cls": T.BinaryType(), "set": T.ArrayType(T.LongType())}, make, ["id"], BLOCK_CHARS)
+    some = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    found = blocks.add_columns(some, "text", {"cls": T.BinaryType(), "set": T.ArrayType(T.LongType())}, make, ["id"], BLOCK_CHARS)
+    return written(found.dropDuplicates(["cls"]).select("cls", "set"), "sets")
 
 
 def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -94,9 +103,7 @@ def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs that are links on their full sets, as edges (u, v) between representatives' ids."""
     ids = written(pairs.select(F.explode(F.array("a_id", "b_id")).alias("id")).distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    some = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    sets = written(shingle_sets(some).dropDuplicates(["cls"]), "sets").select("cls", "set")
+    sets = shingle_sets(docs, ids)
     joined = pairs.join(sets.withColumnsRenamed({"cls": "a", "set": "a_set"}), "a").join(sets.withColumnsRenamed({"cls": "b", "set": "b_set"}), "b")
     common = F.size(F.array_intersect("a_set", "b_set"))
     linked = 100 * common >= PERCENT * (F.size("a_set") + F.size("b_set") - common)
@@ -131,13 +138,60 @@ def links(sketched: DataFrame, docs: DataFrame) -> DataFrame:
     edges = written(edges.unionByName(_confirmed(_rooted(starred, roots), docs)), "edges")
     roots = components(edges)
 
+    return components(edges.unionByName(_across(posted, roots, docs)))
+
+
+def _across(posted: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (u, v) between members of one posting list that lie in different components so far."""
     rooted = posted.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    open_lists = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-    members = rooted.join(open_lists, "token")
-    left, right = (members.select("token", F.col("cls").alias(c), F.col("id").alias(f"{c}_id"), F.col("root").alias(f"{c}_root")) for c in "ab")
-    across = left.join(right, "token").filter("a_id < b_id and a_root <> b_root").select("a", "b").distinct()
-    late = written(_agreeing(across, reps), "late")
-    return components(edges.unionByName(_confirmed(late, docs)))
+    lists = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("id").alias("head")).filter("lo < hi").select("token", "head")
+    members = written(rooted.join(lists, "token").select("head", "cls", "id", "root").distinct(), "members")
+    sizes = members.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "head").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("head", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "id", "root")
+    sets = shingle_sets(docs, members.select("id").distinct())
+    return written(dealt.join(sets, "cls").groupBy("head", "i", "j").applyInArrow(_block_links, "u long, v long"), "edges")
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links that join components, between the members of blocks i and j of a group."""
+    ids, root, block = (table.column(c).to_numpy() for c in ("id", "root", "block"))
+    column = table.column("set").combine_chunks()
+    cuts = column.offsets.to_numpy()
+    flat = column.values.to_numpy().view(np.uint64)
+    sets = [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    found: list[tuple[int, int]] = []
+    if len(np.unique(root)) > 1:
+        sig, size = _signatures(sets), np.array(list(map(len, sets)))
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in up:
+                x = up[x]
+            return x
+
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        for part in (left[k : k + 256] for k in range(0, len(left), 256)):
+            same = np.zeros((len(part), len(right)), np.uint8)
+            for k in range(COORDS):
+                same += sig[part, k][:, None] == sig[right, k][None, :]
+            a, b = size[part][:, None], size[right][None, :]
+            near = (same >= MATCHES) & (root[part][:, None] != root[right][None, :]) & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b))
+            if i == j:
+                near &= part[:, None] < right[None, :]
+            rows, cols = np.nonzero(near)
+            for n in np.argsort(-same[rows, cols].astype(np.int16), kind="stable").tolist():
+                x, y = int(part[rows[n]]), int(right[cols[n]])
+                p, q = top(int(root[x])), top(int(root[y]))
+                if p == q:
+                    continue
+                common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * common >= PERCENT * (size[x] + size[y] - common):
+                    up[max(p, q)] = min(p, q)
+                    found.append((int(ids[x]), int(ids[y])))
+    return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
