@@ -37,48 +37,53 @@ class Model:
 
 @dataclass
 class Bags:
-    """Distinct words of some texts as n-gram buckets, and the texts as windows over their distinct words.
+    """The distinct words of some texts, and the texts as windows over their distinct words.
 
     A word that a text repeats counts once, where it first occurs: a word repeated a hundred times is one word."""
 
-    grams: np.ndarray  # buckets, word after word
-    gram_starts: np.ndarray  # where each word's begin
-    word: np.ndarray  # number of the distinct word, in text order
+    data: np.ndarray  # bytes of all texts
+    first: np.ndarray  # where each distinct word's bytes begin
+    size: np.ndarray  # and how many they are
+    hashes: np.ndarray
+    word: np.ndarray  # numbers of distinct words, in text order
     window_starts: np.ndarray  # in ``word``
     windows_upto: np.ndarray  # windows before the end of each text
 
+    def grams(self, words_at_once: int = 40_000):
+        """(number of the distinct word, bucket of one of its n-grams), some words at a time."""
+        for i in range(0, len(self.first), words_at_once):
+            first, size = self.first[i : i + words_at_once], self.size[i : i + words_at_once]
+            # the words' bytes side by side, each between two boundary marks
+            starts = np.cumsum(np.append(0, size + 2))
+            inner = np.arange(size.sum()) - np.repeat(np.cumsum(np.append(0, size[:-1])), size)
+            flat = np.zeros(starts[-1], np.uint8)
+            flat[np.repeat(starts[:-1] + 1, size) + inner] = self.data[np.repeat(first, size) + inner]
+            letters = words._letters()[flat]
+            left = np.repeat(starts[1:], size + 2) - np.arange(starts[-1])  # bytes from here to the word's end
+            owner = np.repeat(np.arange(i, i + len(first), dtype=np.int32), size + 2)
+            yield np.arange(i, i + len(first), dtype=np.int32), _bucket(self.hashes[i : i + words_at_once])  # the word itself
+            h = np.zeros(len(flat), np.uint64)
+            for n in range(1, min(max(GRAMS), len(flat)) + 1):
+                h = h[: len(flat) - n + 1] * np.uint64(0x100000001B3) + letters[n - 1 :]
+                if n in GRAMS:
+                    here = np.flatnonzero(left[: len(h)] >= n)
+                    yield owner[here], _bucket(h[here] + np.uint64(n))
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (words.mix(h) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+
 
 def bags(texts: list[str]) -> Bags:
     data, first, last, upto = words.spans(texts)
-    hashes, _ = words.word_hashes(texts)
-    _, at, word = np.unique(hashes, return_index=True, return_inverse=True)
+    found, at, word = np.unique(words.span_hashes(data, first, last), return_index=True, return_inverse=True)
     doc = np.repeat(np.arange(len(texts)), np.diff(upto, prepend=0))
     firsts = np.sort(np.unique(doc * len(at) + word, return_index=True)[1])
-    word, upto = word[firsts], np.searchsorted(firsts, upto)
-    size = last[at] - first[at]
-    # the distinct words' bytes side by side, each between two boundary marks
-    starts = np.cumsum(np.append(0, size + 2))
-    inner = np.arange(size.sum()) - np.repeat(np.cumsum(np.append(0, size[:-1])), size)
-    flat = np.zeros(starts[-1], np.int64)
-    flat[np.repeat(starts[:-1] + 1, size) + inner] = data[np.repeat(first[at], size) + inner]
-    letters = words._letters()[flat]
-    left = np.repeat(starts[1:], size + 2) - np.arange(starts[-1])  # bytes from here to the word's end
-    owner = np.repeat(np.arange(len(at)), size + 2)
-    h, found = np.zeros(len(flat), np.uint64), []
-    for n in range(1, max(GRAMS) + 1):
-        h = h[: len(flat) - n + 1] * np.uint64(0x100000001B3) + letters[n - 1 :] if len(flat) >= n else h[:0]
-        if n in GRAMS:
-            here = np.flatnonzero(left[: len(h)] >= n)
-            found.append((owner[here], (words.mix(h[here] + np.uint64(n)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)))
-    whole = np.arange(len(at))  # words too short for any n-gram, too, have one vector: their own
-    found.append((whole, (words.mix(hashes[at]) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)))
-    owners, grams = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.argsort(owners, kind="stable")
-    gram_starts = np.searchsorted(owners[order], whole)
+    word, upto = word[firsts].astype(np.int32), np.searchsorted(firsts, upto)
     per = -(-np.diff(upto, prepend=0) // WINDOW)
     begin = np.repeat(np.append(0, upto[:-1]), per)
     nth = np.arange(per.sum()) - np.repeat(np.cumsum(np.append(0, per[:-1])), per)
-    return Bags(grams[order], gram_starts, word.astype(np.int64), begin + nth * WINDOW, np.cumsum(per))
+    return Bags(data, first[at], last[at] - first[at], found, word, begin + nth * WINDOW, np.cumsum(per))
 
 
 def _means(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -91,7 +96,11 @@ def score_texts(model: Model, texts: list[str]) -> np.ndarray:
     b = bags(texts)
     out = np.full(len(texts), 1 / (1 + np.exp(-model.bias)))
     if len(b.word):
-        per_word = _means(model.weights[b.grams], b.gram_starts)
+        total, count = np.zeros(len(b.first)), np.zeros(len(b.first))
+        for owner, grams in b.grams():
+            total += np.bincount(owner, model.weights[grams], len(total))
+            count += np.bincount(owner, minlength=len(count))
+        per_word = total / count
         logit = _means(per_word[b.word], b.window_starts) + model.bias
         clean = -np.logaddexp(0, logit)  # log probability that the window is clean
         some = np.diff(b.windows_upto, prepend=0) > 0
@@ -112,11 +121,18 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) ->
         p = float(np.clip(prior, 1e-3, 1 - 1e-3))
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(p / (1 - p))))
     b = bags(texts)
-    n_words, n_grams = np.diff(b.window_starts, append=len(b.word)), np.diff(b.gram_starts, append=len(b.grams))
-    word_of = np.repeat(np.arange(len(n_grams)), n_grams)
-    keep = np.bincount(b.grams, np.bincount(b.word, minlength=len(n_grams))[word_of], BUCKETS)[b.grams] >= MIN_COUNT
-    word_of = word_of[keep]
-    used, gram = np.unique(b.grams[keep], return_inverse=True)
+    n_words = np.diff(b.window_starts, append=len(b.word))
+    uses = np.bincount(b.word, minlength=len(b.first))  # documents with the word
+    n_grams, seen = np.zeros(len(b.first)), np.zeros(BUCKETS)
+    for owner, grams in b.grams():
+        n_grams += np.bincount(owner, minlength=len(n_grams))
+        seen += np.bincount(grams, uses[owner], BUCKETS)
+    used = np.flatnonzero(seen >= MIN_COUNT)  # rarer n-grams are left at zero
+    number = np.full(BUCKETS, -1, np.int32)
+    number[used] = np.arange(len(used))
+    kept = [(owner[keep], number[grams[keep]]) for owner, grams in b.grams() for keep in [number[grams] >= 0]]
+    word_of, gram = (np.concatenate(x) for x in zip(*kept, strict=True))
+    del kept
     per_doc = np.diff(b.windows_upto, prepend=0)
     doc, window_of = np.repeat(np.arange(len(labels)), per_doc), np.repeat(np.arange(len(n_words)), n_words)
     some, doc_starts = per_doc > 0, np.append(0, b.windows_upto[:-1])

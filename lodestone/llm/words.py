@@ -57,11 +57,22 @@ def spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word (``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased) and the number of words up to each text's end."""
     data, first, last, upto = spans(texts)
-    up, down = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_letters()[data] * up[: len(data)], dtype=np.uint64, out=sums[1:])
-    h = (sums[last] - sums[first]) * down[first]
-    return mix(h ^ ((last - first).astype(np.uint64) << np.uint64(48))), upto
+    return span_hashes(data, first, last), upto
+
+
+def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the byte spans, which follow one another, some megabyte of bytes at a time."""
+    out = np.empty(len(first), np.uint64)
+    cuts = np.unique(np.append(np.searchsorted(first, np.arange(0, len(data), 1 << 20)), len(first)))
+    for i, j in zip([0, *cuts], cuts, strict=False):
+        if i == j:
+            continue
+        begin, end = int(first[i]), int(last[j - 1])
+        up, down = _power_tables(end - begin + 1)
+        sums = np.zeros(end - begin + 1, np.uint64)
+        np.cumsum(_letters()[data[begin:end]] * up[: end - begin], dtype=np.uint64, out=sums[1:])
+        out[i:j] = (sums[last[i:j] - begin] - sums[first[i:j] - begin]) * down[first[i:j] - begin]
+    return mix(out ^ ((last - first).astype(np.uint64) << np.uint64(48)))
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
