@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.shared import sampled
+
 SAMPLE, SAMPLE_QUERIES, ROTATIONS, ITERATIONS, QUANTILE = 4_096, 256, 2, 20, 0.98
 PART_ROWS, QUERY_BLOCK = 16_384, 2_048
 SUB_BITS = 16
@@ -148,7 +150,7 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
         return spark.createDataFrame([], result)
     dim, n = sizes[0]["dim"], sizes[0]["count"]
     rows = rows.filter(F.col("dim") == dim).select("id", "x")
-    sample = rows.orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(SAMPLE).toArrow()
+    sample = sampled(rows, SAMPLE, n, "id").toArrow()
     coder = spark.sparkContext.broadcast(learn(_matrix(sample.column("x").to_pylist(), dim), k))
 
     parts = max(1, math.ceil(n / PART_ROWS))

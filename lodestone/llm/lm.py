@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm import blocks, words
-from lodestone.llm.shared import written
+from lodestone.llm.shared import sampled, written
 
 BASE, PAIR_CUTOFF = 1.5, 2  # quantisation; pairs seen fewer times than the cutoff are left to the smoothing
 BITS, HASHES, MAX_FILTER_BYTES = 12, 5, 1 << 28
@@ -269,7 +269,7 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     sizes = [8 * len(made.get(i, b"")) for i in range(ranges)]
     table = np.frombuffer(b"".join(made.get(i, b"") for i in range(ranges)) or b"\0", np.uint8)
     model = Model(Filter(table, np.cumsum([0, *sizes])), sum(parts["n"]), sum(parts["v"]), n_docs, np.full(129, 0.2), hashes[order], head.column("c").to_numpy()[order].astype(np.float64))
-    sample = texts.orderBy(F.xxhash64("text")).limit(SAMPLE_DOCS).toArrow().column("text").to_pylist()
+    sample = sampled(texts, SAMPLE_DOCS, n_docs, "text").toArrow().column("text").to_pylist()
     model.learn_weights(sample)
     return model, counts.filter(F.col("c") < (floor if floor is not None else 2**62))
 

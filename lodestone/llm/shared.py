@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,3 +34,14 @@ def drop_written(df: DataFrame) -> None:
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df._lodestone_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sampled(df: DataFrame, n: int, total: int, *key: Column | str) -> DataFrame:
+    """``n`` rows of ``df``, which has ``total``, chosen by a hash of ``key``; all of them if there are fewer.
+
+    Rows whose hash is far from the smallest are filtered first, so that the sort sees about 4 n of them."""
+    h = F.xxhash64(F.lit(11), *key)
+    if total > 8 * n:
+        df = df.filter(F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * 4 * n / total))
+        h = F.pmod(h, F.lit(1 << 40))
+    return df.orderBy(h, *key).limit(n)

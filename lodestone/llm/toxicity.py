@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm import blocks, words
+from lodestone.llm.shared import sampled
 
 GRAMS, BUCKET_BITS, DIM, WINDOW = (3, 4, 5), 18, 8, 16
 BUCKETS = 1 << BUCKET_BITS
@@ -181,14 +182,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Labels are (id, label); null labels and ids are ignored, several labels of one id count as toxic if any is."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(label_col) == 1).cast("int")).alias("_y"))
-    share = known.agg(F.avg("_y")).first()[0]
-    order = F.xxhash64(F.lit(11), "_id")
-    take = lambda y, n: known.filter(F.col("_y") == y).orderBy(order, "_id").limit(n)
+    sizes = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
+    share = sizes.get(1, 0) / max(1, sum(sizes.values()))
+    take = lambda y, n: sampled(known.filter(F.col("_y") == y), n, sizes.get(y, 0), "_id")
     chosen = take(1, MAX_POSITIVE).unionByName(take(0, MAX_NEGATIVE))  # bounded, so it may be broadcast
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
     got = rows.select("_id", "_y", F.coalesce("_text", F.lit("")).alias("_text")).toArrow()
     got = sorted(zip(*(got.column(c).to_pylist() for c in ("_id", "_text", "_y")), strict=True))
-    return train([t for _, t, _ in got], np.array([y for _, _, y in got]), float(share or 0.0))
+    return train([t for _, t, _ in got], np.array([y for _, _, y in got]), share)
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
