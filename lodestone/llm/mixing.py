@@ -110,7 +110,7 @@ def mix(
     """  # noqa: D413
     row = df.select(F.struct("*").alias("row"))
     field = lambda c: F.col(f"row.`{c}`")
-    base = row.select("row", field(source_col).cast("string").alias("source"), n_words(field(text_col)).alias("size"), F.xxhash64(F.lit(seed), field(id_col)).alias("h"))
+    base = row.select("row", field(source_col).cast("string").alias("source"), n_words(field(text_col)).alias("size"), F.xxhash64(F.lit(seed), field(id_col)).alias("h"), F.xxhash64(field(text_col)).alias("tie"))
     base = base.withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKET_BITS).cast("int"))
 
     buckets = base.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -131,7 +131,7 @@ def mix(
     draw = F.explode(F.when(F.col("blocks") > 0, F.sequence(F.col("first"), F.col("first") + F.col("blocks") - 1)).otherwise(F.array().cast("array<long>")))
     draws = quota.select(F.col("source").alias("draw_source"), "shard", draw.alias("draw"))
 
-    w = Window.partitionBy("source", "bucket").orderBy("h", field(id_col))
+    w = Window.partitionBy("source", "bucket").orderBy("h", field(id_col), "size", "tie")
     placed = (
         base.withColumn("nth", F.row_number().over(w))
         .withColumn("inside", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)))

@@ -13,6 +13,7 @@ for each table entry, ``BUCKETS`` numbers, which is all that is broadcast.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -87,6 +88,30 @@ def bags(texts: list[str]) -> Bags:
     return Bags(data, first[at], last[at] - first[at], found, word, begin + nth * WINDOW, np.cumsum(per))
 
 
+def _joined(parts: Iterable[Bags]) -> Bags:
+    """The bags of consecutive blocks as one, with the bytes of distinct words only."""
+    seen = np.zeros(0, np.uint64)
+    data, sizes, hashes, word, starts, upto = [], [], [], [], [], []
+    n_words = n_windows = 0
+    for b in parts:
+        new = np.flatnonzero(~np.isin(b.hashes, seen, assume_unique=True))
+        size = b.size[new]
+        inner = np.arange(size.sum()) - np.repeat(np.cumsum(np.append(0, size))[:-1], size)
+        data.append(b.data[np.repeat(b.first[new], size) + inner])
+        sizes.append(size)
+        hashes.append(b.hashes[new])
+        word.append(b.hashes[b.word])
+        starts.append(b.window_starts + n_words)
+        upto.append(b.windows_upto + n_windows)
+        n_words, n_windows = n_words + len(b.word), n_windows + len(b.window_starts)
+        seen = np.union1d(seen, b.hashes[new])
+    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    size, order = join(sizes), np.argsort(join(hashes))
+    first = np.cumsum(np.append(0, size))[:-1]
+    number = np.concatenate([np.searchsorted(seen, w).astype(np.int32) for w in word]) if word else np.zeros(0, np.int32)
+    return Bags(join(data), first[order], size[order], seen, number, join(starts), join(upto))
+
+
 def _means(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     n = np.diff(starts, append=len(values))
     return np.add.reduceat(values, starts, axis=0) / (n if values.ndim == 1 else n[:, None])
@@ -114,14 +139,15 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) ->
     """Fit embeddings and softmax together. ``prior``: share of toxic documents where the model will be used.
 
     The loss depends on an embedding only through its product with the difference of the softmax's two columns,
-    so gradients are formed as one number per n-gram and spread over the dimensions by that difference. Steps
-    have a common scale for all embeddings: what many documents share moves far, chance n-grams hardly. Each
+    so gradients are formed as one number per n-gram and spread over the dimensions by that difference. An n-gram's
+    gradient is measured by the root of its number, and steps have a common scale for all embeddings, so that what
+    speaks for a class moves far and chance hardly. Each
     eighth document chooses the step at which training stops."""
     labels = np.asarray(labels, np.float64)
     if not len(labels) or labels.min() == labels.max():
         p = float(np.clip(prior, 1e-3, 1 - 1e-3))
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(p / (1 - p))))
-    b = bags(texts)
+    b = _joined(bags(block) for _, block in blocks.text_blocks(texts, BLOCK_CHARS))
     n_words = np.diff(b.window_starts, append=len(b.word))
     uses = np.bincount(b.word, minlength=len(b.first))  # documents with the word
     n_grams, seen = np.zeros(len(b.first)), np.zeros(BUCKETS)
@@ -132,8 +158,7 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) ->
     number = np.full(BUCKETS, -1, np.int32)
     number[used] = np.arange(len(used))
     kept = [(owner[keep], number[grams[keep]]) for owner, grams in b.grams() for keep in [number[grams] >= 0]]
-    word_of, gram = (np.concatenate(x) for x in zip(*kept, strict=True))
-    del kept
+    b.data = b.hashes = None
     per_doc = np.diff(b.windows_upto, prepend=0)
     doc, window_of = np.repeat(np.arange(len(labels)), per_doc), np.repeat(np.arange(len(n_words)), n_words)
     some, doc_starts = per_doc > 0, np.append(0, b.windows_upto[:-1])
@@ -144,11 +169,18 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) ->
     rng = np.random.default_rng(seed)
     emb, soft, bias = rng.normal(0, 0.02, (len(used), DIM)), rng.normal(0, 1, (DIM, 2)), np.array([2.5, -2.5])
     params, speed = [emb, soft, bias], [np.zeros_like(emb), np.zeros_like(soft), np.zeros_like(bias)]
+    root = np.sqrt(seen[used])  # what chance makes of an n-gram's gradient grows with the root of its number
     best, model = np.inf, None
     for step in range(STEPS):
         diff = soft[:, 1] - soft[:, 0]
         unit = emb @ diff
-        per_word = np.bincount(word_of, unit[gram], len(n_grams)) / n_grams
+        per_word = np.zeros(len(n_grams))
+        for owner, gram in kept:
+            if len(owner):
+                low = owner.min()
+                part = np.bincount(owner - low, unit[gram])
+                per_word[low : low + len(part)] += part
+        per_word /= n_grams
         logit = np.add.reduceat(per_word[b.word], b.window_starts) / n_words + bias[1] - bias[0]
         log_clean = np.zeros(len(labels))
         log_clean[some] = np.add.reduceat(-np.logaddexp(0, logit), doc_starts[some])
@@ -161,9 +193,9 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) ->
         slope = np.where(labels > 0, -(1 - toxic) / toxic, 1.0) * fit_weight
         g = slope[doc] * np.exp(-np.logaddexp(0, -logit))  # of each window's logit
         g_word = np.bincount(b.word, (g / n_words)[window_of], len(n_grams)) / n_grams
-        g_unit = np.bincount(gram, g_word[word_of], len(used))
+        g_unit = sum(np.bincount(gram, g_word[owner], len(used)) for owner, gram in kept)
         g_soft = emb.T @ g_unit
-        grads = [np.outer(g_unit, diff), np.stack([-g_soft, g_soft], axis=1), np.array([-g.sum(), g.sum()])]
+        grads = [np.outer(g_unit / root, diff), np.stack([-g_soft, g_soft], axis=1), np.array([-g.sum(), g.sum()])]
         for x, dx, v, rate in zip(params, grads, speed, (RATE, RATE / 4, RATE / 4), strict=True):
             v *= 0.8
             v += 0.2 * dx / (np.sqrt(np.mean(dx * dx)) + 1e-12)
