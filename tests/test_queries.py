@@ -91,3 +91,40 @@ def test_consolidation_micro_fixtures(spark):
     df = spark.createDataFrame([(f, "a", s, v, c, i) for i, (f, s, v, c) in enumerate(rows)], "file string, attr string, source string, value string, confidence double, seq int")
     got = {r["file"]: r["value"] for r in merge.consolidate(df, ["seq"]).collect()}
     assert got == {"single table": "1200", "low table": "1200", "table conflict": None, "agreeing": "1200", "unit text differs": None, "plot only": None, "confident text": "5 nm"}
+
+
+def test_token_batches_against_loop(spark):
+    from lodestone.operators.models import token_batches
+
+    sizes = [300, 300, 10, 600, 100, 399, 1, 0, 500]
+    df = spark.createDataFrame([(k, i, t) for k in ("a", "b") for i, t in enumerate(sizes)], "k string, i int, t int")
+    want, total, batch = [], 0, 0
+    for t in sizes:
+        if total and total + t > 500:
+            total, batch = 0, batch + 1
+        total += t
+        want.append(batch)
+    for k in ("a", "b"):
+        assert [r["batch"] for r in token_batches(df, "k", "i", "t", 500).filter(f"k = '{k}'").orderBy("i").collect()] == want
+
+
+def test_clustered_boxes(spark):
+    from lodestone.operators.figures import clustered_boxes
+
+    boxes = [(1, i, x, y, x + 10.0, y + 10.0) for i, (x, y) in enumerate([(0.0, 0.0), (500.0, 0.0), (250.0, 0.0), (125.0, 0.0), (375.0, 0.0), (0.0, 900.0)])]
+    df = spark.createDataFrame(boxes, "page int, box int, x0 double, y0 double, x1 double, y1 double")
+    got = sorted(tuple(r) for r in clustered_boxes(df, ["page"], 100.0).collect())
+    assert got == [(1, 0.0, 0.0, 510.0, 10.0, 5), (1, 0.0, 900.0, 10.0, 910.0, 1)]
+
+
+def test_empty_tables(spark):
+    """Operators give empty results for empty tables."""
+    from lodestone.operators import candidates, curves, merge, pages
+
+    points = spark.createDataFrame([], "curve int, x double, y double")
+    assert curves.rolling_median_filter(points, "curve").count() == curves.neighbour_filter(points, "curve").count() == curves.smoothed(points, "curve").count() == 0
+    rows = spark.createDataFrame([], "file string, attr string, source string, value string, confidence double, proof string, seq int")
+    assert merge.wide(merge.consolidate(rows, ["seq"]), merge.joined_proofs(rows, ["seq"]), ["a"]).count() == 0
+    assert candidates.best_or_largest(rows.withColumn("score", rows.confidence), ["seq"], ["a"]).count() == 0
+    docs = spark.createDataFrame([(1, None), (2, "")], "id int, text string")
+    assert pages.lines(docs, "id", "text").count() == 1
