@@ -111,10 +111,10 @@ def test_token_batches_against_loop(spark):
 def test_clustered_boxes(spark):
     from lodestone.operators.figures import clustered_boxes
 
-    boxes = [(1, i, x, y, x + 10.0, y + 10.0) for i, (x, y) in enumerate([(0.0, 0.0), (500.0, 0.0), (250.0, 0.0), (125.0, 0.0), (375.0, 0.0), (0.0, 900.0)])]
+    boxes = [(1, i, x, y, x + 10.0, y + 10.0) for i, (x, y) in enumerate([(0.0, 0.0), (400.0, 0.0), (200.0, 0.0), (100.0, 0.0), (300.0, 0.0), (0.0, 900.0)])]
     df = spark.createDataFrame(boxes, "page int, box int, x0 double, y0 double, x1 double, y1 double")
     got = sorted(tuple(r) for r in clustered_boxes(df, ["page"], 100.0).collect())
-    assert got == [(1, 0.0, 0.0, 510.0, 10.0, 5), (1, 0.0, 900.0, 10.0, 910.0, 1)]
+    assert got == [(1, 0.0, 0.0, 410.0, 10.0, 5), (1, 0.0, 900.0, 10.0, 910.0, 1)]
 
 
 def test_empty_tables(spark):
