@@ -21,9 +21,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written as Parquet to the shared folder and read again."""
+    """``df``, written as Parquet to the shared folder and read again. The files go when the driver ends."""
     path = f"{shared_folder(df.sparkSession)}/lodestone/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    store, where = _hadoop(df.sparkSession, path)
+    store.deleteOnExit(where)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
     return out
@@ -31,9 +33,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def drop_written(df: DataFrame) -> None:
     """Delete a table made by ``written`` that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._lodestone_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    store, where = _hadoop(df.sparkSession, df._lodestone_path)
+    store.delete(where, True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
 def sampled(df: DataFrame, n: int, total: int, *key: Column | str) -> DataFrame:
