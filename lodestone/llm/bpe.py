@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from lodestone.llm import blocks
 
-CACHE_PIECES, CACHE_CHARS = 400_000, 64  # entries of a worker's cache; longer slices aren't kept for later blocks
+CACHE_PIECES, CACHE_CHARS = 250_000, 64  # entries of a worker's cache; longer slices aren't kept for later blocks
 
 # classes
 LETTER, NUMBER, OTHER, SHORT, LONG, BLANKS, JOINED, ALONE, END = range(9)

@@ -17,6 +17,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -218,10 +219,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     take = lambda y, n: sampled(known.filter(F.col("_y") == y), n, sizes.get(y, 0), "_id")
     chosen = take(1, MAX_POSITIVE).unionByName(take(0, MAX_NEGATIVE))  # bounded, so it may be broadcast
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
-    got = rows.select("_id", "_y", F.coalesce("_text", F.lit("")).alias("_text")).toArrow()
-    got = sorted(zip(*(got.column(c).to_pylist() for c in ("_id", "_text", "_y")), strict=True))
-    return train([t for _, t, _ in got], np.array([y for _, _, y in got]), share)
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id")
+
+    def run(table: pa.Table) -> pa.Table:
+        got = sorted(zip(*(table.column(c).to_pylist() for c in ("_id", "_text", "_y")), strict=True))
+        model = train([t for _, t, _ in got], np.array([y for _, _, y in got]), share)
+        return pa.table({"weights": [model.weights.astype("<f4").tobytes()], "bias": [model.bias]})
+
+    # one task of an executor trains on the bounded sample; only the weights come to the driver
+    made = rows.groupBy(F.lit(0).alias("_all")).applyInArrow(run, "weights binary, bias double").first()
+    return Model(np.frombuffer(made["weights"], "<f4"), made["bias"]) if made else train([], np.zeros(0), share)
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
