@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from lodestone.llm.shared import drop_written, written
 
 
-def _star(pairs: DataFrame, low: DataFrame) -> DataFrame:
-    return pairs.join(low, "u")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """From (u, v): (node, root), root being the smallest node connected with node, for every node that isn't a
     root. The number of rounds grows with the logarithm of the longest path; each round is written to the shared
@@ -27,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
         after = written(small.select("e.*").filter("u <> v").distinct(), "edges")
         drop_written(now)
         now = after
-        n, mark, heads = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
+        n, mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if (n, mark) == seen or not n:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = (n, mark)
