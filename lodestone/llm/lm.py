@@ -191,17 +191,18 @@ def _counted(docs: DataFrame, ranges: int) -> DataFrame:
         def flush():
             token, pairs = (np.concatenate(x) for x in zip(*kept, strict=True))
             for_words, for_pairs = (np.unique(x, return_counts=True) for x in (token, pairs))
-            cut = lambda keys, bits: np.searchsorted(np.minimum((keys / 2.0**bits * ranges).astype(np.int64), ranges - 1), np.arange(ranges + 1))
-            a, b = cut(for_words[0], 64), cut(for_pairs[0], 48)
-            for i in range(0, ranges, 256):
-                span = range(i, min(ranges, i + 256))
+            parts = [np.minimum((x[0] / 2.0**bits * ranges).astype(np.int64), ranges - 1) for x, bits in ((for_words, 64), (for_pairs, 48))]
+            present = np.union1d(*parts)  # only ranges that have something, so rows follow the tokens
+            (a, c), (b, d) = ((np.searchsorted(p, present, "left"), np.searchsorted(p, present, "right")) for p in parts)
+            for i in range(0, len(present), 256):
+                span = range(i, min(len(present), i + 256))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(span, pa.int32()),
-                        pa.array([for_words[0][a[j] : a[j + 1]].tobytes() for j in span], pa.binary()),
-                        pa.array([for_words[1][a[j] : a[j + 1]].astype("<u4").tobytes() for j in span], pa.binary()),
-                        pa.array([_pack48(for_pairs[0][b[j] : b[j + 1]]) for j in span], pa.binary()),
-                        pa.array([for_pairs[1][b[j] : b[j + 1]].astype("<u4").tobytes() for j in span], pa.binary()),
+                        pa.array(present[i : i + 256], pa.int32()),
+                        pa.array([for_words[0][a[j] : c[j]].tobytes() for j in span], pa.binary()),
+                        pa.array([for_words[1][a[j] : c[j]].astype("<u4").tobytes() for j in span], pa.binary()),
+                        pa.array([_pack48(for_pairs[0][b[j] : d[j]]) for j in span], pa.binary()),
+                        pa.array([for_pairs[1][b[j] : d[j]].astype("<u4").tobytes() for j in span], pa.binary()),
                     ],
                     names=["part", "words", "word_counts", "pairs", "pair_counts"],
                 )
