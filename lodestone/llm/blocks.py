@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -26,6 +27,19 @@ def text_blocks(texts: list[str | None], limit: int = BLOCK_CHARS) -> Iterator[t
         yield first, block
 
 
+def arrow_blocks(column: pa.Array, limit: int = BLOCK_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """The same from a column of an Arrow batch; only one block at a time becomes Python strings."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    first = total = 0
+    for i, n in enumerate(sizes):
+        if i > first and total + n > limit:
+            yield first, [t or "" for t in column.slice(first, i - first).to_pylist()]
+            first, total = i, 0
+        total += n
+    if sizes:
+        yield first, [t or "" for t in column.slice(first).to_pylist()]
+
+
 def add_columns(df: DataFrame, text_col: str, new: dict[str, T.DataType], make: Callable[[], Callable[[list[str]], list[list]]], keep: list[str] | None = None, limit: int = BLOCK_CHARS) -> DataFrame:
     """``df`` (or its columns ``keep``) with columns computed from whole texts, block by block, without a shuffle.
 
@@ -40,7 +54,7 @@ def add_columns(df: DataFrame, text_col: str, new: dict[str, T.DataType], make:
         work = make()
         for batch in batches:
             kept = batch.select(range(len(columns)))
-            for first, block in text_blocks(batch.column(len(columns)).to_pylist(), limit):
+            for first, block in arrow_blocks(batch.column(len(columns)), limit):
                 part = kept.slice(first, len(block)).columns
                 made = [pa.array(v, type=f.type) for v, f in zip(work(block), added, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part, *made], names=[f.name for f in out.fields])

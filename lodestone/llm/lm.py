@@ -208,7 +208,7 @@ def _counted(docs: DataFrame, ranges: int) -> DataFrame:
                 )
 
         for batch in batches:
-            for _, part in blocks.text_blocks(batch.column(0).to_pylist(), BLOCK_CHARS):
+            for _, part in blocks.arrow_blocks(batch.column(0), BLOCK_CHARS):
                 token, before, _ = tokens(part)
                 kept.append((token, pair_keys(before, token)))
                 n += len(token)
