@@ -5,6 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# fixed values: headings that end a document
 BACK_MATTER = r"(?is)\n\s*(?:references|bibliography|acknowledgements?|appendix|supporting information)\s*\n.*$"
 
 

@@ -51,6 +51,11 @@ VARIANTS = {
     "wh/kg": ["wh kg-1", "wh·kg-1"], "w/kg": ["w kg-1", "w·kg-1"], "a/g": ["a g-1", "a·g-1"], "mah/g": ["mah g-1", "mah·g-1"],
     "m²/g": ["m2/g", "m2 g-1", "m²g-1", "m2g-1"], "ω": ["ohm"], "ω·cm": ["ohm.cm"],
 }
+# fixed values: words of a cell that describes instead of measuring
+DESCRIPTION_WORDS = (
+    "synthesis", "preparation", "fabrication", "method", "process", "procedure", "carbonization", "pyrolysis", "annealing", "hydrothermal", "sol-gel", "material",
+    "sample", "specimen", "composite", "substrate", "growth", "treatment", "reduction", "dispersed", "washed", "prepared",
+)
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+|\s*[×xX·]\s*10\^?[-−]?\d+)?"
 
 
@@ -151,9 +156,7 @@ def validate_cell(cell: Column, units: Column, low: Column, high: Column) -> Col
     """The cell as "value unit" in canonical form, or null if it is blank, a description, a year, or has no pair of
     the attribute's unit within its range. A bare number or range takes the first unit."""
     s = F.trim(cell)
-    text = s.rlike(
-        r"(?i)\b(?:synthesis|preparation|fabrication|method|process|procedure|carbonization|pyrolysis|annealing|hydrothermal|sol-gel|material|sample|specimen|composite|substrate|growth|treatment|reduction|dispersed|washed|prepared)\b"
-    )
+    text = s.rlike(rf"(?i)\b(?:{'|'.join(DESCRIPTION_WORDS)})\b")
     year = s.rlike(r"^(?:19|20)\d{2}$")
     inside = lambda v: F.coalesce(v.between(low, high), F.lit(True))
     pairs = F.transform(value_unit_pairs(s), lambda p: F.struct(p["value"].alias("value"), normalize_unit(p["unit"]).alias("unit")))

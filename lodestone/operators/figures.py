@@ -63,11 +63,18 @@ def projections(pixels: DataFrame, image: str, axis: str, value: str) -> DataFra
     return pixels.groupBy(image, axis).agg(F.sum(value).alias("total"))
 
 
+# fixed values: caption words of plots, micrographs and drawings
+PLOT_WORDS = ("plot", "graph", "curve", "curves", "versus", "vs", "function of")
+MICROSCOPY_WORDS = ("sem", "tem", "micrograph", "microscopy", "afm")
+DRAWING_WORDS = ("scheme", "schematic", "illustration", "diagram")
+
+
 def figure_score(axes: Column, ticks: Column, caption: Column) -> Column:
     """40 for axes, 30 for ticks, 30 for a plot's word in the caption, less 60 for microscopy and 40 for schemes."""
     low = F.lower(F.coalesce(caption, F.lit("")))
-    plot = F.when(low.rlike(r"\b(?:plot|graph|curve|curves|versus|vs|function of)\b"), 30).otherwise(0)
-    other = F.when(low.rlike(r"\b(?:sem|tem|micrograph|microscopy|afm)\b"), 60).otherwise(0) + F.when(low.rlike(r"\b(?:scheme|schematic|illustration|diagram)\b"), 40).otherwise(0)
+    has = lambda words: low.rlike(rf"\b(?:{'|'.join(words)})\b")
+    plot = F.when(has(PLOT_WORDS), 30).otherwise(0)
+    other = F.when(has(MICROSCOPY_WORDS), 60).otherwise(0) + F.when(has(DRAWING_WORDS), 40).otherwise(0)
     return F.when(axes, 40).otherwise(0) + F.when(ticks, 30).otherwise(0) + plot - other
 
 

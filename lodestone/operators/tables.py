@@ -24,9 +24,13 @@ def sample_values(cells: DataFrame, headers: DataFrame, key: str, rows: int = 5,
     return some.groupBy(key, "col").agg(F.slice(ordered, 1, most).alias("samples"))
 
 
+# fixed values: words of a cell that describes
+CELL_WORDS = ("synthesis", "preparation", "method", "prepared", "sample", "material")
+
+
 def is_value_cell(cell):
     """Short, on one line, with a digit, and no description."""
-    return (F.length(cell) <= 50) & ~cell.contains("\n") & cell.rlike("[0-9]") & ~cell.rlike(r"(?i)\b(?:synthesis|preparation|method|prepared|sample|material)\b")
+    return (F.length(cell) <= 50) & ~cell.contains("\n") & cell.rlike("[0-9]") & ~cell.rlike(rf"(?i)\b(?:{'|'.join(CELL_WORDS)})\b")
 
 
 def ambiguous(unit, header_confidence, condition_units=("v", "mv", "a/g", "°c", "k", "h", "min")):
