@@ -266,3 +266,47 @@ def html_items(spark, sf_dir):
 def estimated_tokens(spark, sf_dir):
     proof = F.concat("role", F.lit(" → "), F.col("turn").cast("string"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.estimated_tokens(F.col("text")).alias("tokens"), tx.proof_location(proof).alias("location"))
+
+
+@query(
+    """select p_partkey, p_partkey % 5 = 0 as metadata, p_partkey % 5 = 1 and p_partkey % 2 = 0 as binder, p_partkey % 5 in (2, 3) as formula, p_partkey % 5 = 4 as unit from part"""
+)
+def false_positive_contexts(spark, sf_dir):
+    """Publication marks near the number, binders, equations, and units before it."""
+    n, k = F.col("p_size").cast("string"), F.col("p_partkey") % 5
+    line = (
+        F.when(k == 0, F.concat(F.lit("J. X, Vol. "), n, F.lit(", 3"))).when(k == 1, F.concat(n, F.lit(" PVDF in NMP"))).when(k == 2, F.concat(F.lit("x = 2 * "), n))
+        .when(k == 3, F.concat(F.lit("Csp = Es "), n)).otherwise(F.concat(F.lit("in nm: "), n))
+    )
+    attr = F.when(F.col("p_partkey") % 2 == 0, "Carbon content").otherwise("pore size")
+    rows = table(spark, sf_dir, "part").select("p_partkey", line.alias("line"), n.alias("value"), attr.alias("attr"))
+    c, v = F.col("line"), F.col("value")
+    return rows.select(
+        "p_partkey", candidates.is_near_metadata(c, v).alias("metadata"), candidates.is_binder(c, F.col("attr")).alias("binder"), candidates.is_formula(c).alias("formula"),
+        candidates.unit_around(c, v, F.array(F.lit("nm"))).alias("unit"),
+    )
+
+
+@query(
+    """select p_partkey, (case when p_partkey % 2 = 0 then 200 else 0 end) - (case when p_partkey % 7 = 0 then 1000 else 0 end) + case p_partkey % 3 when 0 then 100 when 1 then 20 else 0 end as score from part"""
+)
+def legacy_scores(spark, sf_dir):
+    k = F.col("p_partkey")
+    line = F.concat(F.when(k % 3 == 0, "the Pore Volume was ").when(k % 3 == 1, "a volume of ").otherwise("it was "), F.col("p_size"))
+    score = candidates.legacy_score(line, F.lit(5), F.lit("pore volume"), k % 2 == 0, k % 7 == 0)
+    rows = table(spark, sf_dir, "part").withColumn("p", F.lit(1))
+    return rows.select("p_partkey", score.alias("score"))
+
+
+@query(
+    """with w as (select item_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) as term, generate_subscripts(string_split_regex(lower(text), '[^a-z0-9]+'), 1) - 1 as word from benchmark)
+select a.item_id, a.word, b.term as value from w a join w b on a.item_id = b.item_id and abs(a.word - b.word) <= 8 where a.term in ('the', 'of') and length(b.term) = 2 and b.term not in ('of')"""
+)
+def keyword_window_values(spark, sf_dir):
+    """What stands within eight words of a keyword: a band join on word numbers."""
+    from lodestone.operators.band import band_join
+
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("word", "term"))
+    keys = words.filter(F.col("term").isin("the", "of")).select("item_id", "word")
+    values = words.filter((F.length("term") == 2) & (F.col("term") != "of")).select("item_id", F.col("word").alias("at"), F.col("term").alias("value"))
+    return band_join(keys, values, ["item_id"], "word", "at", 8).select("item_id", F.col("word").cast("long").alias("word"), "value")
