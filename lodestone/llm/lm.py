@@ -4,8 +4,8 @@ Training counts words and word pairs of all training documents. Workers combine
 before they leave, packed by range of the hash; each range is merged in one task of bounded size. A count c is
 quantised to level 1 + floor(log_BASE(c / cutoff)), and an n-gram of level q enters the Bloom filter as the q
 items (n-gram, 1) ... (n-gram, q). The filter is made range by range, so its parts need no merging, and is
-broadcast. Its size is ``BITS`` a stored item and at most ``MAX_FILTER_BYTES``; beyond that items share fewer
-bits and the error rate grows, but none is left out.
+broadcast. It has ``BITS`` bits for each stored item at every size of input, so its error rate stays the same and
+its size grows with the number of items.
 
 Scoring probes (n-gram, 1), (n-gram, 2), ... until one is missing; the level reached gives the count. The
 probability of a word is an interpolation, P(w|h) = l * c(hw) / c(h) + (1 - l) * P(w), whose weight l depends on
@@ -30,7 +30,7 @@ from lodestone.llm import blocks, words
 from lodestone.llm.shared import sampled, written
 
 BASE, PAIR_CUTOFF = 1.5, 2  # quantisation; pairs seen fewer times than the cutoff are left to the smoothing
-BITS, HASHES, MAX_FILTER_BYTES = 12, 5, 1 << 28
+BITS, HASHES = 12, 5
 HEAD_WORDS, SAMPLE_DOCS = 1 << 20, 2_000
 RANGE_BYTES = 8 << 20  # bytes of text for each hash range
 FLUSH_TOKENS, BLOCK_CHARS = 2_000_000, 1_000_000
@@ -101,21 +101,22 @@ class Filter:
 
     bits: np.ndarray
     starts: np.ndarray  # first bit of each range; one more at the end
+    top: int = 128  # the largest stored level; what seems to be above it is a false positive
 
     def level(self, key: np.ndarray, spread: np.ndarray) -> np.ndarray:
         """The highest level of each key, by probing one level after the other; ``spread`` (0 to 1) names the range."""
         part = np.minimum((spread * (len(self.starts) - 1)).astype(np.int64), len(self.starts) - 2)
         start, size = self.starts[part], (self.starts[part + 1] - self.starts[part]).astype(np.uint64)
         out, live = np.zeros(len(key), np.int64), np.flatnonzero(size > 0)
-        level = 1
-        while len(live):
+        for level in range(1, self.top + 1):
+            if not len(live):
+                break
             item = _items(key[live], level)
             for i in range(HASHES):
                 at = start[live] + _positions(item, size[live], i).astype(np.int64)
                 hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
                 live, item = live[hit], item[hit]
             out[live] = level
-            level += 1
         return out
 
 
@@ -226,8 +227,9 @@ def _merged(table: pa.Table, bits: float) -> pa.Table:
     col = {c: table.column(c).to_pylist() for c in table.column_names}
     w, wc = _summed([np.frombuffer(x, np.uint64) for x in col["words"]], [np.frombuffer(x, "<u4") for x in col["word_counts"]])
     p, pc = _summed([_unpack48(x) for x in col["pairs"]], [np.frombuffer(x, "<u4") for x in col["pair_counts"]])
-    found = []
+    found, top = [], 0
     for key, level in ((word_key(w)[0], levels(wc, 1)), (pair_key(p)[0], levels(pc, PAIR_CUTOFF))):
+        top = max(top, int(level.max(initial=0)))
         for q in range(1, int(level.max(initial=0)) + 1):
             found.append(_items(key[level >= q], q))
     items = np.concatenate(found) if found else np.zeros(0, np.uint64)
@@ -235,8 +237,8 @@ def _merged(table: pa.Table, bits: float) -> pa.Table:
     flags = np.zeros(size, bool)
     for i in range(HASHES):
         flags[_positions(items, np.uint64(size), i).astype(np.int64)] = True
-    row = {"part": [col["part"][0]], "bits": [np.packbits(flags, bitorder="little").tobytes()], "items": [len(items)], "n": [int(wc.sum())], "v": [len(w)], "words": [w.tobytes()], "counts": [wc.astype("<i8").tobytes()]}
-    return pa.table(row, schema=pa.schema([("part", pa.int32()), ("bits", pa.binary()), ("items", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())]))
+    row = {"part": [col["part"][0]], "bits": [np.packbits(flags, bitorder="little").tobytes()], "items": [len(items)], "top": [top], "n": [int(wc.sum())], "v": [len(w)], "words": [w.tobytes()], "counts": [wc.astype("<i8").tobytes()]}
+    return pa.table(row, schema=pa.schema([("part", pa.int32()), ("bits", pa.binary()), ("items", pa.int64()), ("top", pa.int32()), ("n", pa.int64()), ("v", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())]))
 
 
 def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
@@ -245,9 +247,7 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     total, n_docs = texts.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     ranges = max(16, -(-(total or 0) // RANGE_BYTES))
-    # items per byte of text are at most about 1/2, which bounds the filter before it is made
-    bits = min(BITS, MAX_FILTER_BYTES * 8 / max(1, (total or 0) / 2))
-    merged = written(_counted(texts, ranges).groupBy("part").applyInArrow(lambda t: _merged(t, bits), "part int, bits binary, items long, n long, v long, words binary, counts binary"), "counts")
+    merged = written(_counted(texts, ranges).groupBy("part").applyInArrow(lambda t: _merged(t, BITS), "part int, bits binary, items long, top int, n long, v long, words binary, counts binary"), "counts")
 
     def unpack(batches):
         for b in batches:
@@ -265,11 +265,14 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     head = counts.filter(F.col("c") >= (floor if floor is not None else 2**62)).toArrow()
     hashes = head.column("h").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    parts = merged.select("part", "bits", "n", "v").toArrow().to_pydict()
-    made = dict(zip(parts["part"], parts["bits"], strict=True))
-    sizes = [8 * len(made.get(i, b"")) for i in range(ranges)]
-    table = np.frombuffer(b"".join(made.get(i, b"") for i in range(ranges)) or b"\0", np.uint8)
-    model = Model(Filter(table, np.cumsum([0, *sizes])), sum(parts["n"]), sum(parts["v"]), n_docs, np.full(129, 0.2), hashes[order], head.column("c").to_numpy()[order].astype(np.float64))
+    parts = merged.select("part", F.octet_length("bits").alias("bytes"), "top", "n", "v").toArrow().to_pydict()
+    made = np.zeros(ranges, np.int64)
+    made[parts["part"]] = parts["bytes"]
+    starts = np.cumsum([0, *made])
+    table = np.zeros(max(1, int(starts[-1])), np.uint8)
+    for row in merged.select("part", "bits").toLocalIterator():  # the driver holds the filter once and a part of it
+        table[starts[row["part"]] : starts[row["part"] + 1]] = np.frombuffer(row["bits"], np.uint8)
+    model = Model(Filter(table, 8 * starts, max(parts["top"], default=0)), sum(parts["n"]), sum(parts["v"]), n_docs, np.full(129, 0.2), hashes[order], head.column("c").to_numpy()[order].astype(np.float64))
     sample = sampled(texts, SAMPLE_DOCS, n_docs, "text").toArrow().column("text").to_pylist()
     model.learn_weights(sample)
     return model, counts.filter(F.col("c") < (floor if floor is not None else 2**62))

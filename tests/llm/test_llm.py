@@ -275,6 +275,19 @@ def test_lm_filter_reads_back_counts():
     assert (f.level(*lm.word_key(fresh)) > 0).mean() < 0.02
 
 
+def test_lm_filter_has_its_bits_for_every_item_in_large_texts(spark):
+    """600 MB of text, nearly all blanks: 24,000 words keep 12 bits each (and not 7, as a bound by bytes of text gave)."""
+    text = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(199)), lambda i: F.concat(F.lit("w"), F.col("id") * 200 + i)), " "), F.repeat(F.lit(" "), 5_000_000))
+    model, _ = lm.fit(spark.range(0, 120, 1, 16).select(text.alias("text")))
+    assert model.v == 24_001 and 8 * len(model.counts.bits) >= 12 * 24_000
+
+
+def test_lm_filter_level_ends_at_the_largest_stored_one():
+    keys = words.mix(np.arange(1, 101, dtype=np.uint64))
+    full = lm.Filter(np.full(64, 255, np.uint8), np.array([0, 512]), 7)
+    assert (full.level(*lm.word_key(keys)) == 7).all()
+
+
 # 7: exact dedup
 
 
