@@ -9,7 +9,8 @@ its size grows with the number of items.
 
 Scoring probes (n-gram, 1), (n-gram, 2), ... until one is missing; the level reached gives the count. The
 probability of a word is an interpolation, P(w|h) = l * c(hw) / c(h) + (1 - l) * P(w), whose weight l depends on
-the level of the context's count and is learned by deleted interpolation on ``SAMPLE_DOCS`` training documents.
+the level of the context's count and is learned by deleted interpolation on all training documents: a probability
+depends on the levels of context, pair and word only, so the tokens of each combination of levels are counted.
 
 Beside it runs the exact add-one unigram model (``base_score``). Its counts must be exact, and the vocabulary
 has no bound, so the most frequent words (at most ``HEAD_WORDS``) are broadcast, which covers most tokens and
@@ -27,11 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm import blocks, words
-from lodestone.llm.shared import sampled, written
+from lodestone.llm.shared import written
 
-BASE, PAIR_CUTOFF = 1.5, 2  # quantisation; pairs seen fewer times than the cutoff are left to the smoothing
+BASE, PAIR_CUTOFF = 1.5, 1  # quantisation; every pair is stored
+LEVELS = 129  # 0 for what isn't stored, and more than a 64-bit count can reach
 BITS, HASHES = 12, 5
-HEAD_WORDS, SAMPLE_DOCS = 1 << 20, 2_000
+HEAD_WORDS = 1 << 20
 RANGE_BYTES = 8 << 20  # bytes of text for each hash range
 FLUSH_TOKENS, BLOCK_CHARS = 2_000_000, 1_000_000
 END, START = np.uint64(0x5EED0000000000E1), np.uint64(0x5EED0000000000B0)
@@ -101,7 +103,7 @@ class Filter:
 
     bits: np.ndarray
     starts: np.ndarray  # first bit of each range; one more at the end
-    top: int = 128  # the largest stored level; what seems to be above it is a false positive
+    top: int = LEVELS - 1  # the largest stored level; what seems to be above it is a false positive
 
     def level(self, key: np.ndarray, spread: np.ndarray) -> np.ndarray:
         """The highest level of each key, by probing one level after the other; ``spread`` (0 to 1) names the range."""
@@ -138,40 +140,48 @@ class Model:
     head: np.ndarray  # hashes of the most frequent words, sorted
     head_counts: np.ndarray
 
-    def _estimates(self, token, before, less: int = 0):
-        """(level of the context, pair estimate, word estimate) of each token."""
-        words_, pairs = level_counts(1), level_counts(PAIR_CUTOFF)
+    def _levels(self, token: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Levels of the context, the pair and the word of each token."""
         both, at = np.unique(np.concatenate([token, before]), return_inverse=True)
         level = self.counts.level(*word_key(both))
         level[both == START] = levels(np.array([self.docs]), 1)[0]
-        known = words_[level]
-        count, context = known[at[: len(token)]], known[at[len(token) :]]
         keys, where = np.unique(pair_keys(before, token), return_inverse=True)
-        pair = pairs[self.counts.level(*pair_key(keys))][where]
+        return level[at[len(token) :]], self.counts.level(*pair_key(keys))[where], level[at[: len(token)]]
+
+    def _estimates(self, context: np.ndarray, pair: np.ndarray, word: np.ndarray, less: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(pair estimate, word estimate) for the levels of context, pair and word."""
+        words_, pairs = level_counts(1), level_counts(PAIR_CUTOFF)
+        count, context, pair = words_[word], words_[context], pairs[pair]
         if less:  # as if this occurrence hadn't been counted
             pair = np.where(pair - less >= PAIR_CUTOFF, pair - less, 0.0)
             count, context = np.maximum(count - less, 0), np.maximum(context - less, 1)
-        seen = np.minimum(1.0, pair / np.maximum(context, 1.0))
-        return level[at[len(token) :]], seen, (count + 1) / (self.n + self.v + 1)
+        return np.minimum(1.0, pair / np.maximum(context, 1.0)), (count + 1) / (self.n + self.v + 1)
 
-    def learn_weights(self, texts: list[str]) -> None:
-        """Deleted interpolation: expectation maximisation over the sample, each token left out of its own counts."""
-        found = [self._estimates(t, b, 1) for _, part in blocks.text_blocks(texts, BLOCK_CHARS) for t, b, _ in [tokens(part)]]
-        if not found:
+    def level_codes(self, texts: list[str]) -> np.ndarray:
+        """The levels of context, pair and word of each token as one number below LEVELS ** 3."""
+        token, before, _ = tokens(texts)
+        context, pair, word = self._levels(token, before)
+        return (context * LEVELS + pair) * LEVELS + word
+
+    def learn_weights(self, codes: np.ndarray, n: np.ndarray) -> None:
+        """Deleted interpolation: expectation maximisation over tokens, ``n`` of each code, each left out of its own counts."""
+        if not len(codes):
             return
-        level, seen, single = (np.concatenate(x) for x in zip(*found, strict=True))
-        total = np.bincount(level, minlength=len(self.weights)) + 2.0
+        level = codes // LEVELS**2
+        seen, single = self._estimates(level, codes // LEVELS % LEVELS, codes % LEVELS, 1)
+        total = np.bincount(level, n, len(self.weights)) + 2.0
         for _ in range(12):
             w = self.weights[level]
             share = w * seen / np.maximum(w * seen + (1 - w) * single, 1e-300)
-            self.weights = (np.bincount(level, share, len(self.weights)) + 0.2) / total
+            self.weights = (np.bincount(level, n * share, len(self.weights)) + 0.2) / total
 
     def score(self, texts: list[str]):
         """Per text: tokens, log10 probability, and of the head words: known tokens and sum of log10(c + 1); the
         other words as (hashes, frequencies)."""
         token, before, size = tokens(texts)
-        level, seen, single = self._estimates(token, before)
-        w = self.weights[level]
+        context, pair, word = self._levels(token, before)
+        seen, single = self._estimates(context, pair, word)
+        w = self.weights[context]
         logs = np.log10(w * seen + (1 - w) * single)
         first = np.cumsum(size) - size
         at = np.searchsorted(self.head, token)
@@ -241,6 +251,24 @@ def _merged(table: pa.Table, bits: float) -> pa.Table:
     return pa.table(row, schema=pa.schema([("part", pa.int32()), ("bits", pa.binary()), ("items", pa.int64()), ("top", pa.int32()), ("n", pa.int64()), ("v", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())]))
 
 
+def _level_counts(texts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of ``Model.level_codes`` that occur in (text), and how many tokens have each."""
+    sent = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        tally = np.zeros(LEVELS**3, np.int64)
+        for batch in batches:
+            for _, part in blocks.arrow_blocks(batch.column(0), BLOCK_CHARS):
+                codes, n = np.unique(sent.value.level_codes(part), return_counts=True)
+                tally[codes] += n
+        found = np.flatnonzero(tally)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(tally[found], pa.int64())], names=["code", "n"])
+
+    got = texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    sent.destroy()
+    return got.column("code").to_numpy(), got.column("n").to_numpy()
+
+
 def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     """From (text): the model, and the exact counts (h, c) of the words that aren't in its head."""
     spark = docs.sparkSession
@@ -272,9 +300,8 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     table = np.zeros(max(1, int(starts[-1])), np.uint8)
     for row in merged.select("part", "bits").toLocalIterator():  # the driver holds the filter once and a part of it
         table[starts[row["part"]] : starts[row["part"] + 1]] = np.frombuffer(row["bits"], np.uint8)
-    model = Model(Filter(table, 8 * starts, max(parts["top"], default=0)), sum(parts["n"]), sum(parts["v"]), n_docs, np.full(129, 0.2), hashes[order], head.column("c").to_numpy()[order].astype(np.float64))
-    sample = sampled(texts, SAMPLE_DOCS, n_docs, "text").toArrow().column("text").to_pylist()
-    model.learn_weights(sample)
+    model = Model(Filter(table, 8 * starts, max(parts["top"], default=0)), sum(parts["n"]), sum(parts["v"]), n_docs, np.full(LEVELS, 0.2), hashes[order], head.column("c").to_numpy()[order].astype(np.float64))
+    model.learn_weights(*_level_counts(texts, model))
     return model, counts.filter(F.col("c") < (floor if floor is not None else 2**62))
 
 

@@ -288,6 +288,32 @@ def test_lm_filter_level_ends_at_the_largest_stored_one():
     assert (full.level(*lm.word_key(keys)) == 7).all()
 
 
+def test_lm_stores_pairs_seen_once():
+    """Every pair of the training texts counts, those that occur once too."""
+    import pyarrow as pa
+
+    pairs = words.mix(np.arange(1, 2001, dtype=np.uint64)) >> np.uint64(16)
+    t = pa.table({"part": [0], "words": [b""], "word_counts": [b""], "pairs": [lm._pack48(pairs)], "pair_counts": [np.ones(2000, "<u4").tobytes()]})
+    made = lm._merged(t, lm.BITS).column("bits")[0].as_py()
+    f = lm.Filter(np.frombuffer(made, np.uint8), np.array([0, 8 * len(made)]))
+    assert (f.level(*lm.pair_key(pairs)) >= 1).all()
+    assert lm.level_counts(lm.PAIR_CUTOFF)[1] == 1
+
+
+def test_lm_weights_are_learned_on_all_documents(spark):
+    """The weights see every token of 5,000 documents, as expectation maximisation token by token does."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices([f"w{int(i**1.5)}" for i in range(200)], k=rng.randint(1, 30))) for _ in range(5_000)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    model, _ = lm.fit(df)
+    codes, n = lm._level_counts(df, model)
+    assert n.sum() == model.n == sum(len(t.split()) + 1 for t in texts)
+    every = model.level_codes(texts)
+    got, model.weights = model.weights, np.full(lm.LEVELS, 0.2)
+    model.learn_weights(every, np.ones(len(every)))
+    assert got == pytest.approx(model.weights)
+
+
 # 7: exact dedup
 
 
