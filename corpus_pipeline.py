@@ -27,8 +27,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the one with the smallest doc_id stays."""
-    return near_dedup.drop_near_copies(docs).select(*COLUMNS)
+    """Of each group of near duplicates (linked at a similarity of 0.8 or more) the one with the smallest doc_id stays."""
+    return near_dedup.drop_near_copies(docs, percent=80).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

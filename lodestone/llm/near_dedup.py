@@ -3,10 +3,10 @@
 1. A document's set holds the hashes of its distinct five-word shingles (64 bits, over lower-cased words).
    Documents with the same set form a class; one representative per class goes on, so copies never multiply.
 2. A signature of ``COORDS`` coordinates is taken of each set. Sets that are similar enough agree in at least
-   ``MATCHES`` coordinates (at the similarity of the threshold itself all but one pair in 40,000 do).
+   ``matches(percent)`` coordinates (at the similarity of the threshold itself all but one pair in 30,000 do).
 3. Representatives are posted under each (coordinate, value). A value that occurs once can't match anything. Of
-   the others a document needs only its rarest: two signatures with MATCHES common values share one among the
-   COORDS - MATCHES + 1 rarest of each (prefix filter). A document with that many unique values is done.
+   the others a document needs only its rarest: two signatures with m = matches(percent) common values share one among the
+   COORDS - m + 1 rarest of each (prefix filter). A document with that many unique values is done.
 4. Collisions within a posting list are first counted against the list's smallest member only, which is linear.
    Pairs with enough matching coordinates are confirmed on the full sets, the most promising pair of each
    document first; a pair whose ends are connected by then is skipped.
@@ -23,6 +23,7 @@ No task holds a whole posting list, and no list is cut.
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import cache
 
 import numpy as np
@@ -35,13 +36,25 @@ from lodestone.llm import blocks, words
 from lodestone.llm.components import components
 from lodestone.llm.shared import written
 
-SHINGLE, COORDS, MATCHES = 5, 64, 42
-PERCENT = 85  # links have 100 * intersection >= PERCENT * union
+SHINGLE, COORDS = 5, 64
+PERCENT = 85  # by default links have 100 * intersection >= PERCENT * union
+MISSED = 1 / 30_000  # share of the pairs at the threshold itself that may agree in too few coordinates
 BROADCAST_IDS = 2_000_000  # ids (16 MB) up to which the documents to confirm are broadcast; more are shuffled
 BLOCK_CHARS = 1_000_000
 BLOCK_ROWS = 2_048
 
 
+@cache
+def matches(percent: int) -> int:
+    """In how many coordinates a pair must agree: the most that at most ``MISSED`` of the pairs of such similarity stay below."""
+    p, below = percent / 100, 0.0
+    for m in range(COORDS + 1):
+        below += math.comb(COORDS, m) * p**m * (1 - p) ** (COORDS - m)
+        if below > MISSED:
+            return m
+    return COORDS
+
+
 @cache
 def _multipliers() -> np.ndarray:
     return words.mix(np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
@@ -92,21 +105,21 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return written(found.dropDuplicates(["cls"]).select("cls", "set"), "sets")
 
 
-def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures agree in MATCHES coordinates or more, with that number."""
+def _agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose signatures agree in ``matches(percent)`` coordinates or more, with that number."""
     side = lambda c: reps.select(F.col("cls").alias(c), F.col("id").alias(f"{c}_id"), F.col("n").alias(f"{c}_n"), F.col("sig").alias(f"{c}_sig"))
     same: Column = F.aggregate(F.zip_with("a_sig", "b_sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("a_n", "b_n") >= PERCENT * F.greatest("a_n", "b_n"))
-    return both.withColumn("same", same).filter(F.col("same") >= MATCHES).select("a", "b", "a_id", "b_id", "same")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+    return both.withColumn("same", same).filter(F.col("same") >= matches(percent)).select("a", "b", "a_id", "b_id", "same")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs that are links on their full sets, as edges (u, v) between representatives' ids."""
     ids = written(pairs.select(F.explode(F.array("a_id", "b_id")).alias("id")).distinct(), "ids")
     sets = shingle_sets(docs, ids)
     joined = pairs.join(sets.withColumnsRenamed({"cls": "a", "set": "a_set"}), "a").join(sets.withColumnsRenamed({"cls": "b", "set": "b_set"}), "b")
     common = F.size(F.array_intersect("a_set", "b_set"))
-    linked = 100 * common >= PERCENT * (F.size("a_set") + F.size("b_set") - common)
+    linked = 100 * common >= percent * (F.size("a_set") + F.size("b_set") - common)
     return joined.filter(linked).select(F.col("a_id").alias("u"), F.col("b_id").alias("v"))
 
 
@@ -117,7 +130,7 @@ def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.filter(F.coalesce("a_root", "a_id") != F.coalesce("b_root", "b_id")).drop("a_root", "b_root")
 
 
-def links(sketched: DataFrame, docs: DataFrame) -> DataFrame:
+def links(sketched: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """(node, root) for the ids of representatives that are linked, directly or not, with a smaller one."""
     reps = sketched.filter("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     reps = written(reps, "reps")
@@ -126,22 +139,22 @@ def links(sketched: DataFrame, docs: DataFrame) -> DataFrame:
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).filter("freq > 1")
     nth = F.row_number().over(Window.partitionBy("cls").orderBy("freq", "token"))
     unique = COORDS - F.count(F.lit(1)).over(Window.partitionBy("cls"))
-    posted = tokens.join(often, "token").withColumns({"nth": nth, "unique": unique}).filter(F.col("nth") <= COORDS - MATCHES + 1 - F.col("unique"))
+    posted = tokens.join(often, "token").withColumns({"nth": nth, "unique": unique}).filter(F.col("nth") <= COORDS - matches(percent) + 1 - F.col("unique"))
     posted = written(posted.select("token", "cls", "id"), "posted")
 
     head = posted.groupBy("token").agg(F.min(F.struct("id", "cls")).alias("head"))
     starred = posted.join(head, "token").select(F.col("cls").alias("a"), F.col("head.cls").alias("b")).filter("a <> b").distinct()
-    starred = written(_agreeing(starred, reps), "starred")
+    starred = written(_agreeing(starred, reps, percent), "starred")
     best = starred.groupBy("a").agg(F.max_by(F.struct("b", "a_id", "b_id"), F.struct("same", -F.col("b_id"))).alias("x")).select("a", "x.*")
-    edges = written(_confirmed(best, docs), "edges")
+    edges = written(_confirmed(best, docs, percent), "edges")
     roots = components(edges)
-    edges = written(edges.unionByName(_confirmed(_rooted(starred, roots), docs)), "edges")
+    edges = written(edges.unionByName(_confirmed(_rooted(starred, roots), docs, percent)), "edges")
     roots = components(edges)
 
-    return components(edges.unionByName(_across(posted, roots, docs)))
+    return components(edges.unionByName(_across(posted, roots, docs, percent)))
 
 
-def _across(posted: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
+def _across(posted: DataFrame, roots: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between members of one posting list that lie in different components so far."""
     rooted = posted.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     lists = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("id").alias("head")).filter("lo < hi").select("token", "head")
@@ -151,10 +164,10 @@ def _across(posted: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("head", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "id", "root")
     sets = shingle_sets(docs, members.select("id").distinct())
-    return written(dealt.join(sets, "cls").groupBy("head", "i", "j").applyInArrow(_block_links, "u long, v long"), "edges")
+    return written(dealt.join(sets, "cls").groupBy("head", "i", "j").applyInArrow(lambda t: _block_links(t, percent), "u long, v long"), "edges")
 
 
-def _block_links(table: pa.Table) -> pa.Table:
+def _block_links(table: pa.Table, percent: int) -> pa.Table:
     """Links that join components, between the members of blocks i and j of a group."""
     ids, root, block = (table.column(c).to_numpy() for c in ("id", "root", "block"))
     column = table.column("set").combine_chunks()
@@ -178,7 +191,7 @@ def _block_links(table: pa.Table) -> pa.Table:
             for k in range(COORDS):
                 same += sig[part, k][:, None] == sig[right, k][None, :]
             a, b = size[part][:, None], size[right][None, :]
-            near = (same >= MATCHES) & (root[part][:, None] != root[right][None, :]) & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b))
+            near = (same >= matches(percent)) & (root[part][:, None] != root[right][None, :]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
             if i == j:
                 near &= part[:, None] < right[None, :]
             rows, cols = np.nonzero(near)
@@ -188,22 +201,23 @@ def _block_links(table: pa.Table) -> pa.Table:
                 if p == q:
                     continue
                 common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if 100 * common >= PERCENT * (size[x] + size[y] - common):
+                if 100 * common >= percent * (size[x] + size[y] - common):
                     up[max(p, q)] = min(p, q)
                     found.append((int(ids[x]), int(ids[y])))
     return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per input row: id, n_shingles, component_id and kept (the id is the smallest of its component).
 
+    Documents are linked at a similarity of ``percent`` or more.
     Null and empty texts and texts without words have an empty set and are linked with nothing. Rows that share
     an id are one document with several texts. Rows without an id are linked with nothing: component_id is null
     and they are kept. Repeated rows are equal sets of one class. An empty table gives an empty result. Other
     columns of the input are ignored."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sketched = written(sketches(docs, "id", "text"), "sketches")
-    roots = links(sketched, docs)
+    roots = links(sketched, docs, percent)
     classes = sketched.filter("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("rep"))
     rooted = classes.join(roots, classes.rep == roots.node, "left").select("cls", F.coalesce("root", "rep").alias("root"))
     member = sketched.filter("id is not null").select("id", "n", "cls").join(rooted, "cls", "left")
@@ -212,9 +226,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.unionByName(nameless).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``df`` that stay: one document of each group of near copies."""
-    gone = near_duplicates(df, id_col, text_col).filter("not kept").select(F.col(id_col).alias("__gone"))
+    gone = near_duplicates(df, id_col, text_col, percent).filter("not kept").select(F.col(id_col).alias("__gone"))
     gone = written(gone.distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")

@@ -493,6 +493,20 @@ def test_near_duplicates_in_chains_and_crowds(spark, monkeypatch, block):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows)
 
 
+def test_near_copies_at_each_threshold(spark):
+    """Three groups of two texts with 100 shingles each: .78, .82 (a link at 80 only) and .9."""
+    import corpus_pipeline
+
+    rows = []
+    for g, common in enumerate((88, 90, 95)):  # of 100 shingles: 88 / 112, 90 / 110, 95 / 105
+        w = [f"g{g}w{i}" for i in range(104)]
+        rows += [(10 * g + 1, " ".join(w), "en", "s", 1), (10 * g + 2, " ".join([*w[: common + 4], *(f"other{g}x{i}" for i in range(100 - common))]), "en", "s", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    linked = lambda percent: {r["doc_id"] for r in near_dedup.near_duplicates(df, percent=percent).collect() if not r["kept"]}
+    assert linked(80) == {12, 22} and linked(85) == {22}
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, SF).collect()} == {1, 2, 11, 21}
+
+
 def test_word_hashes_tell_words_apart():
     texts = ["Abc abc ABC", "", " x ", "é É", "a" * 3_000_000 + " b"]
     h, upto = words.word_hashes(texts)
