@@ -66,13 +66,24 @@ def sampled_text(df: DataFrame, key: str) -> DataFrame:
 
 
 def text_score(content: Column, units: str, keywords: str, reach: int = 80) -> Column:
-    """Density of measurements: 1 for each near a keyword, .2 for each other; 8 and more score 1, 4 .75, 1 .4."""
+    """Density of measurements: 1 for each near a keyword, .2 for each other; 8 and more score 1, 4 .75, 1 .4.
+
+    Each measurement has its own window, ``reach`` characters before and after it; one keyword may vouch for several."""
     low = F.lower(content)
     number = r"\d+(?:\.\d+)?(?:e[-+]?\d+)?"
     measured = rf"{number}\s*(?:{units})(?![a-z0-9])"
-    near = rf"(?s)(?:(?:{keywords}).{{0,{reach}}}{measured}|{measured}.{{0,{reach}}}(?:{keywords}))"
-    total, close = F.regexp_count(low, F.lit(measured)), F.regexp_count(low, F.lit(near))
-    points = close + (total - F.least(close, total)) * 0.2
+    found = F.regexp_extract_all(low, F.lit(measured), F.lit(0))
+
+    def one(st: Column, m: Column) -> Column:
+        begin = st["end"] + F.length(m["gap"])
+        end = begin + F.length(m["text"])
+        first = F.greatest(F.lit(0), begin - reach)
+        near = F.substring(low, first + 1, end + reach - first).rlike(keywords)
+        return F.struct(end.alias("end"), (st["close"] + near.cast("int")).alias("close"))
+
+    each = F.zip_with(F.slice(F.split(low, measured), F.lit(1), F.size(found)), found, lambda gap, text: F.struct(gap.alias("gap"), text.alias("text")))
+    close = F.aggregate(each, F.struct(F.lit(0).alias("end"), F.lit(0).alias("close")), one, lambda st: st["close"])
+    points = F.round(close + (F.size(found) - close) * 0.2, 1)  # tenths, so that five isolated ones make 1
     return F.when(points >= 8, 1.0).when(points >= 4, 0.75).when(points >= 1, 0.4).otherwise(0.0)
 
 

@@ -111,6 +111,22 @@ def text_density_score(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", pages.text_score(F.col("text"), "der|the|de", "no such keyword").alias("score"))
 
 
+@query(
+    r"""with d as (select doc_id, replace(lower(text), ' the ', ' 7 nm ') as low from documents),
+m as (select doc_id, low, string_split_regex(low, '[0-9]+(?:\.[0-9]+)?(?:e[-+]?[0-9]+)?\s*(?:nm)(?:[^a-z0-9]|$)') as gaps, regexp_extract_all(low, '[0-9]+(?:\.[0-9]+)?(?:e[-+]?[0-9]+)?\s*(?:nm)(?:[^a-z0-9]|$)') as full_,
+  regexp_extract_all(low, '([0-9]+(?:\.[0-9]+)?(?:e[-+]?[0-9]+)?\s*(?:nm))(?:[^a-z0-9]|$)', 1) as core from d),
+e as (select doc_id, low, i, length(gaps[i]) as gap, length(full_[i]) as whole, length(core[i]) as n from (select *, unnest(range(1, len(full_) + 1)) as i from m)),
+s as (select doc_id, low, n, sum(gap + whole) over (partition by doc_id order by i) - whole as start from e),
+w as (select doc_id, case when regexp_matches(substr(low, cast(greatest(start - 80, 0) + 1 as bigint), cast(start + n + 80 - greatest(start - 80, 0) as bigint)), 'tion|ement') then 10 else 2 end as tenths from s),
+p as (select doc_id, sum(tenths) as points from w group by 1)
+select doc_id, case when points >= 80 then 1.0 when points >= 40 then 0.75 when points >= 10 then 0.4 else 0.0 end::double as score from documents left join p using (doc_id)"""
+)
+def text_density_near_keywords(spark, sf_dir):
+    """Each " the " stands for a measurement in nm; the keywords occur near some of them."""
+    low = F.replace(F.lower("text"), F.lit(" the "), F.lit(" 7 nm "))
+    return table(spark, sf_dir, "documents").select("doc_id", pages.text_score(low, "nm", "tion|ement").alias("score"))
+
+
 @query(
     """select p_partkey, case when p_size % 4 > 0 then least(1.0, 0.3 + 0.1 * (p_size % 4) + 0.5 * coalesce((p_size % 7) / nullif(p_size % 11, 0), 0) + least(0.2, greatest(0.0, (p_size % 9 - 2) * 0.05))) else 0.0 end::double as table_score,
   greatest(coalesce(case when p_size % 3 > 0 then 0.6 * (p_size % 3) / 3 + 0.4 * (p_size % 5) / 5 else 0.4 * (p_size % 5) / 5 end, 0), case when p_size % 4 >= 2 and p_size > 20 then 0.4 else 0.0 end)::double as plot_score from part"""

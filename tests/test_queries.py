@@ -117,6 +117,18 @@ def test_clustered_boxes(spark):
     assert got == [(1, 0.0, 0.0, 410.0, 10.0, 5), (1, 0.0, 900.0, 10.0, 910.0, 1)]
 
 
+def test_text_score_gives_each_measurement_its_own_window(spark):
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import pages
+
+    far = "x" * 81
+    texts = ["capacitance of 200 f/g, 210 f/g, 220 f/g and 230 f/g", f"5 f/g {far} capacitance", "5 f/g" + " " * 69 + "capacitance", "5 f/g" + " " * 70 + "capacitance", "1 f/g " * 4, "1 f/g " * 5, "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(pages.text_score(F.col("t"), "f/g", "capacitance")).collect()]
+    assert got == [0.75, 0.0, 0.4, 0.0, 0.0, 0.4, 0.0, 0.0]
+
+
 def test_empty_tables(spark):
     """Operators give empty results for empty tables."""
     from lodestone.operators import candidates, curves, merge, pages
