@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,12 +78,47 @@ def final_score(primary, alias, secondary, attributes, measurements, shared, str
 
 
 def term_hits(docs: DataFrame, key: str, text_col: str, terms: DataFrame) -> DataFrame:
-    """(key, term, strength, attribute, word): every occurrence of a one-word term, by the index of its word.
-
-    The text is split once and its words meet the terms in an equi-join, so the cost doesn't grow with the number of
-    terms. ``terms`` is (term, strength, attribute)."""
-    words = docs.select(key, F.posexplode(F.split(F.lower(text_col), "[^a-z0-9]+")).alias("word", "term"))
-    return words.join(terms, "term").select(key, "term", "strength", "attribute", "word")
+    """(key, term, strength, attribute, word): every occurrence of a term, by the index of its first word.
+
+    The text is split once into words (a-z, 0-9) and what separates them. Runs of as many words as a term has, with
+    the separators between them, meet the terms in an equi-join, so the cost grows with the number of different lengths
+    of terms and not with the number of terms. Other characters at a term's ends are held against the separators around
+    the run. A term of several words or with other characters must stand between word boundaries; a plain word is one
+    between separators. Case doesn't count. A term without any of a-z and 0-9 is an error. ``terms`` is (term, strength,
+    attribute)."""
+    core = F.regexp_extract(F.lower("term"), r"(?s)[a-z0-9](?:.*[a-z0-9])?", 0)
+    core = F.when(core == "", F.raise_error(F.concat(F.lit("no letter a-z or digit in the term "), F.col("term")))).otherwise(core)
+    named = terms.select("term", "strength", "attribute", F.lower("term").alias("_low"), core.alias("_core"))
+    at = F.instr("_low", F.col("_core"))
+    named = named.select("*", F.substring("_low", F.lit(1), at - 1).alias("_lead"), F.substring("_low", at + F.length("_core"), F.length("_low")).alias("_trail"))
+    named = named.withColumns({"_n": F.regexp_count("_core", F.lit("[a-z0-9]+")), "_plain": F.col("_low").rlike("^[a-z0-9]+$")})
+    low = F.lower(text_col)
+    split = docs.select(key, F.split(low, "[^a-z0-9]+").alias("_t"), F.regexp_extract_all(low, F.lit("[^a-z0-9]+"), F.lit(0)).alias("_s"))
+    nothing = F.array().cast("array<struct<word:int,_core:string,_before:string,_after:string>>")
+
+    def runs(n: int) -> Column:
+        def run(i: Column) -> Column:
+            parts = [F.get("_t", i)]
+            for j in range(1, n):
+                parts += [F.get("_s", i + (j - 1)), F.get("_t", i + j)]
+            # the separators around the run, with the letters beyond them
+            before = F.coalesce(F.concat(F.right(F.get("_t", i - 1), F.lit(1)), F.get("_s", i - 1)), F.lit(""))
+            after = F.coalesce(F.concat(F.get("_s", i + (n - 1)), F.left(F.get("_t", i + n), F.lit(1))), F.lit(""))
+            return F.struct(i.alias("word"), F.concat(*parts).alias("_core"), before.alias("_before"), after.alias("_after"))
+
+        return F.when(F.size("_t") >= n, F.transform(F.sequence(F.lit(0), F.size("_t") - n), run)).otherwise(nothing)
+
+    before = F.expr("substring(_before, 1, length(_before) - length(_lead))")
+    after = F.expr("substring(_after, length(_trail) + 1)")
+    within = (F.col("_low").rlike(r"^[\p{L}\p{N}_]") & before.rlike(r"[\p{L}\p{N}_]$")) | (F.col("_low").rlike(r"[\p{L}\p{N}_]$") & after.rlike(r"^[\p{L}\p{N}_]"))
+    bounded = F.endswith("_before", "_lead") & F.startswith("_after", "_trail") & ~within
+    hits = []
+    for n in sorted(r["_n"] for r in named.select("_n").distinct().collect()):
+        met = split.select(key, F.inline(runs(n))).join(named.filter(F.col("_n") == n), "_core")
+        hits.append(met.filter(F.col("_plain") | bounded).select(key, "term", "strength", "attribute", "word"))
+    if not hits:
+        return split.join(terms, F.lit(False)).select(key, "term", "strength", "attribute", F.lit(0).alias("word"))
+    return reduce(DataFrame.unionByName, hits)
 
 
 def proximity(hits: DataFrame, measurements: DataFrame, key: str, words: int = 15) -> DataFrame:

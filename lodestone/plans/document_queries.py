@@ -188,6 +188,19 @@ def term_occurrences(spark, sf_dir):
     return hits.groupBy("doc_id", "term", "strength", "attribute").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    r"""with t(term, strength, attribute) as (values ('of the', 'primary', 'a'), ('and the', 'secondary', 'b'), ('the', 'alias', 'c')),
+d as (select doc_id, lower(text) as low from documents)
+select doc_id, term, strength, attribute, n from (select doc_id, term, strength, attribute,
+  case when contains(term, ' ') then len(regexp_extract_all(regexp_replace(low, '[^\p{L}\p{N}_]', '\0\0', 'g'), '(?:^|[^\p{L}\p{N}_])' || replace(term, ' ', '  ') || '(?:[^\p{L}\p{N}_]|$)'))
+  else len(list_filter(string_split_regex(low, '[^a-z0-9]+'), lambda x: x = term)) end as n from d, t) where n > 0"""
+)
+def phrase_occurrences(spark, sf_dir):
+    terms = spark.createDataFrame([("of the", "primary", "a"), ("and the", "secondary", "b"), ("the", "alias", "c")], "term string, strength string, attribute string")
+    hits = screening.term_hits(table(spark, sf_dir, "documents"), "doc_id", "text", F.broadcast(terms))
+    return hits.groupBy("doc_id", "term", "strength", "attribute").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     """with w as (select doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) as term, generate_subscripts(string_split_regex(lower(text), '[^a-z0-9]+'), 1) - 1 as word from documents)
 select a.doc_id, count(*) filter (abs(a.word - b.word) <= 15) as strong, count(*) filter (abs(a.word - b.word) > 15) as weak

@@ -129,6 +129,17 @@ def test_text_score_gives_each_measurement_its_own_window(spark):
     assert got == [0.75, 0.0, 0.4, 0.0, 0.0, 0.4, 0.0, 0.0]
 
 
+def test_term_hits_finds_whole_phrases(spark):
+    from lodestone.operators.screening import term_hits
+
+    names = ["specific capacitance", "surface-area", "capacité", "électrode", "BET", "a b a", "°C"]
+    terms = spark.createDataFrame([(t, "primary", "x") for t in names], "term string, strength string, attribute string")
+    texts = ["The Specific capacitance, not specific  capacitance or unspecific capacitance", "surface-area; surface area, surface-areas", "l'électrode à capacité, capacités", "by BET a b a b a at 25 °C or 25°C", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = sorted((r["i"], r["term"], r["word"]) for r in term_hits(df, "i", "t", terms).collect())
+    assert got == [(0, "specific capacitance", 1), (1, "surface-area", 0), (2, "capacité", 2), (2, "électrode", 1), (3, "BET", 1), (3, "a b a", 2), (3, "a b a", 4), (3, "°C", 9), (3, "°C", 12)]
+
+
 def test_empty_tables(spark):
     """Operators give empty results for empty tables."""
     from lodestone.operators import candidates, curves, merge, pages
