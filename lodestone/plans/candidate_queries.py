@@ -219,6 +219,18 @@ def title_dedup(spark, sf_dir):
     return acquisition.new_papers(found, stored, ["doc_id"]).select("doc_id")
 
 
+@query(
+    """with k as (select doc_id, regexp_replace(lower(text), '[^a-z0-9_]+', '', 'g') as t from documents),
+fresh as (select * from k where doc_id % 2 = 1 and t not in (select t from k where doc_id % 2 = 0))
+select min(doc_id) as doc_id from fresh group by t"""
+)
+def text_dedup(spark, sf_dir):
+    """The whole normalised text is the key and every document takes part: odd ids are found, even ones stored."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("title"), F.lit(None).cast("string").alias("doi"))
+    found, stored = docs.filter("doc_id % 2 = 1"), docs.filter("doc_id % 2 = 0")
+    return acquisition.new_papers(found, stored, ["doc_id"]).select("doc_id")
+
+
 @query(
     """with e as (select 0 as engine_rank, o_orderkey as id, (o_orderkey % 100) / 100.0 as score from orders where o_orderkey % 3 = 0 union all select 1, o_orderkey, (o_orderkey % 100) / 100.0 from orders where o_orderkey % 3 = 1)
 select engine_rank, id, score::double as relevance_score from e where score >= 0.35 order by engine_rank, id limit 200"""
