@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import lookup_key
@@ -68,3 +68,10 @@ def refined_query(query: Column, primary: Column) -> Column:
     """A search text with the two first keywords that it lacks."""
     more = F.slice(F.filter(primary, lambda k: ~F.lower(query).contains(F.lower(k))), 1, 2)
     return F.concat_ws(" ", query, more)
+
+
+def words_at(starts: DataFrame, offsets: DataFrame, key: str) -> DataFrame:
+    """(key, pos, word): the last word that starts at or before each offset; ``starts`` is (key, word, pos)."""
+    both = starts.select(key, "pos", "word", F.lit(0).alias("_o")).unionByName(offsets.select(key, "pos", F.lit(None).cast("int").alias("word"), F.lit(1).alias("_o")))
+    so_far = Window.partitionBy(key).orderBy("pos", "_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("word", F.max("word").over(so_far)).filter("_o = 1").select(key, "pos", "word")

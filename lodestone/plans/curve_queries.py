@@ -115,6 +115,17 @@ def gaps_islands(spark, sf_dir):
     return curves.islands(rows, "g", "pos")
 
 
+@query(
+    """with e as (select event_type as g, event_id as pos from events),
+s as (select *, case when pos - lag(pos) over (partition by g order by pos) <= 10 then 0 else 1 end as st from e),
+i as (select *, sum(st) over (partition by g order by pos rows unbounded preceding) as island from s)
+select g, cast(island as bigint) as island, min(pos) as first, max(pos) as last, count(*) as n from i group by g, island"""
+)
+def event_islands(spark, sf_dir):
+    """All events: the gaps are those that the other types leave in a type's ids."""
+    return curves.islands(table(spark, sf_dir, "events").select(F.col("event_type").alias("g"), F.col("event_id").alias("pos")), "g", "pos")
+
+
 @query(
     """with h as (select event_type as g, cast(floor(value) as bigint) as bin, count(*) as n from events group by 1, 2),
 l as (select *, coalesce(lag(n) over w, 0) as a, coalesce(lead(n) over w, 0) as b from h window w as (partition by g order by bin))

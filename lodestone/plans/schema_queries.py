@@ -184,3 +184,17 @@ def offset_to_word(spark, sf_dir):
     found = words.withColumn("pos", F.coalesce(length, F.lit(0).cast("long"))).filter("word % 5 = 0")
     back = F.size(F.split(F.substring("text", F.lit(1), (F.col("pos") + 1).cast("int")), " ")) - 1
     return found.select("item_id", back.cast("long").alias("word"), "pos")
+
+
+@query(
+    r"""with w as (select item_id, string_split(text, ' ') as ws from benchmark), p as (select item_id, unnest(ws) as w, generate_subscripts(ws, 1) - 1 as word from w),
+s as (select item_id, w, word, sum(length(w) + 1) over (partition by item_id order by word) - length(w) - 1 as start from p)
+select item_id, word, (start + length(w) // 2)::bigint as pos from s"""
+)
+def offsets_to_words(spark, sf_dir):
+    """The word number of an offset inside every word: one pass over word starts and offsets, nothing is split again."""
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("word", "w"))
+    before = F.sum(F.length("w") + 1).over(Window.partitionBy("item_id").orderBy("word").rowsBetween(Window.unboundedPreceding, -1))
+    starts = words.select("item_id", "word", F.coalesce(before, F.lit(0).cast("long")).alias("pos"), F.length("w").alias("n"))
+    offsets = starts.select("item_id", (F.col("pos") + F.floor(F.col("n") / 2)).alias("pos"))
+    return schema.words_at(starts.drop("n"), offsets, "item_id").select("item_id", F.col("word").cast("long").alias("word"), "pos")

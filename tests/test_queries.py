@@ -151,6 +151,13 @@ def test_text_dedup_reads_whole_texts_of_all_documents(spark, tmp_path):
     same(catalog.QUERIES["text_dedup"](spark, str(tmp_path)), duckdb.sql(catalog.ORACLE_SQL["text_dedup"].replace("from documents", f"from '{tmp_path}/documents.parquet/*.parquet'")))
 
 
+def test_every_offset_and_every_event_takes_part(spark, con):
+    words = con.sql("select sum(len(string_split(text, ' '))) from benchmark").fetchall()[0][0]
+    assert catalog.QUERIES["offsets_to_words"](spark, SF).count() == words
+    islands = catalog.QUERIES["event_islands"](spark, SF).collect()
+    assert sum(r["n"] for r in islands) == con.sql("select count(*) from events").fetchall()[0][0] and len(islands) > 100
+
+
 def test_empty_tables(spark):
     """Operators give empty results for empty tables."""
     from lodestone.operators import candidates, curves, merge, pages
