@@ -32,8 +32,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources come to their target weights: a row for each copy that the mix takes of a document."""
-    return mixing.mixed_rows(docs, length_col="n_chars").select(*COLUMNS)
+    """Sources come to their target weights: a row for each copy that the mix takes of a document, all of them whole."""
+    return mixing.mixed_rows(docs, whole=True).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

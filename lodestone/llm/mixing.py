@@ -160,17 +160,24 @@ def mix(
 
 
 def mix_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
-    """Per document: id, size, source_size, target and ``taken``, the words of all its copies in the mix."""
+    """Per document: id, size, source_size, target, ``taken``, the words of all its copies in the mix, and ``copies``, where
+    the deal puts them: (copy, words, shard, place) by copy."""
     rows = mix(df.select(id_col, text_col, source_col), id_col, text_col, source_col, **params)
-    ids = rows.select(F.col(f"row.`{id_col}`").alias(id_col), "size", "source_size", "target", "row_key", "words")
-    return ids.groupBy("row_key", id_col, "size", "source_size", "target").agg(F.sum("words").alias("taken")).drop("row_key")
+    ids = rows.select(F.col(f"row.`{id_col}`").alias(id_col), "size", "source_size", "target", "row_key", "words", "copy", "shard", "place")
+    return ids.groupBy("row_key", id_col, "size", "source_size", "target").agg(
+        F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.when(F.col("copy").isNotNull(), F.struct("copy", "words", "shard", "place")))).alias("copies")
+    ).drop("row_key")
 
 
-def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = None, **params) -> DataFrame:
+def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = None, whole: bool = False, **params) -> DataFrame:
     """The mix itself with the input's columns: a row per copy; a cut copy holds the leading words that count.
 
+    With ``whole`` no document is cut: the one at the target's end comes whole, so a source may pass its target by less
+    than that document.
     ``length_col`` names a column of text lengths to bring up to date in cut copies."""
     rows = mix(df, id_col, text_col, source_col, **params).filter("words > 0")
+    if whole:
+        return rows.select("row.*")
     text = F.col(f"row.`{text_col}`")
     head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")
     kept = F.when(F.col("words") < F.col("size"), head).otherwise(text)

@@ -418,6 +418,16 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix_digest(empty).count() == 0
 
 
+def test_mixing_deals_every_copy_and_keeps_documents_whole(spark, docs):
+    import corpus_pipeline
+
+    for r in mixing.mix_digest(docs, block_words=500, n_shards=5).collect():
+        assert sum(c["words"] for c in r["copies"]) == r["taken"]
+        assert all(0 <= c["shard"] < 5 and c["place"] is not None for c in r["copies"])
+    texts = {t for _, t, *_ in odd_documents()}
+    assert all(r["text"] in texts for r in corpus_pipeline.mix_sources(spark, docs, SF).collect())
+
+
 def test_splitting_tree_deals_every_block_once(spark):
     quotas = spark.createDataFrame([("a", 100), ("b", 7), (None, 0), ("c", 33)], "source string, blocks long")
     leaves = mixing.shard_quotas(quotas, 6, 1).collect()
