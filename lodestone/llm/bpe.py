@@ -6,8 +6,12 @@ contraction). Over these classes the pattern is a finite automaton. The transiti
 generate a small finite monoid, so "which state precedes each character" is a prefix product of monoid elements:
 an associative scan, done over columns of equally long segments with one table lookup per character.
 
-The slices between boundaries go through a bounded cache to the pair merging, which runs once per distinct slice.
-Each token's byte start is retained, so a range of bytes or tokens can be decoded by itself.
+The slices between boundaries go through a cache, bounded in bytes, to the pair merging, which runs once per
+distinct slice. Each token's byte start is retained: decoding copies every token's bytes to its start, and a range of
+bytes or tokens can be decoded by itself.
+
+The scan goes over ``SCAN_CHARS`` characters at a time and carries the state on, so a text of any length needs the
+same scratch arrays.
 """
 
 from __future__ import annotations
@@ -26,7 +30,10 @@ from pyspark.sql import types as T
 
 from lodestone.llm import blocks
 
-CACHE_PIECES, CACHE_CHARS = 250_000, 64  # entries of a worker's cache; longer slices aren't kept for later blocks
+CACHE_BYTES, CACHE_CHARS = 24 << 20, 64  # a worker's cache of slices; longer slices aren't kept for later blocks
+BLOCK_CHARS, SCAN_CHARS = 250_000, 1 << 18  # characters encoded and scanned at once
+# the only pattern that the automaton stands for (a fixed value)
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 # classes
 LETTER, NUMBER, OTHER, SHORT, LONG, BLANKS, JOINED, ALONE, END = range(9)
@@ -51,7 +58,7 @@ def _automaton() -> tuple[np.ndarray, np.ndarray]:
 
 @cache
 def _monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(element of each class, flat product table, state reached from CLOSED by each element)."""
+    """(element of each class, flat product table, state that each element leads to, by state before it)."""
     step, _ = _automaton()
     elements = {tuple(range(8)): 0}
     letters = [tuple(step[:, k].tolist()) for k in range(9)]
@@ -63,7 +70,7 @@ def _monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 elements[h] = len(elements)
                 queue.append(h)
     table = np.array([[elements[tuple(g[s] for s in f)] for g in queue] for f in queue], np.int32)
-    return np.array([elements[g] for g in letters], np.int32), table, np.array([f[CLOSED] for f in queue], np.uint8)
+    return np.array([elements[g] for g in letters], np.int32), table, np.array(queue, np.uint8).T.copy()
 
 
 def _prefixes(x: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -105,6 +112,17 @@ def _class_table() -> np.ndarray:
 
 def slice_starts(text: str, ends: np.ndarray) -> np.ndarray:
     """Where the pattern's matches begin in ``text``, in which the positions ``ends`` are separators."""
+    found, state = [], CLOSED
+    for a in range(0, len(text), SCAN_CHARS):
+        n = min(SCAN_CHARS, len(text) - a)
+        inner = ends[np.searchsorted(ends, a) : np.searchsorted(ends, a + n + 2)] - a
+        begins, state = _scan(text[a : a + n + 2], inner, n, state)
+        found.append(begins + a)
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def _scan(text: str, ends: np.ndarray, n: int, state: int) -> tuple[np.ndarray, int]:
+    """The starts among the first ``n`` characters, and the state after them; the rest of ``text`` is what follows."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     cls = _class_table()[points]
     cls[ends] = END
@@ -122,10 +140,17 @@ def slice_starts(text: str, ends: np.ndarray) -> np.ndarray:
         cls[quotes[short]] = SHORT
         cls[quotes[pair("r", "e") | pair("v", "e") | pair("l", "l")]] = LONG
     letters, table, reached = _monoid()
-    state = reached[_prefixes(letters[cls], table)]
-    begins = _automaton()[1][state, cls]
-    begins[ends] = False
-    return np.flatnonzero(begins)
+    elements = letters[cls[:n]]
+    before = _prefixes(elements, table)
+    states = reached[state][before]
+    begins = _automaton()[1][states, cls[:n]]
+    begins[ends[ends < n]] = False
+    return np.flatnonzero(begins), int(reached[state][table[before[-1], elements[-1]]])
+
+
+def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers first[i] ... first[i] + size[i] - 1 of all i, one after the other."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first, size)
 
 
 class PairMerges:
@@ -151,20 +176,29 @@ class PairMerges:
         at = np.searchsorted(self.keys[:-1], key)
         return np.where(self.keys[at] == key, self.values[at], self.NONE)
 
-    def __call__(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        out: list[tuple[int, ...]] = [()] * len(pieces)
-        short = []
-        for i, p in enumerate(pieces):
-            if p in self.ranks:
-                out[i] = (self.ranks[p],)
-            elif len(p) > 128:
-                out[i] = _merge_long([p[j : j + 1] for j in range(len(p))], self.ranks)
-            else:
-                short.append(i)
-        if not short:
-            return out
-        ids = self.bytes[np.frombuffer(b"".join(pieces[i] for i in short), np.uint8)]
-        owner = np.repeat(np.arange(len(short)), [len(pieces[i]) for i in short])
+    def __call__(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces one after the other, and how many each piece has."""
+        size = np.ones(len(pieces), np.int64)
+        whole = [self.ranks.get(p, -1) for p in pieces]
+        long = {i: _merge_long([p[j : j + 1] for j in range(len(p))], self.ranks) for i, p in enumerate(pieces) if whole[i] < 0 and len(p) > 128}
+        short = np.array([i for i, r in enumerate(whole) if r < 0 and i not in long], np.int64)
+        owner, merged = self._short([pieces[i] for i in short.tolist()])
+        size[short] = np.bincount(owner, minlength=len(short))
+        size[list(long)] = [len(x) for x in long.values()]
+        first = np.cumsum(size) - size
+        ids = np.empty(int(size.sum()), np.int32)
+        ids[first] = whole
+        ids[ragged(first[short], size[short])] = merged
+        for i, x in long.items():
+            ids[first[i] : first[i] + len(x)] = x
+        return ids, size
+
+    def _short(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the piece, id) of every token, in order."""
+        if not pieces:
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        ids = self.bytes[np.frombuffer(b"".join(pieces), np.uint8)]
+        owner = np.repeat(np.arange(len(pieces)), list(map(len, pieces)))
         rank = np.full(len(ids), self.NONE)
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         rank[inner] = self.rank(ids[inner], ids[inner + 1])
@@ -194,10 +228,7 @@ class PairMerges:
                 rank[i] = self.rank(ids[i], ids[i + 1])
         owner, ids = np.concatenate([o for o, _ in done]), np.concatenate([x for _, x in done])
         order = np.argsort(owner, kind="stable")
-        ids, cuts = ids[order].tolist(), np.cumsum(np.bincount(owner, minlength=len(short))).tolist()
-        for i, a, b in zip(short, [0, *cuts], cuts, strict=False):
-            out[i] = tuple(ids[a:b])
-        return out
+        return owner[order], ids[order]
 
 
 def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> tuple[int, ...]:
@@ -224,79 +255,108 @@ def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> tuple[int, ...]:
 class Codec:
     """Encoder and decoder for a rank file (lines of base64 token and rank)."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, pattern: str = PATTERN) -> None:
+        if pattern != PATTERN:
+            raise ValueError("the automaton stands for another pattern")
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.tokens = [b""] * (max(self.ranks.values()) + 1)
+        tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
-            self.tokens[rank] = token
-        self.decimal = [str(i) for i in range(len(self.tokens))]
+            tokens[rank] = token
+        self.size = np.array(list(map(len, tokens)), np.int64)  # bytes of each token, which stand one after the other in flat
+        self.first, self.flat = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(tokens), np.uint8)
+        self.decimal = [str(i) for i in range(len(tokens))]
         self.merges = PairMerges(self.ranks)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.long: list[str] = []
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}  # slice -> its number; the ids of the slices stand one after the other
+        self.sizes, self.ids, self.held = np.zeros(0, np.int32), np.zeros(0, np.int32), 0
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        ids, upto, _ = self.encode_block(texts)
+        return [ids[a:b].tolist() for a, b in zip([0, *upto[:-1]], upto, strict=True)]
+
+    def encode_block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, tokens up to each text's end, byte at which each token begins in all texts together)."""
         joined = "\0".join(texts) + "\0"
         ends = np.cumsum([len(t) + 1 for t in texts]) - 1
         starts = slice_starts(joined, ends)
-        cuts = np.searchsorted(starts, ends).tolist()
+        cuts = np.searchsorted(starts, ends)
         stops = np.append(starts[1:], len(joined))
         filled = np.diff(cuts, prepend=0) > 0
-        stops[np.array(cuts)[filled] - 1] = ends[filled]
-        pieces = list(map(joined.__getitem__, map(slice, starts.tolist(), stops.tolist())))
-        look, ids, first = self._merged(set(pieces)).__getitem__, [], 0
-        for c in cuts:
-            ids.append(list(itertools.chain.from_iterable(map(look, pieces[first:c]))))
-            first = c
-        return ids
-
-    def _merged(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
-        """The cache, with all these slices in it. A full cache starts afresh; very long slices leave it soon."""
-        if len(self.known) > CACHE_PIECES:
-            self.known = {}
-        for p in self.long:
-            self.known.pop(p, None)
-        new = list(pieces.difference(self.known))
-        self.known.update(zip(new, self.merges([p.encode("utf-8", "surrogatepass") for p in new]), strict=True))
-        self.long = [p for p in new if len(p) > CACHE_CHARS]
-        return self.known
+        stops[cuts[filled] - 1] = ends[filled]
+        ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for i in range(0, len(starts), 65_536):
+            pieces = list(map(joined.__getitem__, map(slice, starts[i : i + 65_536].tolist(), stops[i : i + 65_536].tolist())))
+            more, size = self._looked_up(pieces)
+            ids.append(more)
+            sizes.append(size)
+        ids, upto = np.concatenate(ids), np.cumsum(np.concatenate(sizes), dtype=np.int64)
+        length = self.size[ids]
+        return ids, np.append(0, upto)[cuts], np.cumsum(length) - length
+
+    def _looked_up(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these slices and how many each has. A full cache starts afresh; long slices leave it at once."""
+        if self.held > CACHE_BYTES:
+            self._clear()
+        new = sorted(set(pieces).difference(self.known), key=len)
+        at, n_ids = len(self.sizes), len(self.ids)
+        self.known.update(zip(new, range(at, at + len(new)), strict=True))
+        ids, sizes = self.merges([p.encode("utf-8", "surrogatepass") for p in new])
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes.astype(np.int32)])
+        number = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        first = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        size = self.sizes[number]
+        out = self.ids[ragged(first[number], size.astype(np.int64))]
+        kept = sum(len(p) <= CACHE_CHARS for p in new)  # they are sorted by length
+        for p in new[kept:]:
+            del self.known[p]
+        self.sizes = self.sizes[: at + kept]
+        self.ids = self.ids[: n_ids + int(sizes[:kept].sum())]
+        self.held += sum(160 + 2 * len(p) for p in new[:kept])
+        return out, size
+
+    def decode_block(self, ids: np.ndarray, starts: np.ndarray) -> bytes:
+        """The bytes of consecutive tokens: the byte at ``i`` is that of the token whose start is the last one up to i."""
+        size = self.size[ids]
+        return self.flat[np.repeat(self.first[ids] - starts, size) + np.arange(size.sum())].tobytes()
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
-
-    def starts(self, ids: list[int]) -> list[int]:
-        """Byte offset at which each token begins."""
-        return list(itertools.accumulate((len(self.tokens[i]) for i in ids), initial=0))[:-1]
+        x = np.asarray(ids, np.int64)
+        return self.flat[ragged(self.first[x], self.size[x])].tobytes()
 
-    def digest(self, ids: list[int]) -> str:
-        return hashlib.sha256(",".join(map(self.decimal.__getitem__, ids)).encode()).hexdigest()
+    def digest(self, ids: np.ndarray) -> str:
+        return hashlib.sha256(",".join(map(self.decimal.__getitem__, ids.tolist())).encode()).hexdigest()
 
 
 @cache
-def codec(path: str) -> Codec:
+def codec(path: str, pattern: str = PATTERN) -> Codec:
     """One codec a Python worker. Where the file isn't on this machine, a copy shipped by addFile is used."""
     try:
-        return Codec(path)
+        return Codec(path, pattern)
     except FileNotFoundError:
-        return Codec(SparkFiles.get(path.rpartition("/")[2]))
+        return Codec(SparkFiles.get(path.rpartition("/")[2]), pattern)
 
 
-def encode(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+def encode(df: DataFrame, path: str, text_col: str = "text", pattern: str = PATTERN) -> DataFrame:
     """``df`` with ``ids`` (token ids) and ``starts`` (byte offset of each token in the UTF-8 text).
 
     Null and empty texts get empty arrays. Texts are encoded whole, whatever their length; repeated rows stay
-    repeated; existing columns ``ids`` and ``starts`` are replaced; an empty table stays empty."""
+    repeated; existing columns ``ids`` and ``starts`` are replaced; an empty table stays empty. Another pattern than
+    ``PATTERN`` is an error."""
 
     def make():
-        c = codec(path)
+        c = codec(path, pattern)
 
         def work(texts):
-            ids = c.encode(texts)
-            return [ids, [c.starts(x) for x in ids]]
+            ids, upto, starts = c.encode_block(texts)
+            spans = list(zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True))
+            return [[ids[a:b] for a, b in spans], [starts[a:b] - starts[a] if a < b else starts[:0] for a, b in spans]]
 
         return work
 
-    return blocks.add_columns(df, text_col, {"ids": T.ArrayType(T.IntegerType()), "starts": T.ArrayType(T.IntegerType())}, make)
+    return blocks.add_columns(df, text_col, {"ids": T.ArrayType(T.IntegerType()), "starts": T.ArrayType(T.LongType())}, make, limit=BLOCK_CHARS)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -315,16 +375,23 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
     return src.mapInArrow(run, T.StructType([*columns, T.StructField(out, T.BinaryType())]))
 
 
-def round_trip(df: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Encode and decode in one pass: n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256."""
+def round_trip(df: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None, pattern: str = PATTERN) -> DataFrame:
+    """Encode, and decode by the tokens' offsets, in one pass: n_tokens, ids_sha256 (decimal ids joined by commas) and
+    decoded_sha256. Null, empty and very long texts, repeated rows, empty tables and clashing names as in ``encode``."""
 
     def make():
-        c = codec(path)
+        c = codec(path, pattern)
 
         def work(texts):
-            ids = c.encode(texts)
-            return [list(map(len, ids)), list(map(c.digest, ids)), [hashlib.sha256(c.decode(x)).hexdigest() for x in ids]]
+            ids, upto, starts = c.encode_block(texts)
+            raw, at = c.decode_block(ids, starts), np.append(starts, starts[-1] + c.size[ids[-1]] if len(ids) else 0)
+            spans = list(zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True))
+            return [
+                [b - a for a, b in spans],
+                [c.digest(ids[a:b]) for a, b in spans],
+                [hashlib.sha256(memoryview(raw)[at[a] : at[b]]).hexdigest() for a, b in spans],
+            ]
 
         return work
 
-    return blocks.add_columns(df, text_col, {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}, make, keep)
+    return blocks.add_columns(df, text_col, {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}, make, keep, BLOCK_CHARS)

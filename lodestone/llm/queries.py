@@ -28,7 +28,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @_query
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), keep=["doc_id"])
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), keep=["doc_id"], pattern=public_tokenizers.PATTERN)
 
 
 @_query

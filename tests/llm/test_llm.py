@@ -83,6 +83,25 @@ def test_bpe_equals_library_on_random_texts(library):
     assert bpe.codec(RANKS).encode(texts) == [library.encode_ordinary(t) for t in texts]
 
 
+@pytest.mark.parametrize("chars", [1, 2, 3, 7, 64])
+def test_bpe_scan_carries_its_state_on(library, monkeypatch, chars):
+    monkeypatch.setattr(bpe, "SCAN_CHARS", chars)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 2_000)
+    rng = random.Random(chars)
+    texts = ["".join(rng.choices(list("abst'relv \n .19é中") + ["'re", "'ll"], k=rng.randint(0, 40))) for _ in range(300)]
+    c = bpe.codec(RANKS)
+    assert c.encode(texts) == [library.encode_ordinary(t) for t in texts]
+    held = c.held
+    c.encode(texts)
+    assert held == c.held == sum(160 + 2 * len(p) for p in c.known)  # the cache had started afresh
+
+
+def test_bpe_takes_only_its_pattern():
+    with pytest.raises(ValueError):
+        bpe.Codec(RANKS, r"\w+")
+    assert bpe.PATTERN == public_tokenizers.PATTERN
+
+
 def test_bpe_round_trip(docs, empty, library):
     want = Counter()
     for i, t, *_ in odd_documents():
@@ -96,7 +115,7 @@ def test_bpe_round_trip(docs, empty, library):
 def test_bpe_encode_offsets_and_decode(docs):
     rows = bpe.decode(bpe.encode(clashing(docs, "ids", "starts", "decoded"), RANKS), RANKS).collect()
     assert len(rows) == len(odd_documents())
-    tokens = bpe.codec(RANKS).tokens
+    tokens = {rank: token for token, rank in bpe.codec(RANKS).ranks.items()}
     for r in rows:
         raw = (r["text"] or "").encode()
         assert bytes(r["decoded"]) == raw
