@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lodestone.llm.shared import fresh
+
 BLOCK_CHARS = 2_000_000  # characters handled at once; a longer text is a block of its own
 
 
@@ -46,7 +48,7 @@ def add_columns(df: DataFrame, text_col: str, new: dict[str, T.DataType], make:
     ``make`` runs once per task and returns a function from the texts of a block to one list per new column. A
     column of ``df`` that has the name of a new one is replaced."""
     columns = [c for c in (df.columns if keep is None else keep) if c not in new]
-    src = df.select(*[df[c] for c in columns], df[text_col].alias("__text"))
+    src = df.select(*[df[c] for c in columns], df[text_col].alias(fresh(df, "__text")))
     out = T.StructType([df.schema[c] for c in columns] + [T.StructField(n, t) for n, t in new.items()])
     added = to_arrow_schema(T.StructType(out.fields[len(columns) :]))
 
@@ -56,7 +58,7 @@ def add_columns(df: DataFrame, text_col: str, new: dict[str, T.DataType], make:
             kept = batch.select(range(len(columns)))
             for first, block in arrow_blocks(batch.column(len(columns)), limit):
                 part = kept.slice(first, len(block)).columns
-                made = [pa.array(v, type=f.type) for v, f in zip(work(block), added, strict=True)]
+                made = [v if isinstance(v, pa.Array) else pa.array(v, type=f.type) for v, f in zip(work(block), added, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part, *made], names=[f.name for f in out.fields])
 
     return src.mapInArrow(run, out)

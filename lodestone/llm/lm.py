@@ -4,13 +4,19 @@ Training counts words and word pairs of all training documents. Workers combine
 before they leave, packed by range of the hash; each range is merged in one task of bounded size. A count c is
 quantised to level 1 + floor(log_BASE(c / cutoff)), and an n-gram of level q enters the Bloom filter as the q
 items (n-gram, 1) ... (n-gram, q). The filter is made range by range, so its parts need no merging, and is
-broadcast. It has ``BITS`` bits for each stored item at every size of input, so its error rate stays the same and
-its size grows with the number of items.
+has ``BITS`` bits for each stored item at every size of input, so its error rate stays the same and its size grows
+with the number of items. The bits of an item lie in one block of 512, so a probe touches one cache line.
+
+The filter is broadcast as long as it stays below ``MAX_FILTER_BYTES``. Beyond that its ranges stay where they are:
+blocks of texts send their distinct keys to the ranges and get the levels back, so no task holds more than one range
+of the filter, whatever the size of the corpus.
 
 Scoring probes (n-gram, 1), (n-gram, 2), ... until one is missing; the level reached gives the count. The
 probability of a word is an interpolation, P(w|h) = l * c(hw) / c(h) + (1 - l) * P(w), whose weight l depends on
 the level of the context's count and is learned by deleted interpolation on all training documents: a probability
-depends on the levels of context, pair and word only, so the tokens of each combination of levels are counted.
+depends on the levels of context, pair and word only. So the filter is probed once, the levels of each text's
+words and pairs are kept (a byte each), the weights are learned from the tokens of each combination of levels, and
+scores are sums over the kept levels.
 
 Beside it runs the exact add-one unigram model (``base_score``). Its counts must be exact, and the vocabulary
 has no bound, so the most frequent words (at most ``HEAD_WORDS``) are broadcast, which covers most tokens and
@@ -26,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodestone.llm import blocks, words
-from lodestone.llm.shared import written
+from lodestone.llm.shared import drop_written, written
 
 BASE, PAIR_CUTOFF = 1.5, 1  # quantisation; every pair is stored
 LEVELS = 129  # 0 for what isn't stored, and more than a 64-bit count can reach
 BITS, HASHES = 12, 5
+MAX_FILTER_BYTES = 256 << 20  # up to which the filter is broadcast
 HEAD_WORDS = 1 << 20
 RANGE_BYTES = 8 << 20  # bytes of text for each hash range
 FLUSH_TOKENS, BLOCK_CHARS = 2_000_000, 1_000_000
@@ -89,8 +97,14 @@ def level_counts(cutoff: int, n: int = 128) -> np.ndarray:
     return np.concatenate([[0.0], np.sqrt(low * high)])
 
 
-def _positions(item: np.ndarray, size: np.ndarray, i: int) -> np.ndarray:
-    return (item + np.uint64(i) * (words.mix(item) | np.uint64(1))) % size
+def _positions(item: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first bit of each item's block, a number whose groups of 9 bits say which bits of the block are the item's)."""
+    block = ((item >> np.uint64(32)) * (bits >> np.uint64(9))) >> np.uint64(32)
+    return (block << np.uint64(9)).astype(np.int64), words.mix(item)
+
+
+def _bit(within: np.ndarray, i: int) -> np.ndarray:
+    return ((within >> np.uint64(9 * i)) & np.uint64(511)).astype(np.int64)
 
 
 def _items(key: np.ndarray, level: int) -> np.ndarray:
@@ -110,14 +124,19 @@ class Filter:
         part = np.minimum((spread * (len(self.starts) - 1)).astype(np.int64), len(self.starts) - 2)
         start, size = self.starts[part], (self.starts[part + 1] - self.starts[part]).astype(np.uint64)
         out, live = np.zeros(len(key), np.int64), np.flatnonzero(size > 0)
+        key, start, size = key[live], start[live], size[live]
         for level in range(1, self.top + 1):
             if not len(live):
                 break
-            item = _items(key[live], level)
+            block, within = _positions(_items(key, level), size)
+            block += start
+            hit = np.ones(len(live), bool)
             for i in range(HASHES):
-                at = start[live] + _positions(item, size[live], i).astype(np.int64)
-                hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                live, item = live[hit], item[hit]
+                at = block + _bit(within, i)
+                hit &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                if i == 1:  # most of what is missing shows by now
+                    block, within, key, start, size, live, hit = (x[hit] for x in (block, within, key, start, size, live, hit))
+            key, start, size, live = (x[hit] for x in (key, start, size, live))
             out[live] = level
         return out
 
@@ -132,22 +151,16 @@ def pair_key(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    counts: Filter
+    counts: Filter | None  # None where the filter is too large to be broadcast
+    ranges: DataFrame | None  # its ranges as a table (part, bits), at the driver only
     n: int  # training tokens
     v: int  # distinct ones
     docs: int
+    top: int  # the largest stored level
     weights: np.ndarray  # of the pair estimate, by level of the context's count
     head: np.ndarray  # hashes of the most frequent words, sorted
     head_counts: np.ndarray
 
-    def _levels(self, token: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Levels of the context, the pair and the word of each token."""
-        both, at = np.unique(np.concatenate([token, before]), return_inverse=True)
-        level = self.counts.level(*word_key(both))
-        level[both == START] = levels(np.array([self.docs]), 1)[0]
-        keys, where = np.unique(pair_keys(before, token), return_inverse=True)
-        return level[at[len(token) :]], self.counts.level(*pair_key(keys))[where], level[at[: len(token)]]
-
     def _estimates(self, context: np.ndarray, pair: np.ndarray, word: np.ndarray, less: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(pair estimate, word estimate) for the levels of context, pair and word."""
         words_, pairs = level_counts(1), level_counts(PAIR_CUTOFF)
@@ -157,11 +170,11 @@ class Model:
             count, context = np.maximum(count - less, 0), np.maximum(context - less, 1)
         return np.minimum(1.0, pair / np.maximum(context, 1.0)), (count + 1) / (self.n + self.v + 1)
 
-    def level_codes(self, texts: list[str]) -> np.ndarray:
-        """The levels of context, pair and word of each token as one number below LEVELS ** 3."""
-        token, before, _ = tokens(texts)
-        context, pair, word = self._levels(token, before)
-        return (context * LEVELS + pair) * LEVELS + word
+    def contexts(self, word: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Levels of the tokens before, from the words' levels and where texts begin."""
+        out = np.roll(word, 1)
+        out[first] = levels(np.array([self.docs]), 1)[0]
+        return out
 
     def learn_weights(self, codes: np.ndarray, n: np.ndarray) -> None:
         """Deleted interpolation: expectation maximisation over tokens, ``n`` of each code, each left out of its own counts."""
@@ -175,22 +188,55 @@ class Model:
             share = w * seen / np.maximum(w * seen + (1 - w) * single, 1e-300)
             self.weights = (np.bincount(level, n * share, len(self.weights)) + 0.2) / total
 
-    def score(self, texts: list[str]):
-        """Per text: tokens, log10 probability, and of the head words: known tokens and sum of log10(c + 1); the
-        other words as (hashes, frequencies)."""
-        token, before, size = tokens(texts)
-        context, pair, word = self._levels(token, before)
+    def logs(self, word: np.ndarray, pair: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """log10 probability of texts that begin at ``first``, from the levels of their words and pairs."""
+        context = self.contexts(word, first)
         seen, single = self._estimates(context, pair, word)
         w = self.weights[context]
-        logs = np.log10(w * seen + (1 - w) * single)
+        return np.add.reduceat(np.log10(w * seen + (1 - w) * single), first)
+
+    def known(self, token: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Per text, of the head's words: known tokens and the sum of log10(c + 1); the other words as (h, f)."""
         first = np.cumsum(size) - size
         at = np.searchsorted(self.head, token)
         at[at == len(self.head)] = 0
         found = self.head[at] == token if len(self.head) else np.zeros(len(token), bool)
-        head_logs = np.where(found, np.log10((self.head_counts[at] if len(self.head) else np.zeros(len(token))) + 1.0), 0.0)
-        known = np.add.reduceat(found.astype(np.int64), first)
-        rest = [np.unique(token[a:b][~found[a:b]], return_counts=True) for a, b in zip(first, first + size, strict=True)]
-        return size, np.add.reduceat(logs, first), known, np.add.reduceat(head_logs, first), rest
+        logs = np.where(found, np.log10((self.head_counts[at] if len(self.head) else np.zeros(len(token))) + 1.0), 0.0)
+        others = np.flatnonzero(~found)
+        doc, other = np.repeat(np.arange(len(size)), size)[others], token[others]
+        order = np.lexsort((other, doc))
+        doc, other = doc[order], other[order]
+        new = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(other, prepend=other[:1]) != 0))
+        pairs = pa.StructArray.from_arrays([pa.array(other[new].view(np.int64)), pa.array(np.diff(new, append=len(doc)))], ["h", "f"])
+        tails = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[new], np.arange(len(size) + 1)), pa.int32()), pairs)
+        return np.add.reduceat(found.astype(np.int64), first), np.add.reduceat(logs, first), tails
+
+
+class _Block:
+    """The distinct words and pairs of some texts, in order of their hash ranges, and the tokens as numbers of them."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.token, before, self.size = tokens(texts)
+        self.words, self.word = np.unique(self.token, return_inverse=True)
+        self.pairs, self.pair = np.unique(pair_keys(before, self.token), return_inverse=True)
+
+    def levels(self, words_: np.ndarray, pairs: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+        """Levels of the tokens and of the pairs that they end, a byte each, per text, from those of the distinct ones."""
+        cuts = [0, *np.cumsum(self.size).tolist()]
+        out = (words_.astype(np.uint8)[self.word].tobytes(), pairs.astype(np.uint8)[self.pair].tobytes())
+        return tuple([x[a:b] for a, b in zip(cuts, cuts[1:], strict=False)] for x in out)
+
+    def by_range(self, ranges: int):
+        """(part, distinct words, distinct pairs) of every range that has any."""
+        parts = [_ranges_of(self.words, 64, ranges), _ranges_of(self.pairs, 48, ranges)]
+        present = np.union1d(*parts)
+        (a, c), (b, d) = ((np.searchsorted(p, present, "left"), np.searchsorted(p, present, "right")) for p in parts)
+        for j, part in enumerate(present.tolist()):
+            yield part, self.words[a[j] : c[j]], self.pairs[b[j] : d[j]]
+
+
+def _ranges_of(hashes: np.ndarray, bits: int, ranges: int) -> np.ndarray:
+    return np.minimum((hashes / 2.0**bits * ranges).astype(np.int64), ranges - 1)
 
 
 def _counted(docs: DataFrame, ranges: int) -> DataFrame:
@@ -202,7 +248,7 @@ def _counted(docs: DataFrame, ranges: int) -> DataFrame:
         def flush():
             token, pairs = (np.concatenate(x) for x in zip(*kept, strict=True))
             for_words, for_pairs = (np.unique(x, return_counts=True) for x in (token, pairs))
-            parts = [np.minimum((x[0] / 2.0**bits * ranges).astype(np.int64), ranges - 1) for x, bits in ((for_words, 64), (for_pairs, 48))]
+            parts = [_ranges_of(x[0], bits, ranges) for x, bits in ((for_words, 64), (for_pairs, 48))]
             present = np.union1d(*parts)  # only ranges that have something, so rows follow the tokens
             (a, c), (b, d) = ((np.searchsorted(p, present, "left"), np.searchsorted(p, present, "right")) for p in parts)
             for i in range(0, len(present), 256):
@@ -243,35 +289,17 @@ def _merged(table: pa.Table, bits: float) -> pa.Table:
         for q in range(1, int(level.max(initial=0)) + 1):
             found.append(_items(key[level >= q], q))
     items = np.concatenate(found) if found else np.zeros(0, np.uint64)
-    size = max(64, int(len(items) * bits) // 8 * 8 + 8)
+    size = max(1, -(-int(len(items) * bits) // 512)) * 512
     flags = np.zeros(size, bool)
+    block, within = _positions(items, np.uint64(size))
     for i in range(HASHES):
-        flags[_positions(items, np.uint64(size), i).astype(np.int64)] = True
+        flags[block + _bit(within, i)] = True
     row = {"part": [col["part"][0]], "bits": [np.packbits(flags, bitorder="little").tobytes()], "items": [len(items)], "top": [top], "n": [int(wc.sum())], "v": [len(w)], "words": [w.tobytes()], "counts": [wc.astype("<i8").tobytes()]}
     return pa.table(row, schema=pa.schema([("part", pa.int32()), ("bits", pa.binary()), ("items", pa.int64()), ("top", pa.int32()), ("n", pa.int64()), ("v", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())]))
 
 
-def _level_counts(texts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """The codes of ``Model.level_codes`` that occur in (text), and how many tokens have each."""
-    sent = texts.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        tally = np.zeros(LEVELS**3, np.int64)
-        for batch in batches:
-            for _, part in blocks.arrow_blocks(batch.column(0), BLOCK_CHARS):
-                codes, n = np.unique(sent.value.level_codes(part), return_counts=True)
-                tally[codes] += n
-        found = np.flatnonzero(tally)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(tally[found], pa.int64())], names=["code", "n"])
-
-    got = texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    sent.destroy()
-    return got.column("code").to_numpy(), got.column("n").to_numpy()
-
-
-def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """From (text): the model, and the exact counts (h, c) of the words that aren't in its head."""
-    spark = docs.sparkSession
+def _counts(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """From (text): the model without its weights, and the exact counts (h, c) of the words that aren't in its head."""
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     total, n_docs = texts.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     ranges = max(16, -(-(total or 0) // RANGE_BYTES))
@@ -293,40 +321,162 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     head = counts.filter(F.col("c") >= (floor if floor is not None else 2**62)).toArrow()
     hashes = head.column("h").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    parts = merged.select("part", F.octet_length("bits").alias("bytes"), "top", "n", "v").toArrow().to_pydict()
+    size, top, n, v = merged.agg(F.sum(F.octet_length("bits")), F.max("top"), F.sum("n"), F.sum("v")).first()
+    model = Model(None, merged.select("part", "bits", F.lit(ranges).alias("ranges")), n or 0, v or 0, n_docs, top or 0, np.full(LEVELS, 0.2), hashes[order], head.column("c").to_numpy()[order].astype(np.float64))
+    if (size or 0) <= MAX_FILTER_BYTES:
+        model.counts, model.ranges = _gathered(merged, ranges, model.top), None
+    return model, counts.filter(F.col("c") < (floor if floor is not None else 2**62))
+
+
+def _gathered(merged: DataFrame, ranges: int, top: int) -> Filter:
+    """The whole filter at the driver, which holds it once and a part of it."""
+    parts = merged.select("part", F.octet_length("bits").alias("bytes")).toArrow().to_pydict()
     made = np.zeros(ranges, np.int64)
     made[parts["part"]] = parts["bytes"]
     starts = np.cumsum([0, *made])
     table = np.zeros(max(1, int(starts[-1])), np.uint8)
-    for row in merged.select("part", "bits").toLocalIterator():  # the driver holds the filter once and a part of it
+    for row in merged.select("part", "bits").toLocalIterator():
         table[starts[row["part"]] : starts[row["part"] + 1]] = np.frombuffer(row["bits"], np.uint8)
-    model = Model(Filter(table, 8 * starts, max(parts["top"], default=0)), sum(parts["n"]), sum(parts["v"]), n_docs, np.full(LEVELS, 0.2), hashes[order], head.column("c").to_numpy()[order].astype(np.float64))
-    model.learn_weights(*_level_counts(texts, model))
-    return model, counts.filter(F.col("c") < (floor if floor is not None else 2**62))
+    return Filter(table, 8 * starts, top)
 
 
-def score(df: DataFrame, model: Model, rest: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_tokens, n_known (tokens that occur in training), train_tokens, base_score and score.
+TAIL = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("f", T.LongType())]))
+FOUND = {"n_tokens": T.LongType(), "words": T.BinaryType(), "pairs": T.BinaryType(), "head_known": T.LongType(), "head_logs": T.DoubleType(), "tail": TAIL}
 
-    Null and empty texts are one END token. Repeated rows are scored alike; an empty table gives an empty result;
-    other columns of the input are ignored."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
-    pair = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("f", T.LongType())]))
-    new = {"n_tokens": T.LongType(), "score": T.DoubleType(), "head_known": T.LongType(), "head_logs": T.DoubleType(), "tail": pair}
-
-    def make():
-        def work(texts):
-            size, logs, known, head_logs, rest = sent.value.score(texts)
-            tails = [[{"h": int(h), "f": int(f)} for h, f in zip(hs.view(np.int64), fs, strict=True)] for hs, fs in rest]
-            return [size, logs, known, head_logs, tails]
-
-        return work
-
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
-    scored = written(blocks.add_columns(rows, "text", new, make, ["row", "id"], BLOCK_CHARS), "scored")
-    met = scored.select("row", F.explode("tail").alias("t")).select("row", "t.h", "t.f").join(rest, "h")
+
+def _leveled(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """``rows`` (with text) with the levels of their words and pairs and what is known of their words, written."""
+    spark = rows.sparkSession
+    ranges, model.ranges = model.ranges, None
+    sent = spark.sparkContext.broadcast(model)
+    model.ranges = ranges
+
+    def found(block: _Block, words_, pairs) -> list:
+        return [block.size, *block.levels(words_, pairs), *sent.value.known(block.token, block.size)]
+
+    if ranges is None:
+
+        def make():
+            def work(texts):
+                block = _Block(texts)
+                level = sent.value.counts.level
+                return found(block, level(*word_key(block.words)), level(*pair_key(block.pairs)))
+
+            return work
+
+        return written(blocks.add_columns(rows, "text", FOUND, make, keep, BLOCK_CHARS), "leveled")
+
+    rows = written(rows, "rows")  # read twice below
+    n = ranges.first()["ranges"]
+    top, total = model.top, rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    number = F.pmod(F.xxhash64(F.lit(3), *keep), F.lit(max(1, total // BLOCK_CHARS))).alias("block")
+    dealt = rows.select(number, F.coalesce("text", F.lit("")).alias("text"), *keep)
+
+    def ask(table: pa.Table) -> pa.Table:
+        block = _Block(table.column("text").to_pylist())
+        part, words_, pairs = zip(*block.by_range(n), strict=True)
+        return pa.table({"block": pa.array([table.column("block")[0].as_py()] * len(part), pa.int64()), "part": pa.array(part, pa.int32()), "words": [x.tobytes() for x in words_], "pairs": [x.tobytes() for x in pairs]})
+
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        bits = np.concatenate([np.frombuffer(x, np.uint8) for x in held.column("bits").to_pylist()] or [np.zeros(0, np.uint8)])
+        one = Filter(bits if len(bits) else np.zeros(1, np.uint8), np.array([0, 8 * len(bits)]), top)
+        of = lambda column, key: [one.level(key(np.frombuffer(x, np.uint64))[0], np.zeros(len(x) // 8)).astype(np.uint8).tobytes() for x in asked.column(column).to_pylist()]
+        return pa.table({"block": asked.column("block"), "part": asked.column("part"), "words": pa.array(of("words", word_key), pa.binary()), "pairs": pa.array(of("pairs", pair_key), pa.binary())})
+
+    kept = T.StructType([rows.schema[c] for c in keep] + [T.StructField(c, t) for c, t in FOUND.items()])
+    kinds = to_arrow_schema(kept)
+
+    def fill(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(texts):
+            return kinds.empty_table()
+        block, answers = _Block(texts.column("text").to_pylist()), answers.sort_by("part")
+        whole = [np.frombuffer(b"".join(answers.column(c).to_pylist()), np.uint8) for c in ("words", "pairs")]
+        made = [v if isinstance(v, pa.Array) else pa.array(v, type=kinds.field(c).type) for c, v in zip(FOUND, found(block, *whole), strict=True)]
+        return pa.Table.from_arrays([*(texts.column(c) for c in keep), *made], schema=kinds)
+
+    asked = dealt.groupBy("block").applyInArrow(ask, "block long, part int, words binary, pairs binary")
+    answers = asked.groupBy("part").cogroup(ranges.select("part", "bits").groupBy("part")).applyInArrow(answer, "block long, part int, words binary, pairs binary")
+    return written(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(fill, kept), "leveled")
+
+
+def _learn(leveled: DataFrame, model: Model) -> None:
+    """The model's weights, from (words, pairs) of all training documents."""
+
+    def run(batches):
+        tally = np.zeros(LEVELS**3, np.int64)
+        for _, word, pair, context in _level_blocks(batches, contexts):
+            codes, n = np.unique((context.astype(np.int64) * LEVELS + pair) * LEVELS + word, return_counts=True)
+            tally[codes] += n
+        found = np.flatnonzero(tally)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(tally[found], pa.int64())], names=["code", "n"])
+
+    contexts = Model(None, None, 0, 0, model.docs, 0, *[np.zeros(0)] * 3).contexts
+    got = leveled.select("words", "pairs").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    model.learn_weights(got.column("code").to_numpy(), got.column("n").to_numpy())
+
+
+def _level_blocks(batches, contexts, rows_at_once: int = 2_000):
+    """(first tokens of the texts, levels of words, of pairs, of contexts) of some texts at a time, from (words, pairs)."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows_at_once):
+            part = batch.slice(i, rows_at_once)
+            raw = part.column(0).to_pylist()
+            word, pair = (np.frombuffer(b"".join(x), np.uint8) for x in (raw, part.column(1).to_pylist()))
+            first = np.cumsum([0, *map(len, raw[:-1])])
+            yield first, word, pair, contexts(word, first)
+
+
+def _scores(leveled: DataFrame, model: Model, rest: DataFrame, keep: list[str]) -> DataFrame:
+    """n_tokens, n_known, train_tokens, base_score and score beside the columns ``keep``; ``row`` tells rows apart."""
+    small = Model(None, None, model.n, model.v, model.docs, model.top, model.weights, *[np.zeros(0)] * 2)
+
+    def run(batches):
+        for batch in batches:
+            scores = [small.logs(word, pair, first) for first, word, pair, _ in _level_blocks([batch.select([0, 1])], small.contexts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*names, "score"])
+
+    names = ["row", *keep, "n_tokens", "head_known", "head_logs"]
+    plain = leveled.select("words", "pairs", *names)
+    scored = plain.mapInArrow(run, T.StructType([*plain.schema.fields[2:], T.StructField("score", T.DoubleType())]))
+    met = leveled.select("row", F.explode("tail").alias("t")).select("row", "t.h", "t.f").join(rest, "h")
     tails = met.groupBy("row").agg(F.sum("f").alias("known"), F.sum(F.col("f") * F.log10(F.col("c") + 1)).alias("logs"))
-    whole = scored.drop("tail").join(tails, "row", "left")
+    whole = scored.join(tails, "row", "left")
     known = F.col("head_known") + F.coalesce("known", F.lit(0))
     base = F.col("head_logs") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(model.n + model.v + 1)))
-    return whole.select(F.col("id").alias(id_col), "n_tokens", known.alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return whole.select(*keep, "n_tokens", known.alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+
+
+def _rows(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"), *more)
+
+
+def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """From (text): the model, and the exact counts (h, c) of the words that aren't in its head.
+
+    Null and empty texts are one END token each; repeated rows count as often as they occur; an empty table gives a
+    model without counts, by which every token has the same probability. Other columns are ignored."""
+    model, rest = _counts(docs)
+    leveled = _leveled(docs.select("text", F.monotonically_increasing_id().alias("row")), model, ["row"])
+    _learn(leveled, model)
+    drop_written(leveled)
+    return model, rest
+
+
+def score(df: DataFrame, model: Model, rest: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_tokens, n_known (tokens that occur in training), train_tokens, base_score and score.
+
+    Null and empty texts are one END token. Repeated rows are scored alike; an empty table gives an empty result;
+    other columns of the input are ignored; texts of any length are scored whole."""
+    leveled = _leveled(_rows(df, id_col, text_col), model, ["row", "id"])
+    return _scores(leveled, model, rest, ["id"]).withColumnRenamed("id", id_col)
+
+
+def fit_and_score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``score`` of all rows, and ``held_out``, by a model of the rows that aren't held out.
+
+    The same as ``fit`` on those rows and ``score`` on all, but the filter is probed once for both."""
+    rows = _rows(df, id_col, text_col, held_out.alias("held_out"))
+    model, rest = _counts(rows.filter(~F.col("held_out")).select("text"))
+    leveled = _leveled(rows, model, ["row", "id", "held_out"])
+    _learn(leveled.filter(~F.col("held_out")), model)
+    return _scores(leveled, model, rest, ["id", "held_out"]).withColumnRenamed("id", id_col)

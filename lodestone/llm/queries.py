@@ -59,9 +59,7 @@ def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model, rest = lm.fit(docs.filter(~lm.held_out(F.col("doc_id"))))
-    scored = lm.score(docs, model, rest)
-    return scored.withColumn("held_out", lm.held_out(F.col("doc_id"))).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return lm.fit_and_score(docs, lm.held_out(F.col("doc_id"))).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 @_query

@@ -20,6 +20,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``df`` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df``, written as Parquet to the shared folder and read again. The files go when the driver ends."""
     path = f"{shared_folder(df.sparkSession)}/lodestone/{name}-{uuid.uuid4().hex}"

@@ -7,7 +7,7 @@ toxic unless all its windows are clean (noisy or). Windows keep one insult as vi
 as in one of 30. Embeddings and softmax are trained together by gradient steps on the likelihood of the documents' labels.
 
 Training takes a bounded sample of labelled documents (``MAX_POSITIVE`` and ``MAX_NEGATIVE`` rows, chosen by a
-hash of the id); scoring covers every whole text. Scoring needs only the difference of the two classes' logits
+hash of the id, and at most ``MAX_BYTES`` of text); scoring covers every whole text. Scoring needs only the difference of the two classes' logits
 for each table entry, ``BUCKETS`` numbers, which is all that is broadcast.
 """
 
@@ -18,17 +18,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm import blocks, words
-from lodestone.llm.shared import sampled
+from lodestone.llm.shared import fresh, sampled
 
-GRAMS, BUCKET_BITS, DIM, WINDOW = (3, 4, 5), 18, 8, 16
+GRAMS, BUCKET_BITS, DIM, WINDOW = (3, 5, 7), 18, 8, 2
 BUCKETS = 1 << BUCKET_BITS
 MAX_POSITIVE, MAX_NEGATIVE = 2_000, 4_000
-STEPS, RATE, MIN_COUNT = 80, 0.4, 5
+MAX_BYTES = 64 << 20  # of the sample's texts together; the rows beyond it, by the hash of their ids, aren't learned from
+STEPS, RATE, MIN_COUNT = 120, 0.25, 5
+START = 4.0  # half the logit at which an untrained window counts as clean
 BLOCK_CHARS = 1_000_000
 
 
@@ -137,6 +140,11 @@ def score_texts(model: Model, texts: list[str]) -> np.ndarray:
 
 
 def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) -> Model:
+    """``train_blocks`` on a list of texts."""
+    return train_blocks((block for _, block in blocks.text_blocks(texts, BLOCK_CHARS)), labels, prior, seed)
+
+
+def train_blocks(texts: Iterable[list[str]], labels: np.ndarray, prior: float, seed: int = 7) -> Model:
     """Fit embeddings and softmax together. ``prior``: share of toxic documents where the model will be used.
 
     The loss depends on an embedding only through its product with the difference of the softmax's two columns,
@@ -148,7 +156,7 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) ->
     if not len(labels) or labels.min() == labels.max():
         p = float(np.clip(prior, 1e-3, 1 - 1e-3))
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(p / (1 - p))))
-    b = _joined(bags(block) for _, block in blocks.text_blocks(texts, BLOCK_CHARS))
+    b = _joined(map(bags, texts))
     n_words = np.diff(b.window_starts, append=len(b.word))
     uses = np.bincount(b.word, minlength=len(b.first))  # documents with the word
     n_grams, seen = np.zeros(len(b.first)), np.zeros(BUCKETS)
@@ -168,7 +176,7 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) ->
     fit_weight = np.where(check, 0.0, weight)
 
     rng = np.random.default_rng(seed)
-    emb, soft, bias = rng.normal(0, 0.02, (len(used), DIM)), rng.normal(0, 1, (DIM, 2)), np.array([2.5, -2.5])
+    emb, soft, bias = rng.normal(0, 0.02, (len(used), DIM)), rng.normal(0, 1, (DIM, 2)), np.array([START, -START], np.float64)
     params, speed = [emb, soft, bias], [np.zeros_like(emb), np.zeros_like(soft), np.zeros_like(bias)]
     root = np.sqrt(seen[used])  # what chance makes of an n-gram's gradient grows with the root of its number
     best, model = np.inf, None
@@ -212,44 +220,49 @@ def held_out(id_col: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Train on a bounded sample of the labelled documents that aren't held out.
 
-    Labels are (id, label); null labels and ids are ignored, several labels of one id count as toxic if any is."""
+    Labels are (id, label); null labels and ids are ignored, several labels of one id count as toxic if any is. Of rows
+    that share an id the longest text is learned from; null texts are empty. Without two classes of labelled texts, as
+    in an empty table, every text gets the share of toxic labels. Other columns are ignored."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(label_col) == 1).cast("int")).alias("_y"))
     sizes = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     take = lambda y, n: sampled(known.filter(F.col("_y") == y), n, sizes.get(y, 0), "_id")
     chosen = take(1, MAX_POSITIVE).unionByName(take(0, MAX_NEGATIVE))  # bounded, so it may be broadcast
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id")
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
+    lengths = rows.select("_id", F.octet_length("_text").alias("_n")).join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.max("_n").alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy(F.xxhash64(F.lit(12), "_id"), "_id").rowsBetween(Window.unboundedPreceding, 0))
+    fitting = lengths.withColumn("_upto", upto).filter(F.col("_upto") <= MAX_BYTES).select("_id", "_y")
+    rows = rows.join(F.broadcast(fitting), "_id").groupBy("_id", "_y").agg(F.max(F.struct(F.octet_length("_text").alias("n"), "_text")).alias("_t"))
 
     def run(table: pa.Table) -> pa.Table:
-        got = sorted(zip(*(table.column(c).to_pylist() for c in ("_id", "_text", "_y")), strict=True))
-        model = train([t for _, t, _ in got], np.array([y for _, _, y in got]), share)
+        table = table.combine_chunks()
+        order = pc.sort_indices(table.column("_id"))
+        texts = table.column("_text").take(order).combine_chunks()
+        model = train_blocks((part for _, part in blocks.arrow_blocks(texts, BLOCK_CHARS)), table.column("_y").take(order).to_numpy(), share)
         return pa.table({"weights": [model.weights.astype("<f4").tobytes()], "bias": [model.bias]})
 
     # one task of an executor trains on the bounded sample; only the weights come to the driver
-    made = rows.groupBy(F.lit(0).alias("_all")).applyInArrow(run, "weights binary, bias double").first()
+    made = rows.select("_id", "_y", "_t._text").groupBy(F.lit(0).alias("_all")).applyInArrow(run, "weights binary, bias double").first()
     return Model(np.frombuffer(made["weights"], "<f4"), made["bias"]) if made else train([], np.zeros(0), share)
 
 
-def score(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``df`` with ``score``, the probability of the toxic class from the whole text and nothing else.
+def score(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
+    """``df`` with ``out``, the probability of the toxic class from the whole text and nothing else.
 
     Null and empty texts and texts without words get the score of an empty window. Repeated rows get equal
-    scores; an existing column ``score`` is replaced; an empty table stays empty."""
+    scores; an existing column ``out`` is replaced; an empty table stays empty."""
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
         m = sent.value
         return lambda texts: [score_texts(m, texts)]
 
-    return blocks.add_columns(df, text_col, {"score": T.DoubleType()}, make, keep, BLOCK_CHARS)
+    return blocks.add_columns(df, text_col, {out: T.DoubleType()}, make, keep, BLOCK_CHARS)
 
 
 def drop_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The documents whose score is below the threshold, with the input's columns."""
-    model = fit(df, labels, id_col, text_col)
-    name = next(c for c in ("score", "toxicity_score", "_toxicity_score_") if c not in df.columns)
-    if name == "score":
-        return score(df, model, text_col).filter(F.col("score") < threshold).select(*df.columns)
-    plain = df.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
-    return score(plain, model, "text", keep=["row"]).filter(F.col("score") < threshold).select("row.*")
+    """The documents whose score is below the threshold, with the input's columns, whatever their names."""
+    name = fresh(df, "score")
+    scored = score(df, fit(df, labels, id_col, text_col), text_col, out=name)
+    return scored.filter(F.col(name) < threshold).drop(name)

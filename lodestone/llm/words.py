@@ -8,6 +8,7 @@ import numpy as np
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if b in (9, 10, 11, 12, 13) else b for b in range(256))
 _BASE = 0x9E3779B97F4A7C15
+SPAN = 1 << 19  # bytes hashed at once
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
@@ -24,20 +25,16 @@ def _letters() -> np.ndarray:
 
 
 @cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, as many as a span and its last word can need."""
     out = []
     for base in (_BASE, _INVERSE):
-        p = np.full(1 << bits, base, np.uint64)
+        p = np.full(2 * SPAN, base, np.uint64)
         p[0] = 1
         out.append(np.cumprod(p, dtype=np.uint64))
     return out[0], out[1]
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    bits = max(20, n.bit_length())
-    return _powers(bits) if bits <= 22 else _powers.__wrapped__(bits)
-
-
 def folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, A-Z lower-cased and white space as blanks, each text followed by a blank; their ends."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
@@ -61,17 +58,32 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Hashes of the byte spans, which follow one another, some megabyte of bytes at a time."""
+    """Hashes of the byte spans, which follow one another, some of the bytes at a time whatever their lengths."""
     out = np.empty(len(first), np.uint64)
-    cuts = np.unique(np.append(np.searchsorted(first, np.arange(0, len(data), 1 << 20)), len(first)))
+    up, down = _powers()
+    long = np.flatnonzero(last - first > SPAN)
+    for i in long.tolist():
+        total = np.zeros(1, np.uint64)
+        for a in range(int(first[i]), int(last[i]), SPAN):
+            part = _letters()[data[a : min(a + SPAN, int(last[i]))]]
+            total += (part * up[: len(part)]).sum(dtype=np.uint64, keepdims=True) * np.uint64(pow(_BASE, a - int(first[i]), 1 << 64))
+        out[i] = total[0]
+    rest = np.flatnonzero(last - first <= SPAN)
+    starts, stops = first[rest], last[rest]
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(data), SPAN)), len(rest)))
     for i, j in zip([0, *cuts], cuts, strict=False):
         if i == j:
             continue
-        begin, end = int(first[i]), int(last[j - 1])
-        up, down = _power_tables(end - begin + 1)
-        sums = np.zeros(end - begin + 1, np.uint64)
-        np.cumsum(_letters()[data[begin:end]] * up[: end - begin], dtype=np.uint64, out=sums[1:])
-        out[i:j] = (sums[last[i:j] - begin] - sums[first[i:j] - begin]) * down[first[i:j] - begin]
+        begin, end = int(starts[i]), int(stops[j - 1])
+        if end - begin >= 2 * SPAN:  # words left out for their length lie between
+            parts = [(k, k + 1) for k in range(i, j)]
+        else:
+            parts = [(i, j)]
+        for a, b in parts:
+            begin, end = int(starts[a]), int(stops[b - 1])
+            sums = np.zeros(end - begin + 1, np.uint64)
+            np.cumsum(_letters()[data[begin:end]] * up[: end - begin], dtype=np.uint64, out=sums[1:])
+            out[rest[a:b]] = (sums[stops[a:b] - begin] - sums[starts[a:b] - begin]) * down[starts[a:b] - begin]
     return mix(out ^ ((last - first).astype(np.uint64) << np.uint64(48)))
 
 

@@ -148,6 +148,17 @@ def test_url_rules_without_bounded_token(spark):
     assert got == {1: "block", 2: "allow"}
 
 
+def test_word_hashes_do_not_depend_on_the_span(monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abé", k=rng.choice([1, 3, 9, 40, 200]))) for _ in range(rng.randint(0, 60))) for _ in range(50)]
+    want = words.word_hashes(texts)[0]
+    for span in (16, 64):
+        monkeypatch.setattr(words, "SPAN", span)
+        words._powers.cache_clear()
+        assert (words.word_hashes(texts)[0] == want).all()
+    words._powers.cache_clear()
+
+
 # 3: token counts
 
 
@@ -200,20 +211,19 @@ def test_toxicity_operator(spark, docs, empty):
     assert len(scored) == 603 and all(0 <= r["score"] <= 1 for r in scored)
     held = {r["doc_id"] for r in d.filter(toxicity.held_out(F.col("doc_id"))).collect()}
     assert held == {i for i in [*range(600), 9001, 9002] if zlib.crc32(str(i).encode()) % 4 == 2}
-    kept = toxicity.drop_toxic(clashing(d, "score"), labels)
-    assert kept.columns == ["doc_id", "text", "score"] and 0 < kept.count() < 603
+    kept = toxicity.drop_toxic(clashing(d, "score", "_score", "toxicity_score", "_toxicity_score_", "__text", "row"), labels)
+    assert kept.columns == ["doc_id", "text", "score", "_score", "toxicity_score", "_toxicity_score_", "__text", "row"] and 0 < kept.count() < 603
     none = toxicity.fit(empty, labels)
     assert toxicity.score(docs, none).count() == docs.count() and toxicity.score(empty, none).count() == 0
 
 
 def test_toxicity_held_out_accuracy(spark):
-    """On about 360 toxic labels; with the 1,600 of a larger table both shares are above .94."""
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(d, labels)
     known = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(toxicity.held_out(F.col("doc_id")))
     got = toxicity.score(d.join(F.broadcast(known), "doc_id"), model).select("toxic", (F.col("score") >= 0.3).alias("p")).collect()
     hit = sum(r["p"] for r in got if r["toxic"] == 1)
-    assert hit / sum(r["toxic"] == 1 for r in got) > 0.6 and hit / sum(r["p"] for r in got) > 0.7
+    assert hit / sum(r["toxic"] == 1 for r in got) > 0.75 and hit / sum(r["p"] for r in got) > 0.8, (hit / sum(r["toxic"] == 1 for r in got), hit / sum(r["p"] for r in got))
 
 
 # 5: shards
@@ -303,7 +313,7 @@ def test_lm_filter_has_its_bits_for_every_item_in_large_texts(spark):
 
 def test_lm_filter_level_ends_at_the_largest_stored_one():
     keys = words.mix(np.arange(1, 101, dtype=np.uint64))
-    full = lm.Filter(np.full(64, 255, np.uint8), np.array([0, 512]), 7)
+    full = lm.Filter(np.full(64, 255, np.uint8), np.array([0, 512]), 7)  # all bits set
     assert (full.level(*lm.word_key(keys)) == 7).all()
 
 
@@ -325,14 +335,52 @@ def test_lm_weights_are_learned_on_all_documents(spark):
     texts = [" ".join(rng.choices([f"w{int(i**1.5)}" for i in range(200)], k=rng.randint(1, 30))) for _ in range(5_000)]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     model, _ = lm.fit(df)
-    codes, n = lm._level_counts(df, model)
-    assert n.sum() == model.n == sum(len(t.split()) + 1 for t in texts)
-    every = model.level_codes(texts)
+    rows = lm._leveled(df.withColumn("row", F.monotonically_increasing_id()), model, ["row"]).collect()
+    word, pair = (np.frombuffer(b"".join(r[c] for r in rows), np.uint8).astype(np.int64) for c in ("words", "pairs"))
+    assert len(word) == model.n == sum(len(t.split()) + 1 for t in texts)
+    context = model.contexts(word, np.cumsum([0, *(len(r["words"]) for r in rows[:-1])]))
+    every = (context * lm.LEVELS + pair) * lm.LEVELS + word
     got, model.weights = model.weights, np.full(lm.LEVELS, 0.2)
     model.learn_weights(every, np.ones(len(every)))
     assert got == pytest.approx(model.weights)
 
 
+def exact_twin(rows):
+    """Scores by the same smoothing from exact counts in dictionaries, without hashes or filter."""
+    toks = [[*WORD.findall((t or "").translate(LOWER)), None] for _, t, *_ in rows]
+    train = [w for (i, *_), w in zip(rows, toks) if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    one, two = Counter(x for w in train for x in w), Counter(p for w in train for p in zip([0, *w], w))
+    level = lambda n, cutoff=1: int(lm.levels(np.array([n]), cutoff)[0])
+    at = lambda a, b: (level(len(train) if a == 0 else one[a]), level(two[a, b], lm.PAIR_CUTOFF), level(one[b]))
+    model = lm.Model(None, None, sum(one.values()), len(one), len(train), 0, np.full(lm.LEVELS, 0.2), *[np.zeros(0)] * 2)
+    codes = Counter(at(a, b) for w in train for a, b in zip([0, *w], w))
+    model.learn_weights(np.array([(c * lm.LEVELS + p) * lm.LEVELS + w for c, p, w in codes]), np.array(list(codes.values())))
+    out = []
+    for w in toks:
+        c, p, x = (np.array(y) for y in zip(*(at(a, b) for a, b in zip([0, *w], w))))
+        seen, single = model._estimates(c, p, x)
+        out.append(float(np.log10(model.weights[c] * seen + (1 - model.weights[c]) * single).sum()))
+    return out
+
+
+@pytest.mark.parametrize("room", [lm.MAX_FILTER_BYTES, 0])
+def test_lm_scores_equal_those_of_exact_counts(spark, monkeypatch, room):
+    """But for the filter's errors (half a percent of the levels); with no room for a broadcast the ranges are asked."""
+    monkeypatch.setattr(lm, "MAX_FILTER_BYTES", room)
+    rng = random.Random(6)
+    rows = [(10_000 + i, " ".join(rng.choices([f"w{int(k**1.6)}" for k in range(150)], k=rng.randint(0, 60))), "en", "s", 1) for i in range(1_500)] + odd_documents()
+    df = clashing(spark.createDataFrame(rows, SCHEMA), "score", "words", "pairs", "row", "block")
+    got = lm.fit_and_score(df, lm.held_out(F.col("doc_id"))).collect()
+    assert len(got) == len(rows)
+    texts = {i: (r, w) for r, w in zip(rows, exact_twin(rows)) for i in [r[0]] if i not in (None, 400)}
+    errors = [abs(g["score"] - texts[g["doc_id"]][1]) / g["n_tokens"] for g in got if g["doc_id"] in texts]
+    assert np.mean(errors) < 0.01 and np.quantile(errors, 0.99) < 0.1
+    model, rest = lm.fit(df.filter(~lm.held_out(F.col("doc_id"))))
+    again = lm.score(df, model, rest).collect()
+    assert Counter((g["doc_id"], g["n_known"], round(g["score"], 9), round(g["base_score"], 9)) for g in got) == Counter((g["doc_id"], g["n_known"], round(g["score"], 9), round(g["base_score"], 9)) for g in again)
+    assert (model.counts is None) == (room == 0)
+
+
 # 7: exact dedup
 
 
