@@ -466,23 +466,64 @@ def test_mixing(spark, docs, empty):
     for _, t, _, s, _ in odd_documents():
         sizes[s] = sizes.get(s, 0) + size(t)
     target = water(sizes)
-    mixed = mixing.mix(clashing(docs, "size", "target", "shard", "row"), block_words=500, n_shards=5)
-    rows = mixed.collect()
-    assert sorted(map(tuple, mixed.drop("row").collect()), key=str) == sorted(map(tuple, mixing.mix(clashing(docs, "size", "target", "shard", "row").repartition(3), block_words=500, n_shards=5).drop("row").collect()), key=str)
+    clash = clashing(docs, "size", "target", "shard", "row", "rid", "s", "k", "tie", "c", "nth", "copy", "h")
+    digest = mixing.mix_digest(clash, block_words=500, n_shards=5).collect()
+    as_rows = lambda rows: Counter(str((r["doc_id"], r["size"], r["taken"], r["copies"])) for r in rows)
+    assert as_rows(digest) == as_rows(mixing.mix_digest(clash.repartition(3), block_words=500, n_shards=5).collect())
+    source = {(i, size(t)): s for i, t, _, s, _ in odd_documents()}
     taken: dict = {}
-    for r in rows:
-        assert r["size"] == size(r["row"]["text"]) and r["target"] == pytest.approx(target[r["row"]["source"]])
-        assert (r["shard"] is None) == (r["words"] == 0) and r["words"] <= r["size"]
-        taken[r["row"]["source"]] = taken.get(r["row"]["source"], 0) + r["words"]
-    assert all(abs(taken[s] - target[s]) <= 1 for s in target)
-    digest = mixing.mix_digest(docs, block_words=500).collect()
-    assert len(digest) == len(odd_documents()) and all(r["taken"] <= 3 * r["size"] for r in digest)
+    for r in digest:
+        s = source[r["doc_id"], r["size"]]
+        assert r["target"] == pytest.approx(target[s]) and r["taken"] <= 3 * r["size"] and r["source_size"] == sizes[s]
+        taken[s] = taken.get(s, 0) + r["taken"]
+    assert len(digest) == len(odd_documents()) and all(abs(taken[s] - target[s]) <= 1 for s in target)
     out = mixing.mixed_rows(docs, length_col="n_chars")
     words_out: dict = {}
     for r in out.collect():
         words_out[r["source"]] = words_out.get(r["source"], 0) + size(r["text"])
     assert out.columns == docs.columns and all(abs(words_out.get(s, 0) - target[s]) <= 1 for s in target)
-    assert mixing.mix_digest(empty).count() == 0
+    assert mixing.mixed_rows(clash, whole=True).columns == clash.columns
+    assert mixing.mix_digest(empty).count() == 0 and mixing.mixed_rows(empty).count() == 0
+
+
+def test_mixing_takes_what_the_tree_deals(docs, monkeypatch):
+    """The mix's rows come shard after shard, and without the tree's quotas nothing is taken."""
+    copies = sorted((c["shard"], c["place"], r["doc_id"]) for r in mixing.mix_digest(docs, block_words=500, n_shards=5).collect() if r["doc_id"] not in (None, 400) for c in r["copies"])
+    by_partition = mixing.mixed_rows(docs, block_words=500, n_shards=5, whole=True).withColumn("p", F.spark_partition_id()).collect()
+    found = {}
+    for r in by_partition:
+        found.setdefault(r["p"], []).append(r["doc_id"])
+    whole = {}
+    for shard, _, i in copies:
+        whole.setdefault(shard, []).append(i)
+    got = [[i for i in ids if i not in (None, 400)] for ids in found.values()]
+    assert sorted(i for ids in got for i in ids) == sorted(i for _, _, i in copies)
+    assert all(any(ids[k : k + len(part)] == part for ids in got for k in range(len(ids))) for part in whole.values())
+    tree = mixing.shard_quotas
+    monkeypatch.setattr(mixing, "shard_quotas", lambda *a: tree(*a).filter("false"))
+    assert all(r["taken"] == 0 and not r["copies"] for r in mixing.mix_digest(docs).collect())
+
+
+@pytest.mark.parametrize("good,total,draws", [(5, 12, 4), (40, 100, 50), (1, 1000, 3), (7, 7, 3), (0, 9, 4), (30, 60, 60)])
+def test_hypergeometric_law(spark, good, total, draws):
+    n = 4_000
+    k = mixing.hypergeometric(F.lit(good), F.lit(total), F.lit(draws), (F.col("id") + 0.5) / n)
+    got = Counter(r["k"] for r in spark.range(n).select(k.alias("k")).collect())
+    for i in range(max(0, draws - total + good), min(draws, good) + 1):
+        want = math.comb(good, i) * math.comb(total - good, draws - i) / math.comb(total, draws)
+        assert abs(got.get(i, 0) / n - want) <= 2 / n
+    assert sum(got.values()) == n
+
+
+def test_splitting_tree_of_a_billion_blocks(spark):
+    quotas = spark.createDataFrame([("a", 600_000_000), ("b", 399_999_000), ("c", 1_000)], "source string, blocks long")
+    leaves = mixing.shard_quotas(quotas, 4, 1).collect()
+    by = Counter()
+    for r in leaves:
+        by[r["source"]] += r["blocks"]
+    assert by == {"a": 600_000_000, "b": 399_999_000, "c": 1_000}
+    a = [r["blocks"] for r in leaves if r["source"] == "a"]
+    assert len(a) == 4 and all(abs(x - 150_000_000) < 8 * 7_000 for x in a) and len(set(a)) > 1
 
 
 def test_mixing_deals_every_copy_and_keeps_documents_whole(spark, docs):
@@ -501,7 +542,7 @@ def test_splitting_tree_deals_every_block_once(spark):
     by: dict = {}
     for r in leaves:
         by.setdefault(r["source"], []).append(r)
-    assert {s: sum(r["blocks"] for r in v) for s, v in by.items()} == {"a": 100, "b": 7, None: 0, "c": 33}
+    assert {s: sum(r["blocks"] for r in v) for s, v in by.items()} == {"a": 100, "b": 7, "c": 33}
     shards = Counter()
     for v in by.values():
         at = 0
