@@ -25,5 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = after
         n, mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if (n, mark) == seen or not n:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out._lodestone_path = now._lodestone_path
+            return out
         seen = (n, mark)

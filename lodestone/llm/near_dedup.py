@@ -11,11 +11,14 @@
    Pairs with enough matching coordinates are confirmed on the full sets, the most promising pair of each
    document first; a pair whose ends are connected by then is skipped.
 5. Posting lists whose members lie in one component are done. The members of the others, gathered by smallest
-   member, are compared across components: in blocks of at most ``BLOCK_ROWS`` by ``BLOCK_ROWS``, each block a
-   task of its own, by the number of agreeing coordinates and then on the full sets. Only links that join
-   components leave a block, so pairs are compared but never written out, and no link between different texts is
-   lost. Such members are documents that share much with a near copy without being one; comparing them costs the
-   square of their number within a group, in blocks that any number of executors can share.
+   member, are compared across components in pairs of blocks, each a task of its own; a block has at most
+   ``BLOCK_ROWS`` members and about ``BLOCK_SHINGLES`` shingles. First only the signatures meet: a pair must collide in
+   one of COORDS - m + 1 coordinates, those with the most values in the block (prefix), and counting goes on only
+   while the collisions so far and the coordinates left can still make m (skip). Then the full sets of the members
+   that have such a partner follow, and pairs are confirmed. Only links that join components leave a block, so pairs are
+   compared but never written out, and no link between different texts is lost. Such members are documents that share
+   much with a near copy without being one; comparing them costs the square of their number within a group, in
+   blocks that any number of executors can share.
 
 No task holds a whole posting list, and no list is cut.
 """
@@ -34,14 +37,15 @@ from pyspark.sql import types as T
 
 from lodestone.llm import blocks, words
 from lodestone.llm.components import components
-from lodestone.llm.shared import written
+from lodestone.llm.shared import Scratch, fresh, written
 
 SHINGLE, COORDS = 5, 64
 PERCENT = 85  # by default links have 100 * intersection >= PERCENT * union
 MISSED = 1 / 30_000  # share of the pairs at the threshold itself that may agree in too few coordinates
 BROADCAST_IDS = 2_000_000  # ids (16 MB) up to which the documents to confirm are broadcast; more are shuffled
 BLOCK_CHARS = 1_000_000
-BLOCK_ROWS = 2_048
+BLOCK_ROWS, BLOCK_SHINGLES = 2_048, 1 << 20
+HOT_SHARE, HOT_MIN = 2_048, 200  # a class is hot with more than a 2,048th of all rows, so at most 2,048 are
 
 
 @cache
@@ -89,7 +93,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return blocks.add_columns(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", new, make, ["id"], BLOCK_CHARS)
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def shingle_sets(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
     """(cls, set) of the documents (id, text) whose ids are given; the ids are broadcast if they are few."""
     few = ids.count() <= BROADCAST_IDS
 
@@ -102,7 +106,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     some = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
     found = blocks.add_columns(some, "text", {"cls": T.BinaryType(), "set": T.ArrayType(T.LongType())}, make, ["id"], BLOCK_CHARS)
-    return written(found.dropDuplicates(["cls"]).select("cls", "set"), "sets")
+    return scratch.written(found.dropDuplicates(["cls"]).select("cls", "set"), "sets")
 
 
 def _agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -113,10 +117,10 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("same", same).filter(F.col("same") >= matches(percent)).select("a", "b", "a_id", "b_id", "same")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs that are links on their full sets, as edges (u, v) between representatives' ids."""
-    ids = written(pairs.select(F.explode(F.array("a_id", "b_id")).alias("id")).distinct(), "ids")
-    sets = shingle_sets(docs, ids)
+    ids = scratch.written(pairs.select(F.explode(F.array("a_id", "b_id")).alias("id")).distinct(), "ids")
+    sets = shingle_sets(docs, ids, scratch)
     joined = pairs.join(sets.withColumnsRenamed({"cls": "a", "set": "a_set"}), "a").join(sets.withColumnsRenamed({"cls": "b", "set": "b_set"}), "b")
     common = F.size(F.array_intersect("a_set", "b_set"))
     linked = 100 * common >= percent * (F.size("a_set") + F.size("b_set") - common)
@@ -132,78 +136,120 @@ def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def links(sketched: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """(node, root) for the ids of representatives that are linked, directly or not, with a smaller one."""
+    scratch = Scratch()
     reps = sketched.filter("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    reps = written(reps, "reps")
+    reps = scratch.written(reps, "reps")
     token = F.transform("sig", lambda v, i: F.shiftleft(i.cast("long"), 32) + F.pmod(v.cast("long"), F.lit(1 << 32)))
     tokens = reps.select("cls", "id", F.explode(token).alias("token"))
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).filter("freq > 1")
     nth = F.row_number().over(Window.partitionBy("cls").orderBy("freq", "token"))
     unique = COORDS - F.count(F.lit(1)).over(Window.partitionBy("cls"))
     posted = tokens.join(often, "token").withColumns({"nth": nth, "unique": unique}).filter(F.col("nth") <= COORDS - matches(percent) + 1 - F.col("unique"))
-    posted = written(posted.select("token", "cls", "id"), "posted")
+    posted = scratch.written(posted.select("token", "cls", "id"), "posted")
 
     head = posted.groupBy("token").agg(F.min(F.struct("id", "cls")).alias("head"))
     starred = posted.join(head, "token").select(F.col("cls").alias("a"), F.col("head.cls").alias("b")).filter("a <> b").distinct()
-    starred = written(_agreeing(starred, reps, percent), "starred")
+    starred = scratch.written(_agreeing(starred, reps, percent), "starred")
     best = starred.groupBy("a").agg(F.max_by(F.struct("b", "a_id", "b_id"), F.struct("same", -F.col("b_id"))).alias("x")).select("a", "x.*")
-    edges = written(_confirmed(best, docs, percent), "edges")
-    roots = components(edges)
-    edges = written(edges.unionByName(_confirmed(_rooted(starred, roots), docs, percent)), "edges")
-    roots = components(edges)
+    edges = scratch.written(_confirmed(best, docs, percent, scratch), "edges")
+    roots = scratch.keep(components(edges))
+    edges = scratch.written(edges.unionByName(_confirmed(_rooted(starred, roots), docs, percent, scratch)), "edges")
+    roots = scratch.keep(components(edges))
+    out = components(edges.unionByName(_across(posted, roots, reps, docs, percent, scratch)))
+    scratch.drop()
+    return out
 
-    return components(edges.unionByName(_across(posted, roots, docs, percent)))
 
-
-def _across(posted: DataFrame, roots: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _across(posted: DataFrame, roots: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links (u, v) between members of one posting list that lie in different components so far."""
     rooted = posted.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     lists = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("id").alias("head")).filter("lo < hi").select("token", "head")
-    members = written(rooted.join(lists, "token").select("head", "cls", "id", "root").distinct(), "members")
-    sizes = members.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "head").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    members = rooted.join(lists, "token").select("head", "cls", "id", "root").distinct()
+    members = scratch.written(members.join(reps.select("cls", "n", "sig"), "cls"), "members")
+    blocks_ = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK_ROWS), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int")
+    dealt = members.join(members.groupBy("head").agg(blocks_.alias("blocks")), "head").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("head", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "id", "root")
-    sets = shingle_sets(docs, members.select("id").distinct())
-    return written(dealt.join(sets, "cls").groupBy("head", "i", "j").applyInArrow(lambda t: _block_links(t, percent), "u long, v long"), "edges")
+    dealt = dealt.select("head", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "id", "root", "n", "sig")
+    near = dealt.groupBy("head", "i", "j").applyInArrow(lambda t: _with_partner(t, percent), "head long, i int, j int, block int, cls binary, id long, root long, sig array<int>")
+    near = scratch.written(near, "near")
+    sets = shingle_sets(docs, near.select("id").distinct(), scratch)
+    return scratch.written(near.join(sets, "cls").groupBy("head", "i", "j").applyInArrow(lambda t: _block_links(t, percent), "u long, v long"), "edges")
+
+
+def _rows_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of an array column one after the other, and where each row's begin; one more at the end."""
+    one = column.combine_chunks()
+    return one.flatten().to_numpy(), one.offsets.to_numpy() - one.offsets[0].as_py()
+
+
+def _colliding(sig: np.ndarray, size: np.ndarray, root: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int):
+    """(x, y, collisions) of the pairs between left and right, 256 left rows at a time, that collide in ``matches(percent)``
+    coordinates or more, have similar sizes and lie in different components."""
+    m = matches(percent)
+    order = np.argsort([-len(np.unique(sig[right, k])) for k in range(COORDS)], kind="stable")
+    sorted_ = [(k, np.argsort(sig[right, k], kind="stable")) for k in order[: COORDS - m + 1].tolist()]
+    for part in (left[k : k + 256] for k in range(0, len(left), 256)):
+        met = np.zeros((len(part), len(right)), bool)
+        for k, by in sorted_:  # prefix: pairs that collide here
+            values = sig[right[by], k]
+            a, b = (np.searchsorted(values, sig[part, k], side) for side in ("left", "right"))
+            rows = np.repeat(np.arange(len(part)), b - a)
+            met[rows, by[np.arange(len(rows)) - np.repeat(np.cumsum(b - a) - b, b - a)]] = True
+        a, b = size[part][:, None], size[right][None, :]
+        met &= (root[part][:, None] != root[right][None, :]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+        rows, cols = np.nonzero(met)
+        x, y, same = part[rows], right[cols], np.zeros(len(rows), np.int16)
+        for n, k in enumerate(order.tolist()):
+            same += sig[x, k] == sig[y, k]
+            if n % 8 == 7:  # skip those that can't come to m any more
+                fit = same + (COORDS - 1 - n) >= m
+                x, y, same = x[fit], y[fit], same[fit]
+        yield x, y, same
+
+
+def _block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(roots, signatures, rows of block i, rows of block j)."""
+    root, block = (table.column(c).to_numpy() for c in ("root", "block"))
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    return root, _rows_of(table.column("sig"))[0].reshape(-1, COORDS), np.flatnonzero(block == i), np.flatnonzero(block == j)
+
+
+def _with_partner(table: pa.Table, percent: int) -> pa.Table:
+    """The members of blocks i and j that have a partner by signatures; where i = j, every pair is seen twice."""
+    root, sig, left, right = _block(table)
+    found = np.zeros(len(root), bool)
+    if len(np.unique(root)) > 1:
+        size = table.column("n").to_numpy()
+        for x, y, _ in _colliding(sig, size, root, left, right, percent):
+            found[x] = found[y] = True
+    return table.select(["head", "i", "j", "block", "cls", "id", "root", "sig"]).filter(pa.array(found))
 
 
 def _block_links(table: pa.Table, percent: int) -> pa.Table:
     """Links that join components, between the members of blocks i and j of a group."""
-    ids, root, block = (table.column(c).to_numpy() for c in ("id", "root", "block"))
-    column = table.column("set").combine_chunks()
-    cuts = column.offsets.to_numpy()
-    flat = column.values.to_numpy().view(np.uint64)
+    root, sig, left, right = _block(table)
+    ids = table.column("id").to_numpy()
+    flat, cuts = _rows_of(table.column("set"))
+    flat, size = flat.view(np.uint64), np.diff(cuts)
     sets = [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
     found: list[tuple[int, int]] = []
-    if len(np.unique(root)) > 1:
-        sig, size = _signatures(sets), np.array(list(map(len, sets)))
-        up: dict[int, int] = {}
-
-        def top(x: int) -> int:
-            while x in up:
-                x = up[x]
-            return x
-
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        for part in (left[k : k + 256] for k in range(0, len(left), 256)):
-            same = np.zeros((len(part), len(right)), np.uint8)
-            for k in range(COORDS):
-                same += sig[part, k][:, None] == sig[right, k][None, :]
-            a, b = size[part][:, None], size[right][None, :]
-            near = (same >= matches(percent)) & (root[part][:, None] != root[right][None, :]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
-            if i == j:
-                near &= part[:, None] < right[None, :]
-            rows, cols = np.nonzero(near)
-            for n in np.argsort(-same[rows, cols].astype(np.int16), kind="stable").tolist():
-                x, y = int(part[rows[n]]), int(right[cols[n]])
-                p, q = top(int(root[x])), top(int(root[y]))
-                if p == q:
-                    continue
-                common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if 100 * common >= percent * (size[x] + size[y] - common):
-                    up[max(p, q)] = min(p, q)
-                    found.append((int(ids[x]), int(ids[y])))
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in up:
+            x = up[x]
+        return x
+
+    for x, y, same in _colliding(sig, size, root, left, right, percent):
+        for n in np.argsort(-same, kind="stable").tolist():
+            a, b = int(x[n]), int(y[n])
+            p, q = top(int(root[a])), top(int(root[b]))
+            if p == q:
+                continue
+            common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if 100 * common >= percent * (size[a] + size[b] - common):
+                up[max(p, q)] = min(p, q)
+                found.append((int(ids[a]), int(ids[b])))
     return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
 
@@ -213,22 +259,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Documents are linked at a similarity of ``percent`` or more.
     Null and empty texts and texts without words have an empty set and are linked with nothing. Rows that share
     an id are one document with several texts. Rows without an id are linked with nothing: component_id is null
-    and they are kept. Repeated rows are equal sets of one class. An empty table gives an empty result. Other
-    columns of the input are ignored."""
+    and they are kept. Repeated rows are equal sets of one class. Very long texts are whole sets like any other. An empty table
+    gives an empty result. Other columns of the input are ignored."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sketched = written(sketches(docs, "id", "text"), "sketches")
     roots = links(sketched, docs, percent)
-    classes = sketched.filter("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("rep"))
-    rooted = classes.join(roots, classes.rep == roots.node, "left").select("cls", F.coalesce("root", "rep").alias("root"))
-    member = sketched.filter("id is not null").select("id", "n", "cls").join(rooted, "cls", "left")
+    total = sketched.count()
+    classes = sketched.filter("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows"))
+    rooted = classes.join(roots, classes.rep == roots.node, "left").select("cls", F.coalesce("root", "rep").alias("root"), "rows")
+    is_hot = F.col("rows") > max(HOT_MIN, total // HOT_SHARE)
+    hot = rooted.filter(is_hot).select("cls", F.col("root").alias("hot_root"))  # at most HOT_SHARE classes
+    named = sketched.filter("id is not null").select("id", "n", "cls").join(F.broadcast(hot), "cls", "left")
+    rest = named.filter("hot_root is null").join(rooted.filter(~is_hot).select("cls", "root"), "cls", "left")
+    member = rest.select("id", "n", "root").unionByName(named.filter("hot_root is not null").select("id", "n", F.col("hot_root").alias("root")))
     out = member.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
     nameless = sketched.filter("id is null").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return out.unionByName(nameless).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of ``df`` that stay: one document of each group of near copies."""
-    gone = near_duplicates(df, id_col, text_col, percent).filter("not kept").select(F.col(id_col).alias("__gone"))
+    """The rows of ``df`` that stay: one document of each group of near copies, with the input's columns, whatever their
+    names. Rows without an id stay; of rows that share an id all stay or none; the other cases as in ``near_duplicates``."""
+    name = fresh(df, "gone")
+    gone = near_duplicates(df, id_col, text_col, percent).filter("not kept").select(F.col(id_col).alias(name))
     gone = written(gone.distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    return df.join(gone, df[id_col] == gone[name], "left_anti")

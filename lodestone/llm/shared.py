@@ -45,6 +45,24 @@ def drop_written(df: DataFrame) -> None:
     store.delete(where, True)
 
 
+class Scratch:
+    """Tables of a computation that nothing reads any more when it ends."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        return self.keep(written(df, name))
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        self.tables.append(table)
+        return table
+
+    def drop(self) -> None:
+        for t in self.tables:
+            drop_written(t)
+
+
 def _hadoop(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where

@@ -582,14 +582,18 @@ def test_near_duplicates(docs, empty):
     got = near_dedup.near_duplicates(clashing(docs, "n", "cls", "kept")).collect()
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(odd_documents())
     assert all(r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["component_id"]) for r in got)
-    assert near_dedup.drop_near_copies(docs).columns == docs.columns
+    clash = clashing(docs, "gone", "__gone", "id", "cls")
+    assert near_dedup.drop_near_copies(clash).columns == clash.columns
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("block", [near_dedup.BLOCK_ROWS, 7])
-def test_near_duplicates_in_chains_and_crowds(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,shingles", [(near_dedup.BLOCK_ROWS, near_dedup.BLOCK_SHINGLES), (7, near_dedup.BLOCK_SHINGLES), (near_dedup.BLOCK_ROWS, 900)])
+def test_near_duplicates_in_chains_and_crowds(spark, monkeypatch, block, shingles):
     """Copies of copies, and a crowd that shares most of a text without being near copies of each other."""
     monkeypatch.setattr(near_dedup, "BLOCK_ROWS", block)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", shingles)
+    monkeypatch.setattr(near_dedup, "HOT_MIN", 3)
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 2_000_000 if block == 7 else 0)
     rng = random.Random(8)
     word = lambda: "".join(rng.choices("abcdefgh", k=6))
     rows, text = [], [word() for _ in range(200)]
@@ -605,6 +609,7 @@ def test_near_duplicates_in_chains_and_crowds(spark, monkeypatch, block):
             w[rng.randrange(100)] = word()
         rows.append((2000 + i, " ".join(w)))
     passage = " ".join(word() for _ in range(60))
+    rows += [(2500 + i, rows[-1][1]) for i in range(9)]  # a hot class
     rows += [(3000 + i, f"{passage} " + " ".join(word() for _ in range(rng.choice([3, 20, 60])))) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = near_dedup.near_duplicates(df).collect()
