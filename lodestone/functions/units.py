@@ -6,6 +6,7 @@ its dimension's base unit; temperatures also have an offset.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import cache
 
@@ -146,10 +147,31 @@ def value_unit_pairs(text: Column) -> Column:
     return F.zip_with(values, units, lambda v, u: F.struct(v.alias("value"), u.alias("unit")))
 
 
+def known_value_units(text: Column, known: Iterable[str] | None = None) -> Column:
+    """array<struct<value, unit>>: numbers with something in brackets behind them, then numbers with a known unit, which ends
+    where no letter or digit follows. Case doesn't count. Without a list all units of the ontology are known."""
+    names = sorted(set(known) if known is not None else {u for _, u, _, _ in ontology()}, key=lambda u: (-len(u), u))
+    in_brackets = r"(\d+\.?\d*)\s*[(\[]([^)\]]+)[)\]]"
+    behind = rf"(?i)(\d+\.?\d*(?:e[-+]?\d+)?)\s*({'|'.join(re.escape(u) for u in names)})(?![A-Za-z0-9])"
+    pairs = lambda p: F.zip_with(*(F.regexp_extract_all(text, F.lit(p), F.lit(i)) for i in (1, 2)), lambda v, u: F.struct(v.alias("value"), F.trim(u).alias("unit")))
+    return F.concat(pairs(in_brackets), pairs(behind))
+
+
+def cell_value(cell: Column, header: Column, known: Iterable[str] | None = None) -> Column:
+    """struct(value, confidence, value_type, unit) of a table's cell: by its own first unit, else by its header's."""
+    own = F.get(known_value_units(cell, known), F.lit(0))
+    parsed = parse_value(F.coalesce(own["value"], F.trim(cell)))
+    return F.struct(parsed["value"].alias("value"), parsed["confidence"].alias("confidence"), parsed["value_type"].alias("value_type"), F.coalesce(own["unit"], header).alias("unit"))
+
+
 def header_unit(header: Column) -> Column:
-    """The unit in a header's brackets, e.g. "Energy density (Wh kg-1)"; null without one."""
-    inside = F.regexp_extract(header, r"[(\[]([^)\]]*(?:/|g-|kg-|cm-|m-|²|³|°|%|nm|[µμ]m|um|mm|cm|Hz)[^)\]]*)[)\]]", 1)
-    return F.when(inside != "", slash_form(inside))
+    """The unit in a header's brackets, by the first form that occurs: a quotient or power ("F/g", "Wh kg-1"), one with a
+    power, degree or per cent sign, a length, second or hertz as a word of its own. Null without one."""
+    forms = (
+        r"(?i)[(\[]([^)\]]+(?:/|g-|kg-|cm-|m-)[^)\]]*)[)\]]", r"[(\[]([^)\]]*[²³°%][^)\]]*)[)\]]",
+        r"(?i)[(\[]((?:[^)\]]*[^A-Za-z)\]])?(?:nm|[μµ]m|um|mm|cm|m|s|Hz)(?:[^A-Za-z)\]][^)\]]*)?)[)\]]",
+    )
+    return slash_form(F.coalesce(*(F.nullif(F.regexp_extract(header, p, 1), F.lit("")) for p in forms)))
 
 
 def validate_cell(cell: Column, units: Column, low: Column, high: Column) -> Column:

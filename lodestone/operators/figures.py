@@ -63,19 +63,28 @@ def projections(pixels: DataFrame, image: str, axis: str, value: str) -> DataFra
     return pixels.groupBy(image, axis).agg(F.sum(value).alias("total"))
 
 
-# fixed values: caption words of plots, micrographs and drawings
-PLOT_WORDS = ("plot", "graph", "curve", "curves", "versus", "vs", "function of")
-MICROSCOPY_WORDS = ("sem", "tem", "micrograph", "microscopy", "afm")
-DRAWING_WORDS = ("scheme", "schematic", "illustration", "diagram")
+# fixed values: caption words of micrographs and drawings
+MICROSCOPY_WORDS = ("tem", "sem", "afm", "scale bar", "magnification", "nanometer", "μm", "nm")
+DRAWING_WORDS = ("setup", "scheme", "illustration", "proposed", "apparatus", "diagram")
+LEAST_SCORE = 40  # figures below it aren't digitised
 
 
-def figure_score(axes: Column, ticks: Column, caption: Column) -> Column:
-    """40 for axes, 30 for ticks, 30 for a plot's word in the caption, less 60 for microscopy and 40 for schemes."""
+def caption_signal(caption: Column) -> Column:
+    """What a caption's words speak for: microscopy before schematic, else graph."""
     low = F.lower(F.coalesce(caption, F.lit("")))
     has = lambda words: low.rlike(rf"\b(?:{'|'.join(words)})\b")
-    plot = F.when(has(PLOT_WORDS), 30).otherwise(0)
-    other = F.when(has(MICROSCOPY_WORDS), 60).otherwise(0) + F.when(has(DRAWING_WORDS), 40).otherwise(0)
-    return F.when(axes, 40).otherwise(0) + F.when(ticks, 30).otherwise(0) + plot - other
+    return F.when(has(MICROSCOPY_WORDS), "microscopy").when(has(DRAWING_WORDS), "schematic").otherwise("graph")
+
+
+def figure_score(axes: Column, ticks: Column, signal: Column) -> Column:
+    """40 for axes, 30 for ticks, and by the caption's signal 30 for a graph, less 60 for microscopy or 40 for a drawing; at least 0."""
+    by_signal = F.when(signal == "graph", 30).when(signal == "microscopy", -60).otherwise(-40)
+    return F.greatest(F.lit(0), F.when(axes, 40).otherwise(0) + F.when(ticks, 30).otherwise(0) + by_signal)
+
+
+def simple_plot(series: Column, most: int = 10) -> Column:
+    """Few enough series to be told apart."""
+    return F.size(series) <= most
 
 
 def large_enough(width: Column, height: Column, least: int = 150) -> Column:

@@ -3,6 +3,7 @@ fallbacks apply: measurements none, ambiguous cells dropped (fail closed), rows
 
 from __future__ import annotations
 
+from functools import reduce
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -51,9 +52,12 @@ def confirmed_measurements(answers: DataFrame, lines: DataFrame, key: str, least
     return parsed.filter(F.col("confidence") >= least).join(lines, key)
 
 
-def keep_confirmed(cells: DataFrame, answers: DataFrame, key: str) -> DataFrame:
-    """Unambiguous cells, and ambiguous ones that a model confirms as measurements; without answers they are dropped."""
-    yes = answers.filter(F.upper("answer") == "MEASUREMENT").select(key).distinct()
+def keep_confirmed(cells: DataFrame, answers: DataFrame, key: str, least: float = 0.70) -> DataFrame:
+    """Unambiguous cells, and ambiguous ones that a model confirms as measurements; without answers they are dropped.
+
+    Answers with a ``confidence`` count from ``least`` on."""
+    sure = answers.filter(F.col("confidence") >= least) if "confidence" in answers.columns else answers
+    yes = sure.filter(F.upper("answer") == "MEASUREMENT").select(key).distinct()
     return cells.filter(~F.col("ambiguous")).unionByName(cells.filter("ambiguous").join(yes, key, "left_semi"))
 
 
@@ -65,4 +69,9 @@ def accept_rows(rows: DataFrame, answers: DataFrame, key: str) -> DataFrame:
 def requested_only(answers: DataFrame, requested: DataFrame) -> DataFrame:
     """Answers (name, ...) whose name is a requested attribute, punctuation and case aside."""
     key = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    return answers.join(F.broadcast(requested.select("attribute", key(F.col("attribute")).alias("_k"))), key(F.col("name")) == F.col("_k")).drop("_k")
+    return answers.join(requested.select("attribute", key(F.col("attribute")).alias("_k")), key(F.col("name")) == F.col("_k")).drop("_k")
+
+
+def vocabulary(*lists: DataFrame) -> DataFrame:
+    """(word): the lower-cased words of all lists (word), each once."""
+    return reduce(DataFrame.unionByName, lists).select(F.lower("word").alias("word")).filter("word <> ''").distinct()

@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.band import band_join
@@ -135,3 +135,41 @@ def included_or_all(files: DataFrame, included: DataFrame, key: str, fallback: b
         return some
     none = included.limit(1).agg((F.count(F.lit(1)) == 0).alias("none")).scalar()
     return some.unionByName(files.filter(none))
+
+
+def strength_counts(hits: DataFrame, key: str) -> DataFrame:
+    """(key, primary, alias, secondary): hits of each strength."""
+    return hits.groupBy(key).agg(*[F.count_if(F.col("strength") == s).alias(s) for s in ("primary", "alias", "secondary")])
+
+
+def gated(df: DataFrame, text_col: str, score_col: str, least: float = SCREENING_GATE, characters: int = 50) -> DataFrame:
+    """``df`` with ``enough`` (the trimmed text has so many characters) and ``include`` (enough, and a score of ``least`` or
+    more); without enough text the score is 0."""
+    enough = F.coalesce(F.length(F.trim(F.col(text_col))) >= characters, F.lit(False))
+    scored = df.withColumn("enough", enough).withColumn(score_col, F.when(F.col("enough"), F.col(score_col)).otherwise(0.0))
+    return scored.withColumn("include", F.col("enough") & (F.col(score_col) >= least))
+
+
+def triggered_aliases(docs: DataFrame, key: str, text_col: str, aliases: DataFrame, keyword_hits: DataFrame, letters: int = 5) -> DataFrame:
+    """Hits of aliases (term, strength, attribute, ordinal) of those attributes that a document's keywords bring up; in
+    documents without a keyword, of all aliases with so many letters. Where a keyword stands there is no alias, and at one
+    place only the first alias counts."""
+    found = term_hits(docs, key, text_col, aliases.select("term", "strength", "attribute")).join(aliases.select("term", "attribute", "ordinal"), ["term", "attribute"])
+    brought = keyword_hits.select(key, "attribute", F.lit(True).alias("_brought")).distinct()
+    any_ = keyword_hits.select(key, F.lit(True).alias("_any")).distinct()
+    met = found.join(brought, [key, "attribute"], "left").join(any_, key, "left")
+    fit = met.filter(F.when(F.col("_any").isNotNull(), F.col("_brought").isNotNull()).otherwise(F.length("term") >= letters))
+    free = fit.join(keyword_hits.select(key, "word").distinct(), [key, "word"], "left_anti")
+    first = F.row_number().over(Window.partitionBy(key, "word").orderBy("ordinal"))
+    return free.withColumn("_r", first).filter("_r = 1").select(key, "term", "strength", "attribute", "word")
+
+
+def ordered_distinct(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """(key, values): the different values in the order in which they first occur."""
+    first = df.groupBy(key, value).agg(F.min(order).alias("_o"))
+    return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", value))), lambda s: s[value]).alias("values"))
+
+
+def leading(values: str, n: int) -> Column:
+    """The first n of an array: hits, measurements or pairs of a report."""
+    return F.slice(values, 1, n)

@@ -24,8 +24,9 @@ def sample_values(cells: DataFrame, headers: DataFrame, key: str, rows: int = 5,
     return some.groupBy(key, "col").agg(F.slice(ordered, 1, most).alias("samples"))
 
 
-# fixed values: words of a cell that describes
+# fixed values: words of a cell that describes, and units that may be a condition's
 CELL_WORDS = ("synthesis", "preparation", "method", "prepared", "sample", "material")
+AMBIGUOUS_UNITS = ("a/g", "x", "c", "v", "mv/s", "ma/c", "k", "h")
 
 
 def is_value_cell(cell):
@@ -33,9 +34,9 @@ def is_value_cell(cell):
     return (F.length(cell) <= 50) & ~cell.contains("\n") & cell.rlike("[0-9]") & ~cell.rlike(rf"(?i)\b(?:{'|'.join(CELL_WORDS)})\b")
 
 
-def ambiguous(unit, header_confidence, condition_units=("v", "mv", "a/g", "°c", "k", "h", "min")):
+def ambiguous(unit, header_confidence):
     """Cells that need a second look: a condition's unit, or none under a weak header."""
-    return F.coalesce(F.lower(unit).isin(list(condition_units)), F.lit(False)) | (unit.isNull() & (header_confidence < 0.75))
+    return F.coalesce(F.lower(unit).isin(*AMBIGUOUS_UNITS), F.lit(False)) | (F.coalesce(unit, F.lit("")).isin("") & (header_confidence < 0.75))
 
 
 def attributed_cells(cells: DataFrame, header_attrs: DataFrame, key: str) -> DataFrame:

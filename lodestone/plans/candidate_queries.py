@@ -15,38 +15,6 @@ def _lines(spark, sf_dir):
     return table(spark, sf_dir, "lineitem")
 
 
-@query(
-    """with l as (select p_partkey, p_size::varchar as value, case p_partkey % 8 when 0 then 'see Fig. ' || p_size || ' below it' when 1 then 'as shown [' || p_size || ']' when 2 then 'less than ' || p_size || ' F/g here'
-  when 3 then 'it was ' || p_size || ' F/g' when 4 then 'it was ' || p_size when 5 then 'Frequency (MHz)' when 6 then 'Table ' || p_size else p_size || ' f/g overall' end as line from part)
-select p_partkey, case p_partkey % 8 when 0 then 'reference' when 1 then 'citation' when 2 then 'bound' when 4 then 'no unit' when 5 then 'axis label' when 6 then 'reference' end as reason from l"""
-)
-def false_positives(spark, sf_dir):
-    n, k = F.col("p_size").cast("string"), F.col("p_partkey") % 8
-    line = (
-        F.when(k == 0, F.concat(F.lit("see Fig. "), n, F.lit(" there it"))).when(k == 1, F.concat(F.lit("as shown ["), n, F.lit("]"))).when(k == 2, F.concat(F.lit("less than "), n, F.lit(" F/g here")))
-        .when(k == 3, F.concat(F.lit("it was "), n, F.lit(" F/g"))).when(k == 4, F.concat(F.lit("it was "), n)).when(k == 5, F.lit("Frequency (MHz)")).when(k == 6, F.concat(F.lit("Table "), n))
-        .otherwise(F.concat(n, F.lit(" f/g overall")))
-    )
-    rows = table(spark, sf_dir, "part").select("p_partkey", line.alias("line"), n.alias("value"))
-    return rows.select("p_partkey", candidates.false_positive(F.col("line"), F.col("value"), F.array(F.lit("F/g"))).alias("reason"))
-
-
-@query(
-    """select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, case l_partkey % 3 when 0 then l_quantity between 0.1 and 200 when 1 then l_quantity between 10 and 100 else true end as plausible from lineitem"""
-)
-def physical_ranges(spark, sf_dir):
-    kind = F.col("l_partkey") % 3
-    attr = F.when(kind == 0, "mean Pore Size").when(kind == 1, "carbon content").otherwise("colour")
-    rows = candidates.within_physical_range(_lines(spark, sf_dir).withColumn("attr", attr), "attr", "l_quantity")
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "plausible")
-
-
-@query("select p_partkey, p_partkey % 3 = 0 as condition from part")
-def condition_units(spark, sf_dir):
-    unit = F.when(F.col("p_partkey") % 3 == 0, "mV/s").when(F.col("p_partkey") % 3 == 1, "A/g").otherwise("nm")
-    return table(spark, sf_dir, "part").select("p_partkey", candidates.is_condition(unit, F.array(F.lit("a/g"))).alias("condition"))
-
-
 SCORED = f"""c as (select l_orderkey as file, l_returnflag as attr, l_quantity as value, 100 * l_discount + l_linenumber as score, l_linenumber as location, {KEY} from lineitem),
 t as (select *, max(score) over (partition by file, attr) as top from c),
 r as (select *, row_number() over (partition by file, attr order by case when attr = 'R' then value else score end desc, location, {KEY}) as n from t where attr <> 'R' or score >= greatest(0.8 * top, top - 50))"""
@@ -127,13 +95,6 @@ def attributed_cells(spark, sf_dir):
     return found.select("t", "row", "attribute", "cell")
 
 
-@query("select p_partkey, (p_partkey % 4 = 0) or (p_partkey % 4 = 1 and p_size < 30) as ambiguous from part")
-def ambiguous_cells(spark, sf_dir):
-    kind = F.col("p_partkey") % 4
-    unit = F.when(kind == 0, "mV").when(kind > 1, "F/g")
-    return table(spark, sf_dir, "part").select("p_partkey", tables.ambiguous(unit, F.col("p_size") / 40.0).alias("ambiguous"))
-
-
 ALIASES = [("steel", "metal"), ("polished brass", "metal"), ("red", "colour"), ("gold metallic", "finish"), ("copper", "metal"), ("large anvil", "shape")]
 ALIAS_SQL = "a(alias, attribute, ordinal) as (values " + ", ".join(f"('{a}', '{b}', {i})" for i, (a, b) in enumerate(ALIASES)) + ")"
 
@@ -166,7 +127,8 @@ def header_match(spark, sf_dir):
 @query(
     f"""with {ALIAS_SQL}, n as (select p_partkey, lower(p_name || ' ' || p_type) as name, case when p_size > 25 then 'metal' when p_size < 10 then 'colour' end as owner from part)
 select n.p_partkey, arg_max(a.attribute, (length(alias), -ordinal)) as attribute
-from n left join a on (case when length(alias) <= 3 then list_contains(string_split_regex(name, '[^a-z0-9]+'), alias) else contains(name, alias) end) and coalesce(owner = a.attribute, true) group by 1"""
+from n left join a on (case when length(alias) <= 3 then list_contains(string_split_regex(name, '[^a-z0-9]+'), alias) else contains(name, alias) or (len(list_filter(string_split(alias, ' '), lambda w: length(w) > 3)) > 0
+  and len(list_filter(string_split(alias, ' '), lambda w: length(w) > 3 and not contains(name, w))) = 0) end) and coalesce(owner = a.attribute, true) group by 1"""
 )
 def axis_attr_match(spark, sf_dir):
     unit = F.when(F.col("p_size") > 25, "KG").when(F.col("p_size") < 10, "nm").otherwise("other")
@@ -280,25 +242,6 @@ def estimated_tokens(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.estimated_tokens(F.col("text")).alias("tokens"), tx.proof_location(proof).alias("location"))
 
 
-@query(
-    """select p_partkey, p_partkey % 5 = 0 as metadata, p_partkey % 5 = 1 and p_partkey % 2 = 0 as binder, p_partkey % 5 in (2, 3) as formula, p_partkey % 5 = 4 as unit from part"""
-)
-def false_positive_contexts(spark, sf_dir):
-    """Publication marks near the number, binders, equations, and units before it."""
-    n, k = F.col("p_size").cast("string"), F.col("p_partkey") % 5
-    line = (
-        F.when(k == 0, F.concat(F.lit("J. X, Vol. "), n, F.lit(", 3"))).when(k == 1, F.concat(n, F.lit(" PVDF in NMP"))).when(k == 2, F.concat(F.lit("x = 2 * "), n))
-        .when(k == 3, F.concat(F.lit("Csp = Es "), n)).otherwise(F.concat(F.lit("in nm: "), n))
-    )
-    attr = F.when(F.col("p_partkey") % 2 == 0, "Carbon content").otherwise("pore size")
-    rows = table(spark, sf_dir, "part").select("p_partkey", line.alias("line"), n.alias("value"), attr.alias("attr"))
-    c, v = F.col("line"), F.col("value")
-    return rows.select(
-        "p_partkey", candidates.is_near_metadata(c, v).alias("metadata"), candidates.is_binder(c, F.col("attr")).alias("binder"), candidates.is_formula(c).alias("formula"),
-        candidates.unit_around(c, v, F.array(F.lit("nm"))).alias("unit"),
-    )
-
-
 @query(
     """select p_partkey, (case when p_partkey % 2 = 0 then 200 else 0 end) - (case when p_partkey % 7 = 0 then 1000 else 0 end) + case p_partkey % 3 when 0 then 100 when 1 then 20 else 0 end as score from part"""
 )
@@ -308,17 +251,3 @@ def legacy_scores(spark, sf_dir):
     score = candidates.legacy_score(line, F.lit(5), F.lit("pore volume"), k % 2 == 0, k % 7 == 0)
     rows = table(spark, sf_dir, "part").withColumn("p", F.lit(1))
     return rows.select("p_partkey", score.alias("score"))
-
-
-@query(
-    """with w as (select item_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) as term, generate_subscripts(string_split_regex(lower(text), '[^a-z0-9]+'), 1) - 1 as word from benchmark)
-select a.item_id, a.word, b.term as value from w a join w b on a.item_id = b.item_id and abs(a.word - b.word) <= 8 where a.term in ('the', 'of') and length(b.term) = 2 and b.term not in ('of')"""
-)
-def keyword_window_values(spark, sf_dir):
-    """What stands within eight words of a keyword: a band join on word numbers."""
-    from lodestone.operators.band import band_join
-
-    words = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("word", "term"))
-    keys = words.filter(F.col("term").isin("the", "of")).select("item_id", "word")
-    values = words.filter((F.length("term") == 2) & (F.col("term") != "of")).select("item_id", F.col("word").alias("at"), F.col("term").alias("value"))
-    return band_join(keys, values, ["item_id"], "word", "at", 8).select("item_id", F.col("word").cast("long").alias("word"), "value")

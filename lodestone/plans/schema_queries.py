@@ -101,20 +101,6 @@ def projection_sums(spark, sf_dir):
     return out
 
 
-@query(
-    """select p_partkey, (case when p_size > 10 then 40 else 0 end) + (case when p_size > 25 then 30 else 0 end) + case p_partkey % 4 when 0 then 30 when 1 then -60 when 2 then -40 else 0 end as score,
-  p_size * 10 >= 150 and p_partkey % 400 >= 150 as large, p_retailprice > -1000 and p_retailprice < 100000 as plausible from part"""
-)
-def figure_scores(spark, sf_dir):
-    k = F.col("p_partkey") % 4
-    caption = F.when(k == 0, "A plot of it").when(k == 1, "SEM of carbon").when(k == 2, "Schematic view").otherwise("assembly")
-    s = F.col("p_size")
-    return table(spark, sf_dir, "part").select(
-        "p_partkey", figures.figure_score(s > 10, s > 25, caption).alias("score"), figures.large_enough(s * 10, F.col("p_partkey") % 400).alias("large"),
-        figures.plausible_plot_value(F.col("p_retailprice")).alias("plausible"),
-    )
-
-
 @query(
     """with t as (select p_partkey as image, case p_partkey % 3 when 0 then 'b' when 1 then 'c' end as x, case p_partkey % 2 when 0 then 'b' end as y from part),
 d as (select image, coalesce(x, 'a') as x, coalesce(y, 'b') as y from t) select image, x as x_attr, case when x = y then (case when x = 'a' then 'b' else 'a' end) else y end as y_attr from d"""

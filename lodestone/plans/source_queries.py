@@ -14,7 +14,11 @@ from lodestone.plans.registry import query, table
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
     return f"{base.rstrip('/')}/lodestone/{uuid.uuid4().hex}"
 
 
@@ -153,8 +157,7 @@ def streaming_dedup(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     once = events.deduplicated(stream, ["user_id", "event_type"], "ts", "3650 days")
-    name = f"s{uuid.uuid4().hex}"
-    return events.drain(once.select("user_id", "event_type", "ts"), name).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return events.drain(once.select("user_id", "event_type", "ts"), _folder(spark)).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select date_trunc('day', ts) as day, event_type, count(*) as n, sum(value) as total from events group by all")
@@ -171,3 +174,15 @@ g as (select *, sum(s) over (partition by user_id order by ts rows unbounded pre
 def event_sessions(spark, sf_dir):
     out = events.sessions(table(spark, sf_dir, "events"), "ts", "user_id")
     return out.select("user_id", F.col("session_window.start").alias("start"), "n")
+
+
+@query(
+    """select user_id, date_trunc('day', ts::timestamp) as day, count(*) as n, round(sum(event_id), 3)::double as total from events group by all"""
+)
+def windowed_stream(spark, sf_dir):
+    """Daily windows by user as a stream; the watermark spans the table and ends with it, so complete mode returns all."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    made = events.windowed(stream, "ts", "user_id", "event_id", "1 day", None, "3650 days")
+    rows = events.drain_complete(made.select("user_id", F.col("window.start").alias("day"), "n", "total"), _folder(spark))
+    return rows.select("user_id", F.col("day").cast("timestamp_ntz").alias("day"), "n", F.round(F.col("total").cast("double"), 3).alias("total"))

@@ -68,17 +68,6 @@ def parse_values(spark, sf_dir):
     return rows.select("p_partkey", "form", "v.value", "v.confidence", "v.value_type")
 
 
-@query(
-    """with c as (select p_partkey, p_size || ' F/g at ' || (p_partkey % 9) || 'A/g and ' || p_brand as cell from part),
-m as (select p_partkey, unnest(regexp_extract_all(cell, '(\\d+(?:\\.\\d+)?)\\s*([a-zA-Z%/µ·²³Ω°]+)', 1)) as value, unnest(regexp_extract_all(cell, '(\\d+(?:\\.\\d+)?)\\s*([a-zA-Z%/µ·²³Ω°]+)', 2)) as unit from c)
-select p_partkey, value, unit from m"""
-)
-def value_unit_pairs(spark, sf_dir):
-    cell = F.concat("p_size", F.lit(" F/g at "), F.col("p_partkey") % 9, F.lit("A/g and "), "p_brand")
-    pairs = table(spark, sf_dir, "part").select("p_partkey", F.explode(units.value_unit_pairs(cell)).alias("p"))
-    return pairs.select("p_partkey", "p.value", "p.unit")
-
-
 @query(
     """select p_partkey, case p_partkey % 6 when 0 then p_size || ' f/g' when 1 then null when 2 then null when 3 then (case when p_size <= 40 then p_size || ' f/g' end)
   when 4 then null else (case when p_size <= 40 then p_size || '-' || (p_size + 5) || ' f/g' end) end as cell
@@ -96,15 +85,6 @@ def validated_cells(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", out.alias("cell"))
 
 
-@query(
-    """select p_partkey, case p_partkey % 4 when 0 then 'F/g' when 1 then 'Wh/kg' when 2 then 'nm' end as unit from part"""
-)
-def header_units(spark, sf_dir):
-    kind = F.col("p_partkey") % 4
-    header = F.concat("p_name", F.when(kind == 0, " (F/g)").when(kind == 1, " [Wh kg-1]").when(kind == 2, " (nm)").otherwise(" (mean)"))
-    return table(spark, sf_dir, "part").select("p_partkey", units.header_unit(header).alias("unit"))
-
-
 VALIDATION = """v as (
   select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity as value, l_partkey % 4 as kind, l_suppkey % 5 as place from lineitem),
 f as (

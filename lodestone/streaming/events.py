@@ -20,8 +20,21 @@ def sessions(stream: DataFrame, ts: str, by: str, gap: str = "30 minutes", late:
     return stream.withWatermark(ts, late).groupBy(F.session_window(ts, gap), by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there now and return what it wrote."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is there now into Parquet in ``folder``, which also holds its checkpoint, and read it."""
+    q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def drain_complete(aggregated: DataFrame, folder: str) -> DataFrame:
+    """The same for an aggregate that is wanted whole and not only as far as its watermark is past: each batch replaces the
+    rows in ``folder``, written by the executors."""
+    target = f"{folder}/rows"
+
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(target)
+
+    q = aggregated.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return aggregated.sparkSession.read.schema(aggregated.schema).parquet(target)

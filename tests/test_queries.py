@@ -169,3 +169,35 @@ def test_empty_tables(spark):
     assert candidates.best_or_largest(rows.withColumn("score", rows.confidence), ["seq"], ["a"]).count() == 0
     docs = spark.createDataFrame([(1, None), (2, "")], "id int, text string")
     assert pages.lines(docs, "id", "text").count() == 1
+
+
+def test_false_positive_rules_hold_for_their_attributes_only(spark):
+    from lodestone.operators import candidates
+    from pyspark.sql import functions as F
+
+    rows = [
+        ("a potential window of -1.2 V was found", "-1.2", "potential window", ["V"], None),
+        ("a potential window of -6 V was found", "-6", "potential window", ["V"], "range"),
+        ("the current density was held below 5 A/g here", "5", "current density", ["A/g"], None),
+        ("pores below 5 nm were found", "5", "pore size", ["nm"], "bound"),
+        ("in 2010 it was 2010 F/g", "2010", "specific capacitance", ["F/g"], "year"),
+        ("it was 2010 F/g", "2010", "colour", ["F/g"], None),
+        ("ms of 0.005 emu/g was measured", "0.005", "saturation magnetization", ["emu/g"], "range"),
+        ("frequency (300 kHz)", "300", "AMF frequency", ["kHz"], "axis label"),
+        ("a voltage of 12 V was applied", "12", "voltage", ["V"], "impossible"),
+        ("the carbon content was 80 % with PVDF", "80", "carbon content", ["%"], "binder"),
+        (None, "5", "colour", ["nm"], "no unit"),
+    ]
+    df = spark.createDataFrame(rows, "line string, value string, attr string, units array<string>, want string")
+    got = df.withColumn("got", candidates.text_false_positive(F.coalesce("line", F.lit("")), F.col("value"), F.col("attr"), F.col("units"))).collect()
+    assert [(r["line"], r["got"]) for r in got] == [(r["line"], r["want"]) for r in got]
+
+
+def test_too_many_aliases_are_an_error(spark, monkeypatch):
+    import pytest
+    from lodestone.operators import matching
+
+    monkeypatch.setattr(matching, "MAX_LISTED", 2)
+    schema = spark.createDataFrame([("a", ["b", "c"], ["g"], 0)], "attribute string, aliases array<string>, units array<string>, ordinal int")
+    with pytest.raises(ValueError):
+        matching.header_attribute(spark.createDataFrame([("a (g)",)], "h string"), "h", schema)
