@@ -10,7 +10,8 @@ Texts are encoded once. How many sequences a text has is known only afterwards,
 sequence before any is made; slots of sequences that don't exist stay empty, and records close ranks. A record's
 ``position`` in the whole order is its number within the shard plus the records of the shards before.
 
-A shard is written under a temporary name and moved into place, so a task that runs again replaces its own file.
+Slots are dealt to partitions by their range itself, one range a shard, so there is no sampling and no partition has
+two shards. A shard is written under a temporary name and moved into place, so a task that runs again replaces its own file.
 """
 
 from __future__ import annotations
@@ -133,7 +134,7 @@ def write_shards(df: DataFrame, vocabulary: str, pattern: str, folder: str | Non
 
     kind = id_type.simpleString()
     made = src.mapInArrow(encode, f"shard int, slot long, id {kind}, seq int, n_tokens int, record binary")
-    sorted_ = made.repartition(shards, "shard").sortWithinPartitions("shard", "slot")
+    sorted_ = made.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")  # a partition is a range of slots, and a shard
     index = written(sorted_.mapInArrow(write, f"id {kind}, seq int, n_tokens int, slot long, shard int, byte_offset long, ids_sha256 string"), "index")
     sizes = index.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))

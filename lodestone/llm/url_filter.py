@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.shared import fresh
+
 BROADCAST_RULES = 20_000  # rule lists up to this length are broadcast (a few MB); longer ones are shuffled
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,7 +54,8 @@ def filter_urls(df: DataFrame, rules: Sequence[tuple[str, str]], url_col: str =
     """The input with host, path, rule and verdict added (existing columns of these names are replaced).
 
     The longest rule that fits wins, equal lengths by the smaller text. Without a rule (null and malformed URLs
-    too) ``rule`` is null and the verdict is ``default``. Rows keep their number; an empty table stays empty.
+    too) ``rule`` is null and the verdict is ``default``. URLs of any length are judged whole; repeated rows keep their
+    number; other columns stay, whatever their names; an empty table stays empty.
     """
     spark = df.sparkSession
     table = spark.createDataFrame(_compiled(rules), "rule string, action string, regex string, tokens array<string>")
@@ -75,12 +78,14 @@ def filter_urls(df: DataFrame, rules: Sequence[tuple[str, str]], url_col: str =
         listed = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(a).alias("action"), F.lit(x).alias("regex")) for r, a, x in loose])
         found = found.unionByName(urls.select("_url", "_target", F.explode(listed).alias("r")).select("_url", "_target", "r.*"))
     fitting = found.filter(F.expr("_target rlike regex"))
-    best = fitting.groupBy("_url").agg(F.min(F.struct((-F.length("rule")).alias("l"), "rule", "action")).alias("_best"))
+    key, found = fresh(df, "judged_url"), fresh(df, "judged")
+    best = fitting.groupBy(F.col("_url").alias(key)).agg(F.min(F.struct((-F.length("rule")).alias("l"), "rule", "action")).alias(found))
     plain = df.drop("host", "path", "rule", "verdict") if url_col not in ("host", "path", "rule", "verdict") else df
-    return plain.join(best, plain[url_col] == best["_url"], "left").select(
+    # a URL of very many rows is split by the skew join of adaptive execution: only the other side has it once
+    return plain.join(best, plain[url_col] == best[key], "left").select(
         *[plain[c] for c in plain.columns],
         url_host(plain[url_col]).alias("host"),
         url_path(plain[url_col]).alias("path"),
-        F.col("_best.rule").alias("rule"),
-        F.coalesce("_best.action", F.lit(default)).alias("verdict"),
+        best[found]["rule"].alias("rule"),
+        F.coalesce(best[found]["action"], F.lit(default)).alias("verdict"),
     )

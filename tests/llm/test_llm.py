@@ -128,6 +128,7 @@ def test_bpe_encode_offsets_and_decode(docs):
 def test_url_filter_odd_urls(spark):
     urls = [None, "", "no scheme", "http://NET/", "http://a.net", "http://a.net?x", "https://A.Example.NET/en/x#y", "https://example.net/EN/", "x://example.com/de/", "x://notexample.com/de/", "a://b://org/fr/", "http://org/fr/q?u=http://net/", "http://foo.net:80/"]
     df = spark.createDataFrame([(i, u, "mine") for i, u in enumerate(urls + urls)], "page_id long, url string, rule string")
+    df = clashing(df, "_best", "_url", "judged", "judged_url", "token", "action")
     rules = [*queries.URL_RULES, ("block", "x/.*"), ("block", "b/ads")]
 
     def judge(u):
@@ -235,7 +236,9 @@ def test_feistel_is_a_permutation():
     assert (token_output.feistel(np.arange(1000), 1000, 1) != token_output.feistel(np.arange(1000), 1000, 2)).any()
 
 
-def test_shards(spark, docs, empty, library, tmp_path):
+@pytest.mark.parametrize("size", [token_output.SHARD_TEXT_BYTES, 40_000])
+def test_shards(spark, docs, empty, library, tmp_path, monkeypatch, size):
+    monkeypatch.setattr(token_output, "SHARD_TEXT_BYTES", size)
     stored = shared.written(clashing(docs, "slot", "seq"), "t")
     out = token_output.write_shards(stored, RANKS, public_tokenizers.PATTERN, f"file://{tmp_path}/a", seq_len=64)
     rows = out.collect()
