@@ -1,19 +1,20 @@
 """Approximate nearest neighbours by multi-index hashing over learned rotated binary codes.
 
-Codes: vectors are centred, normalised and rotated by ``ROTATIONS`` orthogonal matrices learned by iterative
+Codes: vectors are centred and rotated by ``ROTATIONS`` orthogonal matrices learned by iterative
 quantisation on a bounded sample (``SAMPLE`` rows); the signs are the bits. The Hamming radius is learned on
 the same sample: the ``QUANTILE`` of the distances between the codes of a sampled query and its nearest
 neighbours in the sample. Neighbours in the whole table are at least as near, so the radius errs to the wide
 side.
 
-Index: every row's code is split into 16-bit substrings, each indexed by value. By the pigeonhole principle a
+Index: every row's code is split into substrings of ``SUB_BITS``, each indexed by value. By the pigeonhole principle a
 code within the radius r must be within t_i of the query in some substring i when the sum of all (t_i + 1) is
 r + 1; the thresholds are dealt out evenly. Probing substring i visits the occupied index cells within t_i. All
 codes found are checked for their whole distance, and those within the radius are ranked by the exact distance of
 their vectors. Where fewer than k rows lie within the radius it grows until there are k.
 
-The search runs in blocks: the index is hashed into parts of bounded size, the queries into blocks of
-``QUERY_BLOCK``; each pair of them is one task, and the best k of every query are merged at the end.
+The search runs in blocks: the index is hashed into parts of at most about ``PART_ROWS`` rows (fewer where more tasks
+can run), the queries into blocks of ``QUERY_BLOCK``; each pair of them is one task, and the best k of every query are
+merged at the end. So a row is moved once for each block of queries, and a query once for each part.
 """
 
 from __future__ import annotations
@@ -22,15 +23,15 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.shared import sampled
 
-SAMPLE, SAMPLE_QUERIES, ROTATIONS, ITERATIONS, QUANTILE = 4_096, 256, 2, 20, 0.98
-PART_ROWS, QUERY_BLOCK = 16_384, 2_048
-SUB_BITS = 16
+SAMPLE, SAMPLE_QUERIES, ROTATIONS, ITERATIONS, QUANTILE = 4_096, 256, 4, 20, 0.95
+PART_ROWS, QUERY_BLOCK, LEAST_ROWS = 65_536, 32_768, 4_096
+SUB_BITS = 64  # short substrings would let nearly every code through at the radii of real neighbours
 
 
 @dataclass
@@ -40,10 +41,9 @@ class Coder:
     radius: int
 
     def codes(self, x: np.ndarray) -> np.ndarray:
-        """Bit codes as 16-bit substrings, [row, substring]."""
-        y = x / np.linalg.norm(x, axis=1, keepdims=True) - self.mean
-        bits = (y @ self.rotation) > 0
-        return np.packbits(bits, axis=1, bitorder="little").view("<u2")
+        """Bit codes as substrings of ``SUB_BITS``, [row, substring]."""
+        bits = ((x - self.mean) @ self.rotation) > 0
+        return np.packbits(bits, axis=1, bitorder="little").view(f"<u{SUB_BITS // 8}")
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -55,14 +55,14 @@ def learn(x: np.ndarray, k: int, seed: int = 5) -> Coder:
     """Rotations by iterative quantisation and the radius, from a sample of vectors."""
     dim = x.shape[1]
     width = -(-dim // SUB_BITS) * SUB_BITS
-    y = x / np.linalg.norm(x, axis=1, keepdims=True)
-    mean = y.mean(axis=0)
-    y = y - mean
+    mean = x.mean(axis=0)
+    y = x - mean
     _, _, axes = np.linalg.svd(y, full_matrices=False) if len(y) >= dim else (None, None, np.eye(dim))
     rng = np.random.default_rng(seed)
     out = []
     for _ in range(ROTATIONS):
-        base = np.concatenate([axes.T, axes.T @ np.linalg.qr(rng.normal(size=(dim, dim)))[0][:, : width - dim]], axis=1) if width > dim else axes.T
+        more = [np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(-(-width // dim) - 1)]
+        base = np.concatenate([axes.T, *(axes.T @ m for m in more)], axis=1)[:, :width]
         r = np.linalg.qr(rng.normal(size=(width, width)))[0]
         v = y @ base
         for _ in range(ITERATIONS):
@@ -82,10 +82,10 @@ def learn(x: np.ndarray, k: int, seed: int = 5) -> Coder:
 
 
 class SubstringIndex:
-    """Rows of a part by the value of each 16-bit substring of their codes."""
+    """Rows of a part by the value of each substring of their codes. ``probed`` counts the rows that probing has found."""
 
     def __init__(self, codes: np.ndarray) -> None:
-        self.codes, self.cells = codes, []
+        self.codes, self.cells, self.probed = codes, [], 0
         for i in range(codes.shape[1]):
             order = np.argsort(codes[:, i], kind="stable")
             values, first = np.unique(codes[order, i], return_index=True)
@@ -105,6 +105,7 @@ class SubstringIndex:
             inner = np.arange(size.sum()) - np.repeat(np.cumsum(np.append(0, size[:-1])), size)
             found[order[np.repeat(first[hit], size) + inner]] = True
         rows = np.flatnonzero(found)
+        self.probed += len(rows)
         return rows[hamming(self.codes[rows], code) <= radius]
 
 
@@ -151,9 +152,9 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     dim, n = sizes[0]["dim"], sizes[0]["count"]
     rows = rows.filter(F.col("dim") == dim).select("id", "x")
     sample = sampled(rows, SAMPLE, n, "id").toArrow()
-    coder = spark.sparkContext.broadcast(learn(_matrix(sample.column("x").to_pylist(), dim), k))
+    coder = spark.sparkContext.broadcast(learn(_matrix(sample.column("x"), dim), k))
 
-    parts = max(1, math.ceil(n / PART_ROWS))
+    parts = max(1, math.ceil(n / PART_ROWS), min(spark.sparkContext.defaultParallelism, math.ceil(n / LEAST_ROWS)))
     query_blocks = max(1, math.ceil(n / every / QUERY_BLOCK))
     queries = rows.filter(F.pmod("id", F.lit(every)) == 0)
     numbers = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
@@ -161,25 +162,26 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     left = queries.select("id", "x", block.alias("block"), numbers(parts).alias("part"))
     right = rows.select("id", "x", part.alias("part"), numbers(query_blocks).alias("block"))
 
-    def search(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        q, r = (_single(t) for t in (q, r))
-        if not len(q) or not len(r):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        found = search_part(coder.value, q.id.to_numpy(), _matrix(q.x, dim), r.id.to_numpy(), _matrix(r.x, dim), k)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
+    def search(q: pa.Table, r: pa.Table) -> pa.Table:
+        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if len(q) and len(r):
+            found = search_part(coder.value, *_single(q, dim), *_single(r, dim), k)
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, found), strict=True)))
 
-    found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
+    found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _matrix(vectors, dim: int) -> np.ndarray:
-    return np.concatenate([np.asarray(v, np.float64) for v in vectors]).reshape(-1, dim)
+def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _single(t: pd.DataFrame) -> pd.DataFrame:
-    """One row per id."""
-    if t.id.is_unique:
-        return t
-    t = t.assign(key=t.x.map(tuple)).sort_values(["id", "key"], kind="stable")
-    return t.drop_duplicates("id").drop(columns="key")
+def _single(t: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors, one row per id: that with the smallest vector."""
+    ids, x = t.column("id").to_numpy(), _matrix(t.column("x"), dim)
+    if len(np.unique(ids)) == len(ids):
+        return ids, x
+    order = np.lexsort((*x.T[::-1], ids))
+    order = order[np.diff(ids[order], prepend=ids[order[0]] - 1) != 0]
+    return ids[order], x[order]

@@ -437,6 +437,24 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("norms", [(1.0, 1.0), (0.5, 2.0)])
+def test_probing_leaves_rows_out_and_finds_the_nearest(norms):
+    """On vectors without clusters, the hardest case, with equal and with varying norms."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6_000, 64))
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) * rng.uniform(*norms, (len(x), 1))
+    coder = ann.learn(x[:4_000], 10)
+    codes = coder.codes(x)
+    index, hits = ann.SubstringIndex(codes), 0
+    for q in range(0, 6_000, 100):
+        rows = index.within(codes[q], coder.radius)
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & set(rows[np.argsort(d[rows])[:10]].tolist()))
+    assert hits >= 0.9 * 600
+    assert index.probed / (60 * 6_000) < (0.3 if norms[0] == norms[1] else 0.6), index.probed / (60 * 6_000)
+
+
 def test_pigeonhole_finds_every_code_within_the_radius():
     codes = np.random.default_rng(1).integers(0, 1 << 16, (2000, 8)).astype(np.uint16)
     codes[:300] = codes[300] ^ (np.random.default_rng(2).random((300, 8)) < 0.2)
