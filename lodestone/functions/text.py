@@ -1,5 +1,7 @@
 """Text cleaning and matching as Column expressions."""
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -103,24 +105,24 @@ def _scan_json(col: pd.Series) -> pd.Series:
     return col.map(_first_json)
 
 
+_JSON_MARK = re.compile(r'(?s)\\.|["{}\[\]]')
+
+
 def _first_json(text: str | None) -> str | None:
     if text is None:
         return None
-    start, depth, quoted, skip = -1, [], False, False
-    for i, c in enumerate(text):
+    start, depth, quoted = -1, [], False
+    for m in _JSON_MARK.finditer(text):  # only brackets, quotes and escapes are looked at
+        if quoted and m[0][0] == "\\":
+            continue
+        i, c = m.end() - 1, m[0][-1]
         if start < 0:
             if c in "{[":
                 start, depth = i, [c]
-            continue
-        if quoted:
-            if skip:
-                skip = False
-            elif c == "\\":
-                skip = True
-            elif c == '"':
-                quoted = False
         elif c == '"':
-            quoted = True
+            quoted = not quoted
+        elif quoted:
+            continue
         elif c in "{[":
             depth.append(c)
         elif c in "}]":

@@ -106,12 +106,21 @@ def anchored_filter(df: DataFrame, axis: str, px: str, value: str, share: float
     return ticks.join(slopes, axis).select(axis, F.explode(kept).alias("k")).select(axis, F.col("k.px").alias(px), F.col("k.value").alias(value))
 
 
-def islands(df: DataFrame, group: str, pos: str, gap: int = 10) -> DataFrame:
-    """Runs of positions with gaps of at most ``gap``: (group, first, last, n)."""
-    w = Window.partitionBy(group).orderBy(pos)
-    starts = F.when(F.col(pos) - F.lag(pos).over(w) <= gap, 0).otherwise(1)
-    runs = df.withColumn("_s", starts).withColumn("island", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(group, "island").agg(F.min(pos).alias("first"), F.max(pos).alias("last"), F.count(F.lit(1)).alias("n"))
+def islands(df: DataFrame, group: str, pos: str, gap: int = 10, bucket: int = 1 << 16) -> DataFrame:
+    """Runs of positions with gaps of at most ``gap``: (group, island, first, last, n).
+
+    Runs are found inside buckets of positions, so a group is shared by many tasks, and stitched by their ends."""
+
+    def runs(rows: DataFrame, key: list[str], first: Column, last: Column) -> DataFrame:
+        w = Window.partitionBy(*key).orderBy(first)
+        start = F.when(first - F.lag(last).over(w) <= gap, 0).otherwise(1)
+        return rows.withColumn("_s", start).withColumn("island", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    at = F.col(pos)
+    local = runs(df.withColumn("_b", F.floor(at / F.lit(bucket))), [group, "_b"], at, at)
+    local = local.groupBy(group, "_b", "island").agg(F.min(pos).alias("first"), F.max(pos).alias("last"), F.count(F.lit(1)).alias("n")).drop("island")
+    whole = runs(local, [group], F.col("first"), F.col("last"))
+    return whole.groupBy(group, "island").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
 
 
 def peaks(df: DataFrame, group: str, pos: str, count: str, floor: int = 100) -> DataFrame:
@@ -137,6 +146,37 @@ def value_span(df: DataFrame, group: str, value: str, share: float = 0.3) -> Dat
     return stats.withColumn("span", F.when(F.col("hi") - F.col("lo") > F.lit(share) * F.abs("hi"), F.concat(text("lo"), F.lit("-"), text("hi"))).otherwise(text("hi")))
 
 
+def second_difference_fit(y, weight: float = 0.5):
+    """The z that minimises sum (y - z)^2 + weight * sum (second differences of z)^2, for four values or more.
+
+    Its matrix I + weight * D'D has five diagonals, so elimination and substitution take time and memory in proportion to
+    the number of values."""
+    import numpy as np
+
+    n = len(y)
+    ones = np.ones(n - 2)
+    main, one, two = np.ones(n), np.zeros(n), np.zeros(n)  # the diagonal and those to its right
+    for shift, c in enumerate((1.0, -2.0, 1.0)):
+        main[shift : n - 2 + shift] += weight * c * c * ones
+    one[: n - 2] += weight * -2.0
+    one[1 : n - 1] += weight * -2.0
+    two[: n - 2] += weight
+    d, l1, l2, z = main.tolist(), one.tolist(), two.tolist(), np.asarray(y, float).tolist()
+    for i in range(n):  # L D L'
+        if i >= 1:
+            a1 = l1[i - 1] * d[i - 1]
+            d[i] -= l1[i - 1] * a1
+            l1[i] -= l2[i - 1] * a1
+            z[i] -= l1[i - 1] * z[i - 1]
+        if i >= 2:
+            d[i] -= l2[i - 2] ** 2 * d[i - 2]
+            z[i] -= l2[i - 2] * z[i - 2]
+        l1[i], l2[i] = l1[i] / d[i], l2[i] / d[i]
+    for i in reversed(range(n)):
+        z[i] = z[i] / d[i] - (l1[i] * z[i + 1] if i + 1 < n else 0.0) - (l2[i] * z[i + 2] if i + 2 < n else 0.0)
+    return np.array(z)
+
+
 def smoothed(df: DataFrame, curve: str, points: int = 50) -> DataFrame:
     """A smooth curve through each curve's points: penalised least squares on second differences, evaluated on an
     even grid. The curve is first reduced to the largest y per x and to points that agree with their neighbours."""
@@ -150,8 +190,7 @@ def smoothed(df: DataFrame, curve: str, points: int = 50) -> DataFrame:
         x, y = pdf.x.to_numpy(float), pdf.y.to_numpy(float)
         if len(x) > 3:
             grid = np.linspace(x[0], x[-1], points)
-            d = np.diff(np.eye(len(x)), 2, axis=0)
-            y = np.interp(grid, x, np.linalg.solve(np.eye(len(x)) + 0.5 * d.T @ d, y))
+            y = np.interp(grid, x, second_difference_fit(y))
             x = grid
         return pd.DataFrame({curve: pdf[curve].iloc[0], "x": x, "y": y})
 

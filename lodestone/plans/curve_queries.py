@@ -191,8 +191,9 @@ select axis, max(n) as most, max(n) >= 3 as aligned from c group by axis"""
 def aligned_ticks(spark, sf_dir):
     """Ticks within 15 pixels of a tick: a range frame instead of a self join."""
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("axis"), (F.col("event_id") % 500).alias("pos"))
-    near = F.count(F.lit(1)).over(Window.partitionBy("axis").orderBy("pos").rangeBetween(-14, 14))
-    return rows.withColumn("n", near).groupBy("axis").agg(F.max("n").alias("most"), (F.max("n") >= 3).alias("aligned"))
+    at = rows.groupBy("axis", "pos").agg(F.count(F.lit(1)).alias("here"))  # a row for each position, not for each tick
+    near = F.sum("here").over(Window.partitionBy("axis").orderBy("pos").rangeBetween(-14, 14))
+    return at.withColumn("n", near).groupBy("axis").agg(F.max("n").alias("most"), (F.max("n") >= 3).alias("aligned"))
 
 
 @query()

@@ -60,6 +60,49 @@ def test_smoothing_stays_within_the_points(spark):
     assert out.groupBy("curve").count().filter("count > 50").count() == 0
 
 
+def test_smoothing_equals_the_dense_solution():
+    import numpy as np
+    from lodestone.operators import curves
+
+    for n in (4, 5, 9, 200):
+        y = np.random.default_rng(n).normal(size=n)
+        d = np.diff(np.eye(n), 2, axis=0)
+        assert np.allclose(curves.second_difference_fit(y), np.linalg.solve(np.eye(n) + 0.5 * d.T @ d, y))
+
+
+def test_islands_do_not_depend_on_the_bucket(spark):
+    import random
+
+    from lodestone.operators import curves
+
+    rng = random.Random(2)
+    df = spark.createDataFrame([(rng.choice("ab"), rng.randrange(3_000)) for _ in range(300)], "g string, pos long")
+    found = [sorted(map(tuple, curves.islands(df, "g", "pos", 10, b).select("g", "first", "last", "n").collect())) for b in (7, 100, 1 << 16)]
+    assert found[0] == found[1] == found[2]
+
+
+def test_greedy_matching_and_json_equal_loops(spark):
+    import json
+    import random
+
+    from lodestone.functions.text import _first_json
+    from lodestone.operators import candidates
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(5), rng.choice("xyz"), float(rng.randrange(6)), float(rng.randrange(9)), i) for i in range(120)]
+    got = {tuple(r) for r in candidates.greedy_matching(spark.createDataFrame(rows, "file long, attr string, number double, score double, seq long")).collect()}
+    want, seen = set(), set()
+    for r in sorted(rows, key=lambda r: (-r[3], r[4])):
+        if (r[0], "n", r[2]) not in seen and (r[0], "a", r[1]) not in seen:
+            seen |= {(r[0], "n", r[2]), (r[0], "a", r[1])}
+            want.add(r)
+    assert got == want
+    for _ in range(300):
+        value = {rng.choice('a"\\{') * rng.randint(0, 3): [rng.choice(['x', '}"', '[\\', 1, None, {"k": "]"}]) for _ in range(rng.randint(0, 3))] for _ in range(2)}
+        assert json.loads(_first_json("so: " + json.dumps(value) + " } done")) == value
+    assert _first_json("no") is None and _first_json("{]") is None and _first_json('{"a": "}') is None
+
+
 def test_docs_parse_samples(spark):
     from pyspark.sql import functions as F
 
