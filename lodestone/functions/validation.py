@@ -21,13 +21,15 @@ def type_factor(kind: Column, value: Column, raw: Column) -> Column:
     return F.when(likely_header(raw) | likely_caption(raw), 0.0).when((kind == "float") & value.isNull(), 0.0).when((kind == "string") & value.isNotNull(), 0.5).otherwise(1.0)
 
 
-def unit_score(unit: Column, dimension: Column, expected: Column, expected_dimension: Column) -> Column:
-    """1 for an expected unit, .7 for one of the same dimension, .2 without a unit (.5 if none is expected), else 0."""
+def unit_score(unit: Column, dimension: Column, expected: Column, expected_dimension: Column, compatible: Column | None = None) -> Column:
+    """1 for an expected unit, whatever its case, .7 for one of the attribute's dimension, .6 for one of the dimension of an
+    expected unit (``compatible``: these units' dimensions), .2 without a unit (.5 if none is expected), else 0."""
+    same = F.coalesce(F.array_contains(compatible, dimension), F.lit(False)) if compatible is not None else F.lit(False)
     none = F.coalesce(F.size(expected), F.lit(0)) <= 0
     blank = unit.isNull() | (F.trim(unit) == "")
     return (
-        F.when(blank & none, 0.5).when(blank, 0.2).when(none, 0.5).when(F.array_contains(expected, unit), 1.0)
-        .when(F.coalesce(dimension == expected_dimension, F.lit(False)), 0.7).otherwise(0.0)
+        F.when(blank & none, 0.5).when(blank, 0.2).when(none, 0.5).when(F.array_contains(F.transform(expected, F.lower), F.lower(F.trim(unit))), 1.0)
+        .when(F.coalesce(dimension == expected_dimension, F.lit(False)), 0.7).when(same, 0.6).otherwise(0.0)
     )
 
 
@@ -55,3 +57,22 @@ def confidence(type_: Column, unit: Column, range_: Column, context: Column) ->
 def status(conf: Column, unit: Column, veritas: bool = True) -> Column:
     """VALID from .9, AMBIGUOUS from .7 (rejected under veritas), INVALID_UNIT for a foreign unit, else REJECTED."""
     return F.when(unit == 0, "INVALID_UNIT").when(conf >= VALID, "VALID").when((conf >= AMBIGUOUS) & F.lit(not veritas), "AMBIGUOUS").otherwise("REJECTED")
+
+
+def attribute_match(unit: Column, expected: Column, compatible: Column, dimensionless: Column, context: Column, aliases: Column, value: Column, low: Column, high: Column) -> Column:
+    """How well a value with a unit in a context fits an attribute, rounded to three digits: six tenths for the unit (1 if
+    expected, .8 if compatible, .5 without one where the attribute has no dimension; else the whole is 0), three for the
+    context (1 with an alias in it, .7 with half of an alias' words, those of more than three letters), one for the range."""
+    blank, text = F.coalesce(F.trim(unit) == "", F.lit(True)), F.lower(F.coalesce(context, F.lit("")))
+    by_unit = F.when(blank, F.when(dimensionless, 0.5).otherwise(0.0)).when(F.array_contains(F.transform(expected, F.lower), F.lower(F.trim(unit))), 1.0).when(compatible, 0.8).otherwise(0.0)
+
+    def half(alias: Column) -> Column:
+        words = F.split(F.lower(alias), r"\s+")
+        return F.size(F.filter(words, lambda w: (F.length(w) > 3) & text.contains(w))) >= F.greatest(F.lit(1), F.floor(F.size(words) / 2))
+
+    by_context = F.when(F.exists(aliases, lambda a: text.contains(F.lower(a))), 1.0).when(F.exists(aliases, half), 0.7).otherwise(0.0)
+    inside = 1.0 - F.try_divide(F.abs(value - (low + high) / 2), high - low) * 0.3
+    below = F.when(low > 0, F.greatest(F.lit(0.0), 1.0 - F.try_divide(low - value, low))).otherwise(0.0)
+    above = F.greatest(F.lit(0.0), 1.0 - F.try_divide(value - high, high))
+    by_range = F.coalesce(F.when(value.between(low, high), inside).when(value < low, below).otherwise(above), F.lit(0.0))
+    return F.when(by_unit == 0, 0.0).otherwise(F.round(0.6 * by_unit + 0.3 * by_context + 0.1 * by_range, 3))

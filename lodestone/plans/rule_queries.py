@@ -6,8 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.functions import units
-from lodestone.operators import candidates, figures, matching, models, screening, tables
+from lodestone.functions import units, validation
+from lodestone.operators import band, candidates, figures, matching, models, screening, tables
 from lodestone.operators.candidates import (
     AXIS_LABELS, BARE_NUMBER, BINDER_WORDS, BOUND_PHRASES, BOUNDED, CONDITION_UNITS, CONTEXT_WORDS, ELEMENT_CONTENTS, FORMULA_SYMBOLS, METADATA_WORDS, NEAR_METADATA, NEAR_ZERO,
     NEVER_ZERO, NOT_NEGATIVE, NUMBER_AND_UNIT, PHYSICAL_RANGES, PLOT_FORMULA_SYMBOLS, PLOT_NEAR_METADATA, POSITIVE_ONLY, TRENDS, YEARLESS,
@@ -293,3 +293,70 @@ def figure_scores(spark, sf_dir):
         "p_partkey", "score", "signal", (F.col("score") < figures.LEAST_SCORE).alias("skipped"), figures.large_enough(s * 10, F.col("p_partkey") % 400).alias("large"),
         figures.plausible_plot_value(F.col("p_retailprice")).alias("plausible"),
     )
+
+
+# scores of units and attributes, ticks and swatches
+DIMENSIONED = [("F/g", "capacitance_per_mass"), ("f/G ", "capacitance_per_mass"), ("mF/g", "capacitance_per_mass"), ("A/g", "current_per_mass"), ("nm", "length"), ("", None), (None, None)]
+_DIMENSIONED = "[" + ", ".join(f"{{'u': {_q(u) if u is not None else 'null'}, 'd': {_q(d) if d else 'null'}}}" for u, d in DIMENSIONED) + "]"
+
+
+@query(
+    f"""with c as (select p_partkey, {_DIMENSIONED}[p_partkey % {len(DIMENSIONED)} + 1] as x, p_size % 3 as k from part), u as (select p_partkey, x.u as u, x.d as d, k from c)
+select p_partkey, case when coalesce(trim(u), '') = '' then case when k = 2 then 0.5 else 0.2 end when k = 2 then 0.5 when lower(trim(u)) = 'f/g' then 1.0 when d = 'capacitance_per_mass' and k = 0 then 0.7
+  when d in ('capacitance_per_mass', 'current_per_mass') then 0.6 else 0.0 end::double as score from u"""
+)
+def unit_scores(spark, sf_dir):
+    """Exact, of the attribute's dimension, compatible with an expected unit, missing, foreign; and with no unit expected."""
+    at, k = (F.col("p_partkey") % len(DIMENSIONED)).cast("int"), F.col("p_size") % 3
+    pick = lambda i: F.get(F.array(*[F.lit(x[i]).cast("string") for x in DIMENSIONED]), at)
+    none = F.array().cast("array<string>")
+    expected = F.when(k == 2, none).otherwise(F.array(F.lit("F/g")))
+    compatible = F.array(F.lit("capacitance_per_mass"), F.lit("current_per_mass"))
+    score = validation.unit_score(pick(0), pick(1), expected, F.when(k == 0, "capacitance_per_mass").otherwise("length_of_nothing"), compatible)
+    return table(spark, sf_dir, "part").select("p_partkey", score.cast("double").alias("score"))
+
+
+@query(
+    f"""with c as (select p_partkey, {_DIMENSIONED}[p_partkey % {len(DIMENSIONED)} + 1].u as u, lower(p_name || ' ' || p_type) as ctx, p_size::double + 0.1 as v from part),
+s as (select *, case when coalesce(trim(u), '') = '' then case when p_partkey % 2 = 0 then 0.5 else 0 end when lower(trim(u)) = 'f/g' then 1.0 when u = 'mF/g' then 0.8 else 0 end as a,
+  case when contains(ctx, 'red') or contains(ctx, 'polished brass') then 1.0 when contains(ctx, 'polished') or contains(ctx, 'brass') then 0.7 else 0 end as b,
+  case when v between 10 and 30 then 1.0 - abs(v - 20.0) / 20.0 * 0.3 when v < 10 then greatest(0, 1.0 - (10 - v) / 10) else greatest(0, 1.0 - (v - 30) / 30) end as r from c)
+select p_partkey, case when a = 0 then 0.0 else round(0.6 * a + 0.3 * b + 0.1 * r, 3) end::double as score from s"""
+)
+def attribute_matches(spark, sf_dir):
+    unit = F.get(F.array(*[F.lit(x[0]).cast("string") for x in DIMENSIONED]), (F.col("p_partkey") % len(DIMENSIONED)).cast("int"))
+    score = validation.attribute_match(
+        unit, F.array(F.lit("F/g")), F.coalesce(unit == "mF/g", F.lit(False)), F.col("p_partkey") % 2 == 0, F.concat("p_name", F.lit(" "), "p_type"),
+        F.array(F.lit("red"), F.lit("polished brass")), F.col("p_size") + F.lit(0.1), F.lit(10.0), F.lit(30.0),
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", score.alias("score"))
+
+
+@query(
+    r"""with l as (select user_id as image, event_id as seq, event_type || ' ' || (event_id % 90) || '.5' as text, event_id % 611 as cx, event_id % 397 as cy from events),
+a as (select *, case when cy > 300 then 'x' when cx < 100 then 'y' end as axis, regexp_extract(text, '[-+]?\d+(\.\d+)?')::double as value from l),
+t as (select axis, o * 20.0 as tick, o as ordinal from (values ('x'), ('y')) v(axis), range(0, 40) r(o)),
+n as (select image, axis, seq, value, arg_min(tick, ordinal) as tick from a join t using (axis) where abs(case axis when 'x' then cx else cy end - tick) < 15 group by all)
+select image, axis, tick::double as tick, arg_max(value, seq) as value from n group by all"""
+)
+def tick_values(spark, sf_dir):
+    """Labels at the first near tick of the axis on whose side they are."""
+    i = F.col("event_id")
+    labels = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("image"), i.alias("seq"), F.concat("event_type", F.lit(" "), (i % 90).cast("string"), F.lit(".5")).alias("text"),
+        (i % 611).alias("cx"), (i % 397).alias("cy"), F.lit(100).alias("origin_x"), F.lit(300).alias("origin_y"),
+    )
+    grid = labels.select("image").distinct().withColumn("axis", F.explode(F.array(F.lit("x"), F.lit("y")))).withColumn("ordinal", F.explode(F.sequence(F.lit(0), F.lit(39))))
+    return band.tick_values(labels, grid.withColumn("tick", F.col("ordinal") * 20.0))
+
+
+@query("select user_id as image, event_type as box, round(avg(event_id % 180), 6) as mean from events where event_id % 50 >= 10 and event_id % 50 < 30 and event_id % 70 < 40 and event_type <> 'view' group by all")
+def swatch_hues(spark, sf_dir):
+    """The mean hue in each swatch of an image."""
+    i = F.col("event_id")
+    seen = table(spark, sf_dir, "events")
+    pixels = seen.select(F.concat_ws("|", "user_id", "event_type").alias("image"), "user_id", "event_type", (i % 50).alias("px"), (i % 70).alias("py"), (i % 180).alias("hue"))
+    boxes = pixels.filter("event_type <> 'view'").select("image", "user_id", F.col("event_type").alias("box")).distinct()
+    boxes = boxes.select("image", F.struct("user_id", "box").alias("box"), F.lit(10).alias("left"), F.lit(30).alias("right"), F.lit(0).alias("top"), F.lit(40).alias("bottom"))
+    found = band.mean_inside(pixels.select("image", "px", "py", "hue"), boxes, "hue")
+    return found.select(F.col("box.user_id").alias("image"), F.col("box.box").alias("box"), F.round("mean", 6).alias("mean"))

@@ -186,3 +186,36 @@ def windowed_stream(spark, sf_dir):
     made = events.windowed(stream, "ts", "user_id", "event_id", "1 day", None, "3650 days")
     rows = events.drain_complete(made.select("user_id", F.col("window.start").alias("day"), "n", "total"), _folder(spark))
     return rows.select("user_id", F.col("day").cast("timestamp_ntz").alias("day"), "n", F.round(F.col("total").cast("double"), 3).alias("total"))
+
+
+@query(
+    """select p_type as attribute, row_number() over (order by p_type) - 1 as ordinal, min(p_brand) as alias, 'F/g' as unit, min(p_size)::double as low, max(p_size)::double as high from part group by p_type"""
+)
+def aliases_round_trip(spark, sf_dir):
+    """A schema as one JSON object, attributes in its order."""
+    path = _folder(spark)
+    part = table(spark, sf_dir, "part").groupBy("p_type").agg(F.min("p_brand").alias("a"), F.min("p_size").cast("double").alias("lo"), F.max("p_size").cast("double").alias("hi"))
+    entry = F.struct(F.array("a").alias("aliases"), F.array(F.lit("F/g")).alias("units"), F.array("lo", "hi").alias("range"))
+    made = part.select("p_type", F.to_json(entry).alias("j")).agg(F.array_sort(F.collect_list(F.struct("p_type", "j"))).alias("e"))
+    pairs = F.transform("e", lambda x: F.concat(F.lit('"'), x["p_type"], F.lit('": '), x["j"]))
+    made.select(F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")).alias("value")).coalesce(1).write.text(path)
+    rows = files.aliases_json(spark, path).filter(F.col("attribute").isNotNull())
+    return rows.select("attribute", F.col("ordinal").cast("long").alias("ordinal"), F.get("aliases", F.lit(0)).alias("alias"), F.get("units", F.lit(0)).alias("unit"), "low", "high")
+
+
+@query("select cast(o_orderkey as varchar) as file, p as page from (select o_orderkey, unnest([o_orderkey % 7, o_orderkey % 7 + 3]) as p from orders)")
+def routing_round_trip(spark, sf_dir):
+    """Pages routed to each extractor, a JSON object a line."""
+    path = _folder(spark)
+    key = (F.col("o_orderkey") % 7).cast("int")
+    files.write_nested(table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("file"), F.array(key, key + 3).alias("tables_pages"), F.array(key).alias("plots_pages")), path)
+    return files.routing_json(spark, path).select("file", F.explode("tables_pages").alias("page")).select("file", F.col("page").cast("long").alias("page"))
+
+
+@query("select 'f' || r_regionkey as File, n_nationkey % 3 as Image_ID, n_nationkey::double as x, r_name as name from nation join region on n_regionkey = r_regionkey")
+def panel_files(spark, sf_dir):
+    """One folder of JSON points per panel."""
+    path = _folder(spark)
+    both = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    files.write_panels(both.select(F.concat(F.lit("f"), "r_regionkey").alias("File"), (F.col("n_nationkey") % 3).alias("Image_ID"), F.col("n_nationkey").cast("double").alias("x"), F.col("r_name").alias("name")), path)
+    return spark.read.schema("x double, name string, File string, Image_ID long").json(path).select("File", "Image_ID", "x", "name")
