@@ -169,24 +169,12 @@ def legend_hue_match(spark, sf_dir):
     return legends.select("vec_id", best["curve"].alias("curve")).filter("curve is not null")
 
 
-@query(
-    """with k as (select doc_id, regexp_replace(lower(left(text, 40)), '[^a-z0-9_]+', '', 'g') as t, source from documents),
-fresh as (select * from k where doc_id % 2 = 1 and t not in (select t from k where doc_id % 10 = 0))
-select min(doc_id) as doc_id from fresh group by t"""
-)
-def title_dedup(spark, sf_dir):
-    """The first 40 characters are a title: new titles once, those already stored not at all."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("title"), F.lit(None).cast("string").alias("doi"))
-    found, stored = docs.filter("doc_id % 2 = 1"), docs.filter("doc_id % 10 = 0")
-    return acquisition.new_papers(found, stored, ["doc_id"]).select("doc_id")
-
-
 @query(
     """with k as (select doc_id, regexp_replace(lower(text), '[^a-z0-9_]+', '', 'g') as t from documents),
 fresh as (select * from k where doc_id % 2 = 1 and t not in (select t from k where doc_id % 2 = 0))
 select min(doc_id) as doc_id from fresh group by t"""
 )
-def text_dedup(spark, sf_dir):
+def title_dedup(spark, sf_dir):
     """The whole normalised text is the key and every document takes part: odd ids are found, even ones stored."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("title"), F.lit(None).cast("string").alias("doi"))
     found, stored = docs.filter("doc_id % 2 = 1"), docs.filter("doc_id % 2 = 0")
@@ -194,13 +182,13 @@ def text_dedup(spark, sf_dir):
 
 
 @query(
-    """with e as (select 0 as engine_rank, o_orderkey as id, (o_orderkey % 100) / 100.0 as score from orders where o_orderkey % 3 = 0 union all select 1, o_orderkey, (o_orderkey % 100) / 100.0 from orders where o_orderkey % 3 = 1)
+    """with e as (select 0 as engine_rank, o_orderkey as id, (o_orderkey % 100) / 100.0 as score from orders where o_orderkey % 2 = 0 union all select 1, o_orderkey, (o_orderkey % 100) / 100.0 from orders where o_orderkey % 2 = 1)
 select engine_rank, id, score::double as relevance_score from e where score >= 0.35 order by engine_rank, id limit 200"""
 )
 def federated_scan(spark, sf_dir):
-    """Engines in order of priority until enough papers pass the gate: the limit is the feature."""
+    """Every order belongs to one of two engines, asked in order of priority until enough papers pass the gate: the limit is the feature."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), ((F.col("o_orderkey") % 100) / 100.0).alias("relevance_score"))
-    found = acquisition.federated({"first": orders.filter("id % 3 = 0"), "second": orders.filter("id % 3 = 1")}, ["id"])
+    found = acquisition.federated({"first": orders.filter("id % 2 = 0"), "second": orders.filter("id % 2 = 1")}, ["id"])
     return acquisition.accepted(found, 0.35, 200, ["engine_rank", "id"]).select("engine_rank", "id", "relevance_score")
 
 

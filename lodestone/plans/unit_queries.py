@@ -129,17 +129,16 @@ def name_keys(spark, sf_dir):
 
 
 @query(
-    """with w as (select p_partkey, list_filter(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '' and x not in ('of', 'the', 'and')) as w from part)
-select p_partkey, array_to_string(list_concat(
+    """with w as (select p_partkey, list_filter(string_split(trim(regexp_replace(lower(p_name || ' ' || p_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '' and x not in ('of', 'the', 'and')) as w from part),
+g as (select p_partkey, list_concat(
   [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)],
-  [w[i] || ' ' || w[i + 1] for i in range(1, len(w))], w), '|') as grams from w where len(w) = len(list_distinct(w))"""
+  [w[i] || ' ' || w[i + 1] for i in range(1, len(w))], w) as g from w)
+select p_partkey, array_to_string(list_filter(g, lambda x, i: list_position(g, x) = i), '|') as grams from g"""
 )
 def keyword_ngrams(spark, sf_dir):
-    """Trigrams, bigrams and words of names whose words are all different."""
-    words = F.split(F.trim(F.regexp_replace(F.lower("p_name"), "[^a-z0-9]+", " ")), " ")
-    kept = F.filter(words, lambda w: (w != "") & ~w.isin("of", "the", "and"))
-    rows = table(spark, sf_dir, "part").filter(F.size(kept) == F.size(F.array_distinct(kept)))
-    return rows.select("p_partkey", F.array_join(text.ngrams(F.col("p_name"), ["of", "the", "and"]), "|").alias("grams"))
+    """Trigrams, bigrams and words of every name, each once; names are doubled, so that there are repeated ones."""
+    name = F.concat("p_name", F.lit(" "), "p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(text.ngrams(name, ["of", "the", "and"]), "|").alias("grams"))
 
 
 @query(

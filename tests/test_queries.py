@@ -183,21 +183,21 @@ def test_term_hits_finds_whole_phrases(spark):
     assert got == [(0, "specific capacitance", 1), (1, "surface-area", 0), (2, "capacité", 2), (2, "électrode", 1), (3, "BET", 1), (3, "a b a", 2), (3, "a b a", 4), (3, "°C", 9), (3, "°C", 12)]
 
 
-def test_text_dedup_reads_whole_texts_of_all_documents(spark, tmp_path):
+def test_title_dedup_reads_whole_texts_of_all_documents(spark, tmp_path):
     """Texts that share 40 leading characters stay apart, and every even id is stored."""
     import duckdb
 
     head = "the same forty leading characters of all "
     rows = [(1, head + "one"), (2, head + "Two"), (3, head + "two"), (5, head + "five"), (7, head + "FIVE."), (10, "ten")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert sorted(r[0] for r in catalog.QUERIES["text_dedup"](spark, str(tmp_path)).collect()) == [1, 5]
-    same(catalog.QUERIES["text_dedup"](spark, str(tmp_path)), duckdb.sql(catalog.ORACLE_SQL["text_dedup"].replace("from documents", f"from '{tmp_path}/documents.parquet/*.parquet'")))
+    assert sorted(r[0] for r in catalog.QUERIES["title_dedup"](spark, str(tmp_path)).collect()) == [1, 5]
+    same(catalog.QUERIES["title_dedup"](spark, str(tmp_path)), duckdb.sql(catalog.ORACLE_SQL["title_dedup"].replace("from documents", f"from '{tmp_path}/documents.parquet/*.parquet'")))
 
 
 def test_every_offset_and_every_event_takes_part(spark, con):
     words = con.sql("select sum(len(string_split(text, ' '))) from benchmark").fetchall()[0][0]
-    assert catalog.QUERIES["offsets_to_words"](spark, SF).count() == words
-    islands = catalog.QUERIES["event_islands"](spark, SF).collect()
+    assert catalog.QUERIES["offset_to_word"](spark, SF).count() == words
+    islands = catalog.QUERIES["gaps_islands"](spark, SF).collect()
     assert sum(r["n"] for r in islands) == con.sql("select count(*) from events").fetchall()[0][0] and len(islands) > 100
 
 
