@@ -91,3 +91,11 @@ def append_points(rows: DataFrame, points: DataFrame) -> DataFrame:
 def drop_blank(df: DataFrame, attrs: Sequence[str]) -> DataFrame:
     """Rows with at least one attribute that isn't blank."""
     return df.filter(reduce(lambda a, b: a | b, (~is_missing(F.col(a)) for a in attrs)))
+
+
+HIDDEN = ("File", "Title", "source_file", "filename", "source", "formula_used")  # fixed values: columns that a table of results doesn't show
+
+
+def shown_columns(df: DataFrame) -> DataFrame:
+    """The columns of a result that are shown beside its name: no names of files and sources, no flags, no reasons."""
+    return df.select(*[c for c in df.columns if c not in HIDDEN and not c.endswith("_flag") and "reasons" not in c])

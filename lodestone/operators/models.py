@@ -75,3 +75,28 @@ def requested_only(answers: DataFrame, requested: DataFrame) -> DataFrame:
 def vocabulary(*lists: DataFrame) -> DataFrame:
     """(word): the lower-cased words of all lists (word), each once."""
     return reduce(DataFrame.unionByName, lists).select(F.lower("word").alias("word")).filter("word <> ''").distinct()
+
+
+UNKNOWN_HEADER = "UNKNOWN_NOISE"  # fixed value: what a model answers for a header of no attribute
+
+
+def reviewed_headers(headers: DataFrame, answers: DataFrame, key: str, header: str = "header") -> DataFrame:
+    """``headers`` (key, header, attribute, unit, confidence) with what a model said of them, where it named an attribute.
+
+    An answer is JSON with ``headers``, a list of original_header, mapped_attribute, extracted_unit and confidence, or
+    that list alone. Headers are taken as they are written; of several answers for one the surest counts, then the first by
+    attribute and unit. A missing confidence is 0. Without answers, or where they name none, the match by rules stands."""
+    item = "array<struct<original_header: string, mapped_attribute: string, extracted_unit: string, confidence: double>>"
+    listed = F.coalesce(F.get_json_object("answer", "$.headers"), F.col("answer"))
+    said = answers.select(key, F.explode(F.from_json(listed, item)).alias("h")).select(
+        key, F.col("h.original_header").alias("_h"), F.col("h.mapped_attribute").alias("_a"), F.col("h.extracted_unit").alias("_u"), F.coalesce("h.confidence", F.lit(0.0)).alias("_c")
+    )
+    said = said.filter((F.col("_h") != "") & (F.col("_a") != "") & (F.col("_a") != UNKNOWN_HEADER))
+    best = said.groupBy(key, "_h").agg(F.min(F.struct((-F.col("_c")).alias("c"), "_a", "_u")).alias("_m")).withColumnRenamed("_h", header)
+    both = headers.join(best, [key, header], "left")
+    told = F.col("_m").isNotNull()
+    return both.withColumns({
+        "attribute": F.when(told, F.col("_m._a")).otherwise(F.col("attribute")),
+        "unit": F.when(told, F.col("_m._u")).otherwise(F.col("unit")),
+        "confidence": F.when(told, -F.col("_m.c")).otherwise(F.col("confidence")),
+    }).drop("_m")

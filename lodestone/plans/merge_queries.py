@@ -118,3 +118,11 @@ def top_k_preview(spark, sf_dir):
     """The preview of a result: a limit is the feature."""
     rows = table(spark, sf_dir, "orders").withColumn("priority", F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_orderpriority")))
     return rows.na.fill("", ["priority"]).orderBy("o_orderkey").limit(1000).select("o_orderkey", "o_custkey", "priority")
+
+
+@query("select o_custkey as value, o_totalprice as price from orders")
+def shown_columns(spark, sf_dir):
+    """Results without names of files, flags and reasons."""
+    orders = table(spark, sf_dir, "orders")
+    status = F.col("o_orderstatus")
+    return merge.shown_columns(orders.select(F.col("o_orderkey").alias("File"), status.alias("source"), F.col("o_custkey").alias("value"), F.col("o_totalprice").alias("price"), status.alias("value_flag"), status.alias("price_reasons_all")))

@@ -360,3 +360,21 @@ def swatch_hues(spark, sf_dir):
     boxes = boxes.select("image", F.struct("user_id", "box").alias("box"), F.lit(10).alias("left"), F.lit(30).alias("right"), F.lit(0).alias("top"), F.lit(40).alias("bottom"))
     found = band.mean_inside(pixels.select("image", "px", "py", "hue"), boxes, "hue")
     return found.select(F.col("box.user_id").alias("image"), F.col("box.box").alias("box"), F.round("mean", 6).alias("mean"))
+
+
+@query(
+    """with h as (select p_partkey, p_name || ' (' || p_type || ')' as header, p_partkey % 4 as k from part)
+select p_partkey, header, case k when 0 then 'pore size' when 2 then 'pore volume' else 'by rule' end as attribute,
+  case k when 0 then 'nm' when 1 then 'g' when 3 then 'g' end as unit, case k when 0 then 0.95 when 2 then 0.8 else 0.5 end::double as confidence from h"""
+)
+def reviewed_headers(spark, sf_dir):
+    """A model's answers over the match by rules: one attribute, none, the surest of two, and no answer at all."""
+    rows = table(spark, sf_dir, "part").withColumns({"header": F.concat("p_name", F.lit(" ("), "p_type", F.lit(")")), "k": F.col("p_partkey") % 4})
+
+    def said(attribute: str, unit: str | None, confidence: float):
+        return F.struct(F.col("header").alias("original_header"), F.lit(attribute).alias("mapped_attribute"), F.lit(unit).cast("string").alias("extracted_unit"), F.lit(confidence).alias("confidence"))
+
+    answer = F.when(F.col("k") == 0, F.to_json(F.struct(F.array(said("pore size", "nm", 0.95)).alias("headers"))))
+    answer = answer.when(F.col("k") == 1, F.to_json(F.array(said(models.UNKNOWN_HEADER, None, 1.0)))).when(F.col("k") == 2, F.to_json(F.array(said("pore size", "nm", 0.3), said("pore volume", None, 0.8))))
+    headers = rows.select("p_partkey", "header", F.lit("by rule").alias("attribute"), F.lit("g").alias("unit"), F.lit(0.5).alias("confidence"))
+    return models.reviewed_headers(headers, rows.select("p_partkey", answer.alias("answer")).filter("answer is not null"), "p_partkey")

@@ -244,3 +244,12 @@ def test_too_many_aliases_are_an_error(spark, monkeypatch):
     schema = spark.createDataFrame([("a", ["b", "c"], ["g"], 0)], "attribute string, aliases array<string>, units array<string>, ordinal int")
     with pytest.raises(ValueError):
         matching.header_attribute(spark.createDataFrame([("a (g)",)], "h string"), "h", schema)
+
+
+def test_answers_on_headers_that_say_nothing_leave_the_match_by_rules(spark):
+    from lodestone.operators import models
+
+    headers = spark.createDataFrame([(i, "h", "rule", "g", 0.5) for i in range(6)], "k int, header string, attribute string, unit string, confidence double")
+    answers = [(0, "not json"), (1, '{"headers": []}'), (2, '[{"original_header": "H", "mapped_attribute": "a"}]'), (3, '[{"original_header": "h", "mapped_attribute": ""}]'), (4, None), (5, '[{"original_header": "h", "mapped_attribute": "a"}]')]
+    got = models.reviewed_headers(headers, spark.createDataFrame(answers, "k int, answer string"), "k").orderBy("k").collect()
+    assert [(r["attribute"], r["unit"], r["confidence"]) for r in got] == [("rule", "g", 0.5)] * 5 + [("a", None, 0.0)]
