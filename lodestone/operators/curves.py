@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lodestone.operators.folds import ordered_fold
 
 
 def series_points(df: DataFrame, json_col: str = "series") -> DataFrame:
@@ -48,7 +51,7 @@ def neighbour_filter(df: DataFrame, curve: str, order: str = "x", reach: int = 2
     size = F.size("_n")
     median = (F.element_at("_n", F.floor((size + 1) / 2).cast("int")) + F.element_at("_n", F.floor(size / 2).cast("int") + 1)) / 2
     total = lambda f: F.aggregate("_n", F.lit(0.0), lambda a, v: a + f(v))
-    mean = total(lambda v: v) / size
+    mean = F.try_divide(total(lambda v: v), size)
     rows = rows.withColumns({"_m": mean, "neighbour_median": F.when(size > 0, median)})
     std = F.greatest(F.sqrt(total(lambda v: (v - F.col("_m")) * (v - F.col("_m"))) / size), F.lit(1e-5))
     off = F.abs(F.col("y") - F.col("neighbour_median"))
@@ -70,17 +73,18 @@ def apply_axis(px: Column, slope: Column, intercept: Column, is_log: Column, low
 def log_scale(df: DataFrame, axis: str, px: str, value: str, min_ratio: float = 1.5, max_spread: float = 0.2) -> DataFrame:
     """Whether an axis is logarithmic: at least three ticks, all positive, with steady ratios of neighbours."""
     w = Window.partitionBy(axis).orderBy(px)
-    ratios = df.withColumn("_r", F.col(value) / F.lag(value).over(w))
+    ratios = df.withColumn("_r", F.try_divide(F.col(value), F.lag(value).over(w)))
     stats = ratios.groupBy(axis).agg(
         F.count(F.lit(1)).alias("n"), F.bool_and(F.col(value) > 0).alias("positive"), F.avg("_r").alias("mean_ratio"), F.stddev_pop("_r").alias("std_ratio")
     )
-    steady = (F.col("mean_ratio") > min_ratio) & (F.col("std_ratio") / F.col("mean_ratio") < max_spread)
+    steady = (F.col("mean_ratio") > min_ratio) & (F.try_divide("std_ratio", "mean_ratio") < max_spread)
     return stats.withColumn("is_log", F.coalesce((F.col("n") >= 3) & F.col("positive") & steady, F.lit(False)))
 
 
 def adjacent_slopes(df: DataFrame, axis: str, px: str, value: str) -> DataFrame:
+    """``df`` with ``slope`` from the tick before; null for the first and between ticks at one place."""
     w = Window.partitionBy(axis).orderBy(px)
-    return df.withColumn("slope", (F.col(value) - F.lag(value).over(w)) / (F.col(px) - F.lag(px).over(w)))
+    return df.withColumn("slope", F.try_divide(F.col(value) - F.lag(value).over(w), F.col(px) - F.lag(px).over(w)))
 
 
 def median_slope(df: DataFrame, axis: str, px: str, value: str) -> DataFrame:
@@ -88,22 +92,18 @@ def median_slope(df: DataFrame, axis: str, px: str, value: str) -> DataFrame:
 
 
 def anchored_filter(df: DataFrame, axis: str, px: str, value: str, share: float = 0.2, least: float = 0.1) -> DataFrame:
-    """Ticks that fit the median slope, each measured from the last tick that was kept; the first always stays.
-
-    The fold is an aggregate over the axis' ordered ticks: an axis has a handful of them."""
-    slopes = median_slope(df, axis, px, value)
-    ticks = df.groupBy(axis).agg(F.array_sort(F.collect_list(F.struct(F.col(px).alias("px"), F.col(value).alias("value")))).alias("_t"))
-
-    def step(kept: Column, t: Column) -> Column:
-        last = F.element_at(kept, -1)
-        expected = (t["px"] - last["px"]) * F.col("median_slope")
-        fits = F.abs(t["value"] - last["value"] - expected) <= F.greatest(F.abs(expected) * share, F.lit(least))
-        return F.when(F.size(kept) == 0, F.array(t)).when(fits, F.concat(kept, F.array(t))).otherwise(kept)
-
-    empty = F.array().cast("array<struct<px:double,value:double>>")
-    cast = F.transform("_t", lambda t: F.struct(t["px"].cast("double").alias("px"), t["value"].cast("double").alias("value")))
-    kept = F.aggregate(cast, empty, step)
-    return ticks.join(slopes, axis).select(axis, F.explode(kept).alias("k")).select(axis, F.col("k.px").alias(px), F.col("k.value").alias(value))
+    """Ticks that fit the median slope, each measured from the last tick that was kept; the first always stays."""
+    ticks = df.select(axis, F.col(px).cast("double").alias(px), F.col(value).cast("double").alias(value)).join(median_slope(df, axis, px, value), axis)
+
+    def step(last, x, y, slope):
+        if last is None:
+            return (x, y), True
+        expected = None if slope is None else (x - last[0]) * slope
+        fits = expected is not None and abs(y - last[1] - expected) <= max(abs(expected) * share, least)
+        return ((x, y) if fits else last), fits
+
+    ticks = ticks.filter(F.col(px).isNotNull() & F.col(value).isNotNull())
+    return ordered_fold(ticks, axis, [px, value], [px, value, "median_slope"], step, T.StructField("_fits", T.BooleanType())).filter("_fits").select(axis, px, value)
 
 
 def islands(df: DataFrame, group: str, pos: str, gap: int = 10, bucket: int = 1 << 16) -> DataFrame:

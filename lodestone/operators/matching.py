@@ -47,7 +47,7 @@ def header_match(df: DataFrame, header_col: str, aliases: DataFrame) -> DataFram
     """``df`` with ``attribute`` and ``match``: aliases contained in the header score by their share of its length."""
     low = F.lower(header_col)
     inside = F.filter(_listed(aliases, "alias", "attribute", "ordinal"), lambda a: low.contains(F.lower(a["alias"])))
-    scored = F.transform(inside, lambda a: F.struct((F.length(a["alias"]) / F.length(low)).alias("match"), (-a["ordinal"]).alias("first"), a["attribute"].alias("attribute")))
+    scored = F.transform(inside, lambda a: F.struct((F.try_divide(F.length(a["alias"]), F.length(low))).alias("match"), (-a["ordinal"]).alias("first"), a["attribute"].alias("attribute")))
     return df.withColumn("_b", F.array_max(scored)).withColumns({"attribute": F.col("_b.attribute"), "match": F.col("_b.match")}).drop("_b")
 
 
@@ -66,7 +66,7 @@ def header_attribute(df: DataFrame, header_col: str, schema: DataFrame) -> DataF
         alias = F.lower(a["alias"])
         parts = F.split(alias, " ")
         found = F.size(F.filter(parts, lambda w: (F.length(w) > 3) & F.array_contains(words, w)))
-        whole = F.when(low.contains(alias), F.length(alias) / F.length(low)).otherwise(F.lit(0.0))
+        whole = F.when(low.contains(alias), F.coalesce(F.try_divide(F.length(alias), F.length(low)), F.lit(0.0))).otherwise(F.lit(0.0))
         share = F.when(found >= F.greatest(F.lit(1), F.floor(F.size(parts) / 2)), found / F.size(parts)).otherwise(F.lit(0.0))
         return F.struct(F.greatest(whole, share).alias("score"), (-a["ordinal"]).alias("first"), (-a["nth"]).alias("then"), a["attribute"].alias("attribute"), a["own"].alias("own"))
 

@@ -9,6 +9,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lodestone.operators.folds import ordered_fold
 
 Model = Callable[[list[str]], list[str]]
 
@@ -16,17 +19,15 @@ Model = Callable[[list[str]], list[str]]
 def token_batches(df: DataFrame, key: str, order: str, tokens: str, budget: int = 3500) -> DataFrame:
     """``df`` with ``batch``: rows of a key in order, a new batch where the budget would be exceeded.
 
-    The running sum starts anew with each batch, so a key's rows are folded in order."""
-    sized = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(tokens).cast("long").alias("t")))).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("batch"), F.array().cast("array<int>").alias("out"))
+    The running sum starts anew with each batch. A missing number of tokens counts as 0."""
 
-    def step(st, r):
-        over = (st["sum"] + r["t"] > budget) & (st["sum"] > 0)
-        batch = F.when(over, st["batch"] + 1).otherwise(st["batch"])
-        return F.struct(F.when(over, r["t"]).otherwise(st["sum"] + r["t"]).alias("sum"), batch.alias("batch"), F.concat(st["out"], F.array(batch)).alias("out"))
+    def step(state, n):
+        total, batch = state or (0, 0)
+        if total and total + (n or 0) > budget:
+            total, batch = 0, batch + 1
+        return (total + (n or 0), batch), batch
 
-    dealt = sized.select(key, F.explode(F.arrays_zip(F.col("rows.o").alias("o"), F.aggregate("rows", start, step, lambda st: st["out"]).alias("b"))).alias("z"))
-    return df.join(dealt.select(key, F.col("z.o").alias(order), F.col("z.b").alias("batch")), [key, order])
+    return ordered_fold(df, key, [order], [tokens], step, T.StructField("batch", T.IntegerType()))
 
 
 def ask(df: DataFrame, key: str, prompt: str, model: Model | None) -> DataFrame:

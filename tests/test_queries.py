@@ -253,3 +253,29 @@ def test_answers_on_headers_that_say_nothing_leave_the_match_by_rules(spark):
     answers = [(0, "not json"), (1, '{"headers": []}'), (2, '[{"original_header": "H", "mapped_attribute": "a"}]'), (3, '[{"original_header": "h", "mapped_attribute": ""}]'), (4, None), (5, '[{"original_header": "h", "mapped_attribute": "a"}]')]
     got = models.reviewed_headers(headers, spark.createDataFrame(answers, "k int, answer string"), "k").orderBy("k").collect()
     assert [(r["attribute"], r["unit"], r["confidence"]) for r in got] == [("rule", "g", 0.5)] * 5 + [("a", None, 0.0)]
+
+
+def test_folds_begin_anew_with_each_key(spark):
+    from lodestone.operators.curves import anchored_filter
+    from lodestone.operators.models import token_batches
+
+    df = spark.createDataFrame([(k, i, n) for k in (None, "a", "b") for i, n in enumerate([300, 300, None, 200, 600, 1])], "k string, i int, t int")
+    got = token_batches(df.repartition(3), "k", "i", "t", 500).orderBy("k", "i").collect()
+    assert [r["batch"] for r in got] == [0, 1, 1, 1, 2, 3] * 3
+    ticks = spark.createDataFrame([("a", 1, 5.0), ("b", 1, 1.0), ("b", 1, 9.0), ("c", 0, 0.0), ("c", 1, 1.0), ("c", 2, 7.0), ("c", 3, 3.0), ("c", 4, None)], "axis string, px int, v double")
+    kept = sorted(tuple(r) for r in anchored_filter(ticks, "axis", "px", "v").collect())
+    assert kept == [("a", 1.0, 5.0), ("b", 1.0, 1.0), ("c", 0.0, 0.0), ("c", 1.0, 1.0), ("c", 3.0, 3.0)]
+
+
+def test_zero_ticks_lone_points_and_empty_headers_are_no_errors(spark):
+    from lodestone.operators import curves, matching
+
+    ticks = spark.createDataFrame([("zero", 0, 0.0), ("zero", 1, 10.0), ("zero", 2, 20.0), ("log", 0, 1.0), ("log", 1, 10.0), ("log", 2, 100.0), ("one", 0, 0.0)], "axis string, px int, v double")
+    assert {r["axis"]: r["is_log"] for r in curves.log_scale(ticks, "axis", "px", "v").collect()} == {"zero": False, "log": True, "one": False}
+    lone = spark.createDataFrame([("a", 1.0, 5.0), ("b", 1.0, 1.0), ("b", 2.0, 9.0)], "curve string, x double, y double")
+    assert sorted((r["curve"], r["outlier"]) for r in curves.neighbour_filter(lone, "curve").collect()) == [("a", False), ("b", True), ("b", True)]
+    aliases = spark.createDataFrame([("", "a", 0), ("x", "b", 1)], "alias string, attribute string, ordinal int")
+    headers = spark.createDataFrame([("",), (None,), ("x",)], "h string")
+    assert {r["h"]: r["match"] for r in matching.header_match(headers, "h", aliases).collect()} == {"": None, None: None, "x": 1.0}
+    schema = spark.createDataFrame([("", [""], ["g"], 0)], "attribute string, aliases array<string>, units array<string>, ordinal int")
+    assert [r["attribute"] for r in matching.header_attribute(headers, "h", schema).collect()] == [None] * 3
