@@ -170,6 +170,7 @@ def _across(posted: DataFrame, roots: DataFrame, reps: DataFrame, docs: DataFram
     dealt = members.join(members.groupBy("head").agg(blocks_.alias("blocks")), "head").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("head", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "id", "root", "n", "sig")
+    dealt = dealt.repartition("head", "i", "j")  # else the join's partitioning by head is enough, and a group's blocks share a task
     near = dealt.groupBy("head", "i", "j").applyInArrow(lambda t: _with_partner(t, percent), "head long, i int, j int, block int, cls binary, id long, root long, sig array<int>")
     near = scratch.written(near, "near")
     sets = shingle_sets(docs, near.select("id").distinct(), scratch)
