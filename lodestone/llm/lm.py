@@ -44,6 +44,7 @@ MAX_FILTER_BYTES = 256 << 20  # up to which the filter is broadcast
 HEAD_WORDS = 1 << 20
 RANGE_BYTES = 8 << 20  # bytes of text for each hash range
 FLUSH_TOKENS, BLOCK_CHARS = 2_000_000, 1_000_000
+ASK_CHARS = 4_000_000  # of a block that asks the ranges: larger blocks share more keys and send fewer messages
 END, START = np.uint64(0x5EED0000000000E1), np.uint64(0x5EED0000000000B0)
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 
@@ -79,6 +80,15 @@ def _unpack48(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _pack_sorted(x: np.ndarray) -> bytes:
+    """Sorted numbers as their differences, all lowest bytes first: what lies above the differences is zeros, which the shuffle's compression removes."""
+    return np.diff(x, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpack_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     k, at = np.unique(np.concatenate(keys), return_inverse=True)
     return k, np.bincount(at, np.concatenate(counts), len(k)).astype(np.int64)
@@ -195,15 +205,16 @@ class Model:
         w = self.weights[context]
         return np.add.reduceat(np.log10(w * seen + (1 - w) * single), first)
 
-    def known(self, token: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    def known(self, block: _Block) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """Per text, of the head's words: known tokens and the sum of log10(c + 1); the other words as (h, f)."""
-        first = np.cumsum(size) - size
-        at = np.searchsorted(self.head, token)
+        size, first = block.size, np.cumsum(block.size) - block.size
+        at = np.searchsorted(self.head, block.words)
         at[at == len(self.head)] = 0
-        found = self.head[at] == token if len(self.head) else np.zeros(len(token), bool)
-        logs = np.where(found, np.log10((self.head_counts[at] if len(self.head) else np.zeros(len(token))) + 1.0), 0.0)
+        found = self.head[at] == block.words if len(self.head) else np.zeros(len(block.words), bool)
+        logs = np.where(found, np.log10((self.head_counts[at] if len(self.head) else np.zeros(len(at))) + 1.0), 0.0)[block.word]
+        found = found[block.word]
         others = np.flatnonzero(~found)
-        doc, other = np.repeat(np.arange(len(size)), size)[others], token[others]
+        doc, other = np.repeat(np.arange(len(size)), size)[others], block.token[others]
         order = np.lexsort((other, doc))
         doc, other = doc[order], other[order]
         new = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(other, prepend=other[:1]) != 0))
@@ -344,6 +355,21 @@ TAIL = T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField
 FOUND = {"n_tokens": T.LongType(), "words": T.BinaryType(), "pairs": T.BinaryType(), "head_known": T.LongType(), "head_logs": T.DoubleType(), "tail": TAIL}
 
 
+def _answered(asked: pa.Table, held: pa.Table, top: int) -> pa.Table:
+    """Levels of the words and pairs that blocks ask of one range: a single probe for all blocks, whose own keys are few."""
+    bits = np.concatenate([np.frombuffer(x, np.uint8) for x in held.column("bits").to_pylist()] or [np.zeros(0, np.uint8)])
+    one = Filter(bits if len(bits) else np.zeros(1, np.uint8), np.array([0, 8 * len(bits)]), top)
+
+    def of(column: str, key) -> pa.Array:
+        asks = [_unpack_sorted(x) for x in asked.column(column).to_pylist()]
+        keys, at = np.unique(np.concatenate(asks or [np.zeros(0, np.uint64)]), return_inverse=True)
+        level = one.level(key(keys)[0], np.zeros(len(keys))).astype(np.uint8)[at].tobytes()
+        ends = np.cumsum([0, *map(len, asks)]).tolist()
+        return pa.array([level[a:b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+
+    return pa.table({"block": asked.column("block"), "part": asked.column("part"), "words": of("words", word_key), "pairs": of("pairs", pair_key)})
+
+
 def _leveled(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``rows`` (with text) with the levels of their words and pairs and what is known of their words, written."""
     spark = rows.sparkSession
@@ -352,7 +378,7 @@ def _leveled(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     model.ranges = ranges
 
     def found(block: _Block, words_, pairs) -> list:
-        return [block.size, *block.levels(words_, pairs), *sent.value.known(block.token, block.size)]
+        return [block.size, *block.levels(words_, pairs), *sent.value.known(block)]
 
     if ranges is None:
 
@@ -366,22 +392,16 @@ def _leveled(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
         return written(blocks.add_columns(rows, "text", FOUND, make, keep, BLOCK_CHARS), "leveled")
 
-    rows = written(rows, "rows")  # read twice below
+    rows = written(rows, "rows", compression="zstd")  # read twice below
     n = ranges.first()["ranges"]
     top, total = model.top, rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    number = F.pmod(F.xxhash64(F.lit(3), *keep), F.lit(max(1, total // BLOCK_CHARS))).alias("block")
+    number = F.pmod(F.xxhash64(F.lit(3), *keep), F.lit(max(1, total // ASK_CHARS))).alias("block")
     dealt = rows.select(number, F.coalesce("text", F.lit("")).alias("text"), *keep)
 
     def ask(table: pa.Table) -> pa.Table:
         block = _Block(table.column("text").to_pylist())
         part, words_, pairs = zip(*block.by_range(n), strict=True)
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()] * len(part), pa.int64()), "part": pa.array(part, pa.int32()), "words": [x.tobytes() for x in words_], "pairs": [x.tobytes() for x in pairs]})
-
-    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
-        bits = np.concatenate([np.frombuffer(x, np.uint8) for x in held.column("bits").to_pylist()] or [np.zeros(0, np.uint8)])
-        one = Filter(bits if len(bits) else np.zeros(1, np.uint8), np.array([0, 8 * len(bits)]), top)
-        of = lambda column, key: [one.level(key(np.frombuffer(x, np.uint64))[0], np.zeros(len(x) // 8)).astype(np.uint8).tobytes() for x in asked.column(column).to_pylist()]
-        return pa.table({"block": asked.column("block"), "part": asked.column("part"), "words": pa.array(of("words", word_key), pa.binary()), "pairs": pa.array(of("pairs", pair_key), pa.binary())})
+        return pa.table({"block": pa.array([table.column("block")[0].as_py()] * len(part), pa.int64()), "part": pa.array(part, pa.int32()), "words": [_pack_sorted(x) for x in words_], "pairs": [_pack_sorted(x) for x in pairs]})
 
     kept = T.StructType([rows.schema[c] for c in keep] + [T.StructField(c, t) for c, t in FOUND.items()])
     kinds = to_arrow_schema(kept)
@@ -395,8 +415,10 @@ def _leveled(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         return pa.Table.from_arrays([*(texts.column(c) for c in keep), *made], schema=kinds)
 
     asked = dealt.groupBy("block").applyInArrow(ask, "block long, part int, words binary, pairs binary")
-    answers = asked.groupBy("part").cogroup(ranges.select("part", "bits").groupBy("part")).applyInArrow(answer, "block long, part int, words binary, pairs binary")
-    return written(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(fill, kept), "leveled")
+    answers = asked.groupBy("part").cogroup(ranges.select("part", "bits").groupBy("part")).applyInArrow(lambda asked, held: _answered(asked, held, top), "block long, part int, words binary, pairs binary")
+    leveled = written(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(fill, kept), "leveled")
+    drop_written(rows)
+    return leveled
 
 
 def _learn(leveled: DataFrame, model: Model) -> None:

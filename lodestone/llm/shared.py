@@ -28,10 +28,10 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df``, written as Parquet to the shared folder and read again. The files go when the driver ends."""
     path = f"{shared_folder(df.sparkSession)}/lodestone/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     store, where = _hadoop(df.sparkSession, path)
     store.deleteOnExit(where)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

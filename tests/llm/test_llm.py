@@ -384,6 +384,32 @@ def test_lm_scores_equal_those_of_exact_counts(spark, monkeypatch, room):
     assert (model.counts is None) == (room == 0)
 
 
+def test_lm_range_is_probed_once_for_all_blocks(monkeypatch):
+    """Beyond a broadcast, a range answers 500 blocks in one probe of words and one of pairs, as if each asked alone."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    keys = np.unique(words.mix(np.arange(1, 3001, dtype=np.uint64)))
+    counts = rng.integers(1, 50, len(keys))
+    t = pa.table({"part": [0], "words": [keys.tobytes()], "word_counts": [counts.astype("<u4").tobytes()], "pairs": [lm._pack48(keys >> np.uint64(16))], "pair_counts": [counts.astype("<u4").tobytes()]})
+    held = lm._merged(t, lm.BITS)
+    whole = lm.Filter(np.frombuffer(held.column("bits")[0].as_py(), np.uint8), np.array([0, 8 * len(held.column("bits")[0].as_py())]), held.column("top")[0].as_py())
+    asks = [np.sort(rng.choice(keys, n, replace=False)) for n in rng.integers(0, 40, 500)]
+    asked = pa.table({"block": list(range(500)), "part": pa.array([0] * 500, pa.int32()), "words": [lm._pack_sorted(x) for x in asks], "pairs": [lm._pack_sorted(x >> np.uint64(16)) for x in asks]})
+    want = [[whole.level(*key(x)).tolist() for x in xs] for key, xs in ((lm.word_key, asks), (lm.pair_key, [x >> np.uint64(16) for x in asks]))]
+    probes, level = [], lm.Filter.level
+    monkeypatch.setattr(lm.Filter, "level", lambda self, *a: probes.append(1) or level(self, *a))
+    got = lm._answered(asked, held, whole.top)
+    assert len(probes) == 2 and got.column("block").to_pylist() == list(range(500))
+    assert [[list(x) for x in got.column(c).to_pylist()] for c in ("words", "pairs")] == want
+
+
+def test_lm_sorted_keys_travel_as_differences():
+    for n in (0, 1, 1000):
+        x = np.sort(np.random.default_rng(n).integers(0, 2**64 - 1, n, np.uint64))
+        assert (lm._unpack_sorted(lm._pack_sorted(x)) == x).all()
+
+
 # 7: exact dedup
 
 
