@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +16,15 @@ from lodestone.llm.shared import fresh
 BLOCK_CHARS = 2_000_000  # characters handled at once; a longer text is a block of its own
 
 
+def give_back() -> None:
+    """Return what a worker has freed to the system: it stays alive between tasks and would hold it beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass
+
+
 def text_blocks(texts: list[str | None], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, list[str]]]:
     """(first index, texts) of consecutive blocks with about ``limit`` characters; null texts become empty."""
     first, block, size = 0, [], 0
@@ -53,12 +63,17 @@ def add_columns(df: DataFrame, text_col: str, new: dict[str, T.DataType], make:
     added = to_arrow_schema(T.StructType(out.fields[len(columns) :]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         work = make()
         for batch in batches:
+            if not batch.num_rows:
+                continue
             kept = batch.select(range(len(columns)))
             for first, block in arrow_blocks(batch.column(len(columns)), limit):
                 part = kept.slice(first, len(block)).columns
                 made = [v if isinstance(v, pa.Array) else pa.array(v, type=f.type) for v, f in zip(work(block), added, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part, *made], names=[f.name for f in out.fields])
+            del batch, kept, block, part, made
+            give_back()
 
     return src.mapInArrow(run, out)

@@ -98,13 +98,14 @@ def _prefixes(x: np.ndarray, table: np.ndarray) -> np.ndarray:
 @cache
 def _class_table() -> np.ndarray:
     """Class of every code point; blanks get BLANKS or, for U+0020, JOINED."""
-    points = "".join(map(chr, itertools.chain(range(0xD800), range(0xE000, 0x110000))))
     single = {bytes([i]): i for i in range(256)}
     out = np.full(0x110000, OTHER, np.uint8)
     for pattern, k in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", BLANKS)):
-        # the library's own character properties, so that both follow the same version of Unicode
-        found = bytes(tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=single, special_tokens={}).encode_ordinary(points))
-        out[np.frombuffer(found.decode().encode("utf-32-le"), np.uint32)] = k
+        # the library's own character properties, so that both follow the same version of Unicode; in pieces, as its answer is a list
+        library = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=single, special_tokens={})
+        for a in itertools.chain(range(0, 0xD800, 0x800), range(0xE000, 0x110000, 0x800)):
+            found = bytes(library.encode_ordinary("".join(map(chr, range(a, a + 0x800)))))
+            out[np.frombuffer(found.decode().encode("utf-32-le"), np.uint32)] = k
     out[0xD800:0xE000] = OTHER
     out[0x20] = JOINED
     return out

@@ -102,6 +102,18 @@ def test_bpe_takes_only_its_pattern():
     assert bpe.PATTERN == public_tokenizers.PATTERN
 
 
+def test_bpe_classes_are_made_in_little_memory():
+    """Workers make them when a task begins, beside all that the executor holds: they had taken some 100 MB for a table of one."""
+    import tracemalloc
+
+    made = bpe._class_table()
+    tracemalloc.start()
+    again = bpe._class_table.__wrapped__()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (again == made).all() and peak < 8 << 20
+
+
 def test_bpe_round_trip(docs, empty, library):
     want = Counter()
     for i, t, *_ in odd_documents():
