@@ -25,10 +25,13 @@ every hot word, and the rest meet their counts in a join.
 
 from __future__ import annotations
 
+import pickle
+import struct
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -151,6 +154,20 @@ class Filter:
         return out
 
 
+def _sent_bits(sent: Broadcast) -> np.ndarray:
+    """Broadcast bytes as numbers, mapped from the file in which they came: a machine's workers share it and none holds a copy."""
+    path = getattr(sent, "_path", None)
+    if path and not hasattr(sent, "_value"):
+        with open(path, "rb") as f:
+            head = f.read(64)
+            size = f.seek(0, 2)
+        at = head.find(b"\x96") + 1  # the opcode of a bytearray, its length in 8 bytes and its contents
+        n = struct.unpack_from("<Q", head, at)[0] if 0 < at <= len(head) - 8 else 0
+        if n and at + 8 + n <= size <= at + 8 + n + 64:
+            return np.asarray(np.memmap(path, np.uint8, "r", at + 8, (n,)))
+    return np.frombuffer(sent.value, np.uint8)  # small, or encrypted on its way
+
+
 def word_key(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h | np.uint64(1), h / 2.0**64
 
@@ -275,6 +292,7 @@ def _counted(docs: DataFrame, ranges: int) -> DataFrame:
                     names=["part", "words", "word_counts", "pairs", "pair_counts"],
                 )
 
+        blocks.give_back()
         for batch in batches:
             for _, part in blocks.arrow_blocks(batch.column(0), BLOCK_CHARS):
                 token, before, _ = tokens(part)
@@ -285,6 +303,8 @@ def _counted(docs: DataFrame, ranges: int) -> DataFrame:
                     kept, n = [], 0
         if kept:
             yield from flush()
+        del kept
+        blocks.give_back()
 
     return docs.mapInArrow(run, "part int, words binary, word_counts binary, pairs binary, pair_counts binary")
 
@@ -373,19 +393,21 @@ def _answered(asked: pa.Table, held: pa.Table, top: int) -> pa.Table:
 def _leveled(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``rows`` (with text) with the levels of their words and pairs and what is known of their words, written."""
     spark = rows.sparkSession
-    ranges, model.ranges = model.ranges, None
+    ranges, whole, model.ranges, model.counts = model.ranges, model.counts, None, None
     sent = spark.sparkContext.broadcast(model)
-    model.ranges = ranges
+    model.ranges, model.counts = ranges, whole
 
     def found(block: _Block, words_, pairs) -> list:
         return [block.size, *block.levels(words_, pairs), *sent.value.known(block)]
 
     if ranges is None:
+        bits, starts, top = spark.sparkContext.broadcast(pickle.PickleBuffer(whole.bits)), whole.starts, whole.top
 
         def make():
+            level = Filter(_sent_bits(bits), starts, top).level
+
             def work(texts):
                 block = _Block(texts)
-                level = sent.value.counts.level
                 return found(block, level(*word_key(block.words)), level(*pair_key(block.pairs)))
 
             return work

@@ -416,6 +416,25 @@ def test_lm_range_is_probed_once_for_all_blocks(monkeypatch):
     assert [[list(x) for x in got.column(c).to_pylist()] for c in ("words", "pairs")] == want
 
 
+def test_lm_workers_map_the_filter_and_hold_no_copy(spark):
+    import pickle
+
+    import pyarrow as pa
+
+    bits = np.random.default_rng(2).integers(0, 256, 3 << 20, np.uint8)
+    sent = spark.sparkContext.broadcast(pickle.PickleBuffer(bits))
+
+    def run(batches):
+        for b in batches:
+            got = lm._sent_bits(sent)
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.crc32(got)] * len(b)), pa.array([isinstance(got.base, np.memmap)] * len(b))], names=["crc", "mapped"])
+
+    rows = spark.range(0, 8, 1, 4).mapInArrow(run, "crc long, mapped boolean").distinct().collect()
+    assert [tuple(r) for r in rows] == [(zlib.crc32(bits), True)]
+    few = spark.sparkContext.broadcast(pickle.PickleBuffer(bits[:10]))
+    assert (lm._sent_bits(few) == bits[:10]).all()
+
+
 def test_lm_sorted_keys_travel_as_differences():
     for n in (0, 1, 1000):
         x = np.sort(np.random.default_rng(n).integers(0, 2**64 - 1, n, np.uint64))
