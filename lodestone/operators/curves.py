@@ -50,13 +50,20 @@ def neighbour_filter(df: DataFrame, curve: str, order: str = "x", reach: int = 2
     rows = df.withColumn("_n", near)
     size = F.size("_n")
     median = (F.element_at("_n", F.floor((size + 1) / 2).cast("int")) + F.element_at("_n", F.floor(size / 2).cast("int") + 1)) / 2
-    total = lambda f: F.aggregate("_n", F.lit(0.0), lambda a, v: a + f(v))
-    mean = F.try_divide(total(lambda v: v), size)
-    rows = rows.withColumns({"_m": mean, "neighbour_median": F.when(size > 0, median)})
-    std = F.greatest(F.sqrt(total(lambda v: (v - F.col("_m")) * (v - F.col("_m"))) / size), F.lit(1e-5))
+    # one pass of running means, as databases do it: where a point is off by exactly the limit, rounding decides
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def add(s: Column, v: Column) -> Column:
+        n = s["n"] + 1.0
+        mean = s["mean"] + (v - s["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (s["squares"] + (v - mean) * (v - s["mean"])).alias("squares"))
+
+    spread = F.aggregate("_n", start, add, lambda s: F.sqrt(F.try_divide(s["squares"], s["n"])))
+    rows = rows.withColumns({"_s": spread, "neighbour_median": F.when(size > 0, median)})
+    std = F.greatest("_s", F.lit(1e-5))
     off = F.abs(F.col("y") - F.col("neighbour_median"))
     outlier = (off > F.lit(sigmas) * std) & (off > F.lit(share) * F.abs("neighbour_median"))
-    return rows.withColumn("outlier", F.coalesce(F.when(size > 0, outlier), F.lit(False))).drop("_n", "_m")
+    return rows.withColumn("outlier", F.coalesce(F.when(size > 0, outlier), F.lit(False))).drop("_n", "_s")
 
 
 def linear_calibration(df: DataFrame, axis: str, px: str, value: str) -> DataFrame:
