@@ -9,10 +9,10 @@ from lodestone.functions import text as tx
 
 # fixed values: thresholds at which a page goes to the table, plot and text stage
 ROUTES = {"tables_pages": ("table_score", 0.4), "plots_pages": ("plot_score", 0.4), "text_pages": ("text_score", 0.25)}
-# fixed values: words of lines that speak of theory, trends or methods
-THEORETICAL = r"(?i)\b(?:calculated|simulated|theoretical|predicted|expected|estimated|modeled)\b"
-TREND = r"(?i)\b(?:increased|decreased|higher|lower|better|worse|improved|reduced|dropped|rose|trend)\b"
-METHOD = r"(?i)\b(?:prepared|synthesized|washed|heated|cooled|stirred|mixed|added|dropwise|annealed)\b"
+# fixed values: words of lines that speak of theory, trends or methods; words are of A-Z, a-z, 0-9 and _
+THEORETICAL = r"(?i)(?<!\w)(?:calculated|simulated|theoretical|predicted|expected|estimated|modeled)(?!\w)"
+TREND = r"(?i)(?<!\w)(?:increased|decreased|higher|lower|better|worse|improved|reduced|dropped|rose|trend)(?!\w)"
+METHOD = r"(?i)(?<!\w)(?:prepared|synthesized|washed|heated|cooled|stirred|mixed|added|dropwise|annealed)(?!\w)"
 
 
 def lines(df: DataFrame, key: str, text_col: str) -> DataFrame:

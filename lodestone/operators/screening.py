@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import word_end, word_start
 from lodestone.operators.band import band_join
 
 # fixed values: markers of paper types and the gates
@@ -19,7 +20,8 @@ RELEVANCE_GATE, SCREENING_GATE = 0.35, 0.40
 
 def _word(term: str) -> str:
     """The term between boundaries; the words of a longer one in order with at most four words between."""
-    return r"\b" + r"(?:\W+\w+){0,4}?\W+".join(re.escape(w) for w in term.lower().split()) + r"\b"
+    words = term.lower().split()
+    return word_start("".join(words)) + r"(?:\W+\w+){0,4}?\W+".join(map(re.escape, words)) + word_end("".join(words))
 
 
 def _count(flags: Sequence[tuple[Column, int]]) -> Column:
@@ -37,7 +39,8 @@ def relevance(text: Column, primary: Sequence[str], secondary: Sequence[str], qu
     technical = _count([(hit, 1) for k, hit in hits.items() if " " in k or len(k) > 5])
     terms = [w for w in query.lower().split() if len(w) > 3]
     asked = _count([(low.rlike("|".join(map(re.escape, terms))), 1)]) if terms else F.lit(0)
-    numeric = _count([(low.rlike(rf"\b\d+(?:\.\d+)?\s*(?:{'|'.join(re.escape(u.lower()) for u in units)})\b"), 1)]) if units else F.lit(0)
+    unit = "|".join(re.escape(u.lower()) + word_end(u) for u in units)
+    numeric = _count([(low.rlike(rf"{word_start('0')}\d+(?:\.\d+)?[\t\n\f\r ]*(?:{unit})"), 1)]) if units else F.lit(0)
     score = 0.25 * asked + 0.25 * F.least(F.lit(1.0), matched / 3.0) + 0.25 * F.least(F.lit(1.0), technical / 2.0) + 0.15 * numeric + 0.1
     domain = _count([(hit, 1) for hit in hits.values()]) > 0
     return F.when(domain, F.least(F.lit(1.0), score)).otherwise(0.0)
