@@ -6,11 +6,11 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 
-def ordered_fold(df: DataFrame, key: str, order: Sequence[str], inputs: Sequence[str], step: Callable[..., tuple[Any, Any]], out: T.StructField) -> DataFrame:
+def ordered_fold(df: DataFrame, key: str, order: Sequence[str | Column], inputs: Sequence[str], step: Callable[..., tuple[Any, Any]], out: T.StructField) -> DataFrame:
     """``df`` with the column ``out``: ``step(state, *inputs)`` gives the next state and the row's value, beginning with
     the state None at each key's first row in ``order``.
 
