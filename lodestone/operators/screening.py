@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ from lodestone.operators.band import band_join
 REVIEW = ("review", "survey", "meta-analysis", "systematic review", "literature review", "overview", "perspective")
 EXPERIMENTAL = ("experimental", "methodology", "characterization", "synthesis", "electrochemical", "results", "fabrication")
 RELEVANCE_GATE, SCREENING_GATE = 0.35, 0.40
+MAX_TERMS = 20_000  # as many terms are literals and a broadcast; more are joined
 
 
 def _word(term: str) -> str:
@@ -85,17 +85,31 @@ def term_hits(docs: DataFrame, key: str, text_col: str, terms: DataFrame) -> Dat
 
     The text is split once into words (a-z, 0-9) and what separates them. Runs of as many words as a term has, with
     the separators between them, meet the terms in an equi-join, so the cost grows with the number of different lengths
-    of terms and not with the number of terms. Other characters at a term's ends are held against the separators around
+    of terms and not with the number of terms. Up to MAX_TERMS terms are broadcast and only runs that begin with the first
+    word of a term are made; beyond, all runs are. Other characters at a term's ends are held against the separators around
     the run. A term of several words or with other characters must stand between word boundaries; a plain word is one
     between separators. Case doesn't count. A term without any of a-z and 0-9 is an error. ``terms`` is (term, strength,
-    attribute)."""
+    attribute) and other columns to keep."""
     core = F.regexp_extract(F.lower("term"), r"(?s)[a-z0-9](?:.*[a-z0-9])?", 0)
     core = F.when(core == "", F.raise_error(F.concat(F.lit("no letter a-z or digit in the term "), F.col("term")))).otherwise(core)
-    named = terms.select("term", "strength", "attribute", F.lower("term").alias("_low"), core.alias("_core"))
+    named = terms.select("*", F.lower("term").alias("_low"), core.alias("_core"))
     at = F.instr("_low", F.col("_core"))
     named = named.select("*", F.substring("_low", F.lit(1), at - 1).alias("_lead"), F.substring("_low", at + F.length("_core"), F.length("_low")).alias("_trail"))
     named = named.withColumns({"_n": F.regexp_count("_core", F.lit("[a-z0-9]+")), "_plain": F.col("_low").rlike("^[a-z0-9]+$")})
+    shapes = named.select("_n", "_plain", F.regexp_extract("_core", "^[a-z0-9]+", 0).alias("_first"))
+    heads = shapes.limit(MAX_TERMS + 1).collect()
+    few = len(heads) <= MAX_TERMS
+    if not few:
+        heads = shapes.groupBy("_n").agg(F.min("_plain").alias("_plain")).collect()
+    out = [key, *terms.columns, "word"]
+    met = lambda runs: runs.join(F.broadcast(named) if few else named, "_core")
+    begins = lambda word, n: word.isin(sorted({r["_first"] for r in heads if r["_n"] == n}))
     low = F.lower(text_col)
+    if not heads:
+        return docs.join(terms, F.lit(False)).select(key, *terms.columns, F.lit(0).alias("word"))
+    if all(r["_plain"] for r in heads):
+        words = docs.select(key, F.posexplode(F.split(low, "[^a-z0-9]+")).alias("word", "_core"))
+        return met(words.filter(begins(F.col("_core"), 1)) if few else words).select(*out)
     split = docs.select(key, F.split(low, "[^a-z0-9]+").alias("_t"), F.regexp_extract_all(low, F.lit("[^a-z0-9]+"), F.lit(0)).alias("_s"))
     nothing = F.array().cast("array<struct<word:int,_core:string,_before:string,_after:string>>")
 
@@ -109,19 +123,16 @@ def term_hits(docs: DataFrame, key: str, text_col: str, terms: DataFrame) -> Dat
             after = F.coalesce(F.concat(F.get("_s", i + (n - 1)), F.left(F.get("_t", i + n), F.lit(1))), F.lit(""))
             return F.struct(i.alias("word"), F.concat(*parts).alias("_core"), before.alias("_before"), after.alias("_after"))
 
-        return F.when(F.size("_t") >= n, F.transform(F.sequence(F.lit(0), F.size("_t") - n), run)).otherwise(nothing)
+        at = F.sequence(F.lit(0), F.size("_t") - n)
+        return F.when(F.size("_t") >= n, F.transform(F.filter(at, lambda i: begins(F.get("_t", i), n)) if few else at, run)).otherwise(nothing)
 
     before = F.expr("substring(_before, 1, length(_before) - length(_lead))")
     after = F.expr("substring(_after, length(_trail) + 1)")
     within = (F.col("_low").rlike(r"^[\p{L}\p{N}_]") & before.rlike(r"[\p{L}\p{N}_]$")) | (F.col("_low").rlike(r"[\p{L}\p{N}_]$") & after.rlike(r"^[\p{L}\p{N}_]"))
     bounded = F.endswith("_before", "_lead") & F.startswith("_after", "_trail") & ~within
-    hits = []
-    for n in sorted(r["_n"] for r in named.select("_n").distinct().collect()):
-        met = split.select(key, F.inline(runs(n))).join(named.filter(F.col("_n") == n), "_core")
-        hits.append(met.filter(F.col("_plain") | bounded).select(key, "term", "strength", "attribute", "word"))
-    if not hits:
-        return split.join(terms, F.lit(False)).select(key, "term", "strength", "attribute", F.lit(0).alias("word"))
-    return reduce(DataFrame.unionByName, hits)
+    # a run meets terms of its own length only: the words in it are those of the term
+    lengths = sorted({r["_n"] for r in heads})
+    return met(split.select(key, F.inline(F.concat(*map(runs, lengths))))).filter(F.col("_plain") | bounded).select(*out)
 
 
 def proximity(hits: DataFrame, measurements: DataFrame, key: str, words: int = 15) -> DataFrame:
