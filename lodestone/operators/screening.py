@@ -168,12 +168,12 @@ def triggered_aliases(docs: DataFrame, key: str, text_col: str, aliases: DataFra
     """Hits of aliases (term, strength, attribute, ordinal) of those attributes that a document's keywords bring up; in
     documents without a keyword, of all aliases with so many letters. Where a keyword stands there is no alias, and at one
     place only the first alias counts."""
-    found = term_hits(docs, key, text_col, aliases.select("term", "strength", "attribute")).join(aliases.select("term", "attribute", "ordinal"), ["term", "attribute"])
-    brought = keyword_hits.select(key, "attribute", F.lit(True).alias("_brought")).distinct()
-    any_ = keyword_hits.select(key, F.lit(True).alias("_any")).distinct()
-    met = found.join(brought, [key, "attribute"], "left").join(any_, key, "left")
-    fit = met.filter(F.when(F.col("_any").isNotNull(), F.col("_brought").isNotNull()).otherwise(F.length("term") >= letters))
-    free = fit.join(keyword_hits.select(key, "word").distinct(), [key, "word"], "left_anti")
+    found = term_hits(docs, key, text_col, aliases.select("term", "strength", "attribute", "ordinal")).withColumn("_keyword", F.lit(False))
+    keywords = keyword_hits.filter(F.col(key).isNotNull()).select(key, "attribute", "word", F.lit(True).alias("_keyword"))
+    keyword = lambda *of: F.max("_keyword").over(Window.partitionBy(key, *of))
+    rows = found.unionByName(keywords, allowMissingColumns=True)
+    rows = rows.withColumns({"_any": keyword(), "_brought": keyword("attribute") & F.col("attribute").isNotNull(), "_taken": keyword("word")})
+    free = rows.filter(~F.col("_taken") & F.when(F.col("_any"), F.col("_brought")).otherwise(F.length("term") >= letters))
     first = F.row_number().over(Window.partitionBy(key, "word").orderBy("ordinal"))
     return free.withColumn("_r", first).filter("_r = 1").select(key, "term", "strength", "attribute", "word")
 
